@@ -1 +1,198 @@
-"""(filled in below)"""
+"""Registered queries: cleaning, CSV source, sinks, previews, role mapping
+(C*, S*, M*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..mapping import ROLE_KEYWORDS, REVENUE_EXCLUDE, DATE_HINTS, REGION_HINTS, PRODUCT_HINTS
+from ..mapping import POSITION_FALLBACK, catalog_of, detect_columns_catalog
+from ..operators import clean as C
+from ..operators import views as V
+from ..session import scratch_path
+from ..sources.csv import load_csv
+from ..sources.fixtures import DIRTY_MAPPING, DIRTY_SQL, MIXED_SQL, dirty_sales, mixed_dates
+from ..sources.sinks import read_table, write_table
+from ..sources.tables import FACT_MAPPING, TABLES, load_table, sales_fact, tables
+from . import sql as Q
+from .registry import query
+
+MONEY = r"TRY_CAST(regexp_replace({c}, '[^0-9.\-]', '', 'g') AS DOUBLE)"
+DIRTY_DATE = "CAST(try_strptime(sold_on, '%Y-%m-%d') AS TIMESTAMP)"
+
+
+def _dirty(body: str) -> str:
+    return f"WITH d AS ({DIRTY_SQL})\n{body}"
+
+
+@query("drop_null_core", _dirty(
+    "SELECT * FROM d WHERE sold_on IS NOT NULL AND region IS NOT NULL AND product IS NOT NULL "
+    "AND revenue IS NOT NULL"))
+def q_drop_null_core(spark, d):
+    return C.drop_null_core(dirty_sales(spark, d), DIRTY_MAPPING)
+
+
+@query("strip_currency", _dirty(
+    r"SELECT row_id, regexp_replace(revenue, '[^0-9.\-]', '', 'g') AS revenue_digits FROM d"))
+def q_strip_currency(spark, d):
+    return dirty_sales(spark, d).select("row_id", C.strip_currency("revenue").alias("revenue_digits"))
+
+
+@query("clean_amounts", _dirty(
+    f"SELECT row_id, {MONEY.format(c='revenue')} AS revenue, {MONEY.format(c='profit')} AS profit FROM d"))
+def q_clean_amounts(spark, d):
+    df = dirty_sales(spark, d)
+    return df.select("row_id", C.to_amount_col(df, "revenue").alias("revenue"),
+                     C.to_amount_col(df, "profit").alias("profit"))
+
+
+@query("clean_dates", _dirty(f"SELECT row_id, {DIRTY_DATE} AS sold_on FROM d"))
+def q_clean_dates(spark, d):
+    df = dirty_sales(spark, d)
+    return df.select("row_id", C.to_timestamp_col(df, "sold_on", "yyyy-MM-dd").alias("sold_on"))
+
+
+CLEAN_SQL = _dirty(f"""
+SELECT row_id, {DIRTY_DATE} AS sold_on, region, product, {MONEY.format(c='revenue')} AS revenue,
+       {MONEY.format(c='profit')} AS profit
+FROM d WHERE sold_on IS NOT NULL AND region IS NOT NULL AND product IS NOT NULL AND revenue IS NOT NULL
+  AND {DIRTY_DATE} IS NOT NULL AND {MONEY.format(c='revenue')} IS NOT NULL
+  AND {MONEY.format(c='profit')} IS NOT NULL""")
+
+
+@query("clean_dataset", CLEAN_SQL)
+def q_clean_dataset(spark, d):
+    return C.clean_dataset(dirty_sales(spark, d), DIRTY_MAPPING, "yyyy-MM-dd")
+
+
+_AUTO = [("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+         ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), ("MM/dd/yyyy", "%m/%d/%Y"),
+         ("dd/MM/yyyy", "%d/%m/%Y"), ("MMM yyyy", "%b %Y"), ("yyyy-MM", "%Y-%m"), ("yyyyMMdd", "%Y%m%d")]
+assert [a for a, _ in _AUTO] == C.DATE_FORMATS
+_counts = ", ".join(f"COUNT(try_strptime(d, '{f}')) AS c{i}" for i, (_, f) in enumerate(_AUTO))
+_pick = " ".join(f"WHEN {i} THEN try_strptime(d, '{f}')" for i, (_, f) in enumerate(_AUTO))
+_unpivot = " UNION ALL ".join(f"SELECT {i} AS i, c{i} AS n FROM h" for i in range(len(_AUTO)))
+
+
+@query("clean_dates_auto", f"""
+WITH m AS ({MIXED_SQL}), h AS (SELECT {_counts} FROM m),
+best AS (SELECT i FROM ({_unpivot}) ORDER BY n DESC, i LIMIT 1),
+p AS (SELECT row_id, CAST(CASE (SELECT i FROM best) {_pick} END AS TIMESTAMP) AS d FROM m)
+SELECT row_id, d FROM p WHERE d IS NOT NULL""")
+def q_clean_dates_auto(spark, d):
+    from ..mapping import Mapping
+    df = mixed_dates(spark, d).withColumn("region", F.lit("x")).withColumn("product", F.lit("x")) \
+        .withColumn("rev", F.lit(1.0))
+    m = Mapping(date="d", region="region", product="product", revenue="rev")
+    return C.clean_dataset(df, m, "auto").select("row_id", "d")
+
+
+# --- S1 / S4 / S5 / S6 -------------------------------------------------------
+_CSV_SQL = Q.with_fact("""
+SELECT strftime(order_date, '%Y-%m-%d') AS order_date, region, nation, product, brand, segment,
+       CAST(revenue AS DOUBLE) AS revenue, CAST(profit AS DOUBLE) AS profit FROM f""")
+
+
+@query("load_csv", _CSV_SQL)
+def q_load_csv(spark, d):
+    """Fact written as CSV text to the shared folder, then read back with ``load_csv``."""
+    f = sales_fact(spark, d)
+    text = f.select(F.date_format("order_date", "yyyy-MM-dd").alias("order_date"), "region", "nation",
+                    "product", "brand", "segment", F.col("revenue").cast("string").alias("revenue"),
+                    F.col("profit").cast("string").alias("profit"))
+    path = write_table(text, scratch_path(spark, "csv-fact"), "csv")
+    return load_csv(spark, path)
+
+
+@query("sink_roundtrip", Q.with_fact(f"""
+SELECT segment, CAST(rn AS INTEGER) AS rank, k AS region, {Q.truncate_label('k', 20)} AS label,
+       CAST(rev AS DOUBLE) AS revenue, share, CAST(prof AS DOUBLE) AS profit, {Q.group_margin('prof', 'rev')} AS margin
+FROM (SELECT *, CAST(rev AS DOUBLE) / CAST(SUM(rev) OVER (PARTITION BY segment) AS DOUBLE) * 100.0 AS share,
+             ROW_NUMBER() OVER (PARTITION BY segment ORDER BY rev DESC, k) AS rn
+      FROM (SELECT segment, nation AS k, SUM(revenue) AS rev, SUM(profit) AS prof FROM f GROUP BY 1, 2))
+WHERE rn <= 15"""))
+def q_sink_roundtrip(spark, d):
+    """Report table written partitioned by entity to the shared folder and read back."""
+    table = V.region_report_table(sales_fact(spark, d), FACT_MAPPING, ["segment"])
+    path = write_table(table, scratch_path(spark, "region-report"), "parquet", partition_by=["segment"])
+    return read_table(spark, path).select("segment", "rank", "region", "label", "revenue", "share",
+                                          "profit", "margin")
+
+
+@query("preview", f"SELECT * FROM ({CLEAN_SQL}) ORDER BY row_id LIMIT 20")
+def q_preview(spark, d):
+    """First rows of the cleaned table in an explicit order (a top-k by key)."""
+    return C.clean_dataset(dirty_sales(spark, d), DIRTY_MAPPING, "yyyy-MM-dd").orderBy("row_id").limit(20)
+
+
+@query("raw_preview", _dirty("SELECT * FROM d ORDER BY row_id LIMIT 20"))
+def q_raw_preview(spark, d):
+    """Raw rows shown when the chosen mapping cleans everything away
+    (here revenue is mapped to a text column, so nothing survives)."""
+    raw = dirty_sales(spark, d)
+    wrong = DIRTY_MAPPING.with_overrides({"revenue": "product", "profit": None})
+    cleaned = C.clean_dataset(raw, wrong, "yyyy-MM-dd")
+    if cleaned.isEmpty():
+        return raw.orderBy("row_id").limit(20)
+    return raw.limit(0)
+
+
+# --- M1-M8 -------------------------------------------------------------------
+def _kw(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _any_in(words):
+    return f"list_bool_or([contains(lower(column_name), w) for w in {_kw(words)}])"
+
+
+def _rank_sql(role):
+    keys = ROLE_KEYWORDS[role]
+    e = (f"CASE WHEN list_contains({_kw(keys)}, {Q.py_strip('lower(column_name)')}) THEN 1 "
+         f"WHEN {_any_in(keys)} THEN 2 ")
+    if role == "revenue":
+        e += f"WHEN is_num AND NOT {_any_in(REVENUE_EXCLUDE)} THEN 3 "
+    hints = {"date": DATE_HINTS, "region": REGION_HINTS, "product": PRODUCT_HINTS}.get(role)
+    if hints:
+        e += f"WHEN {_any_in(hints)} THEN 3 "
+    pos = POSITION_FALLBACK.get(role)
+    if pos:
+        e += f"WHEN ordinal_position = CASE WHEN ncols >= {pos} THEN {pos} ELSE 1 END THEN 4 "
+    return e + "END"
+
+
+_NUMERIC = ("data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') "
+            "OR data_type LIKE 'DECIMAL%'")
+_ROLES = ["revenue", "profit", "date", "region", "product"]
+
+
+def _detect_sql(overrides=None):
+    sel = []
+    for r in _ROLES:
+        e = f"arg_min(column_name, ({_rank_sql(r)}) * 10000 + ordinal_position)"
+        for table, roles in (overrides or {}).items():
+            if r in roles:
+                e = f"CASE WHEN table_name = '{table}' THEN '{roles[r]}' ELSE {e} END"
+        sel.append(f"{e} AS {r}_col")
+    names = ", ".join(f"'{t}'" for t in TABLES)
+    return f"""
+SELECT table_name AS "table", {', '.join(sel)}
+FROM (SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal_position, column_name,
+             ({_NUMERIC}) AS is_num, COUNT(*) OVER (PARTITION BY table_name) AS ncols
+      FROM information_schema.columns WHERE table_name IN ({names}))
+GROUP BY table_name"""
+
+
+@query("detect_columns", _detect_sql())
+def q_detect_columns(spark, d):
+    """M1-M6, M8: role detection for every driver table in one job."""
+    return detect_columns_catalog(catalog_of(spark, tables(spark, d)))
+
+
+OVERRIDES = {"lineitem": {"region": "l_returnflag", "product": "l_linestatus", "profit": "l_tax"}}
+
+
+@query("detect_override", _detect_sql(OVERRIDES))
+def q_detect_override(spark, d):
+    """M7: the user's choice replaces detected roles."""
+    return detect_columns_catalog(catalog_of(spark, tables(spark, d)), OVERRIDES)

@@ -10,6 +10,7 @@ checkpoint folder where the cluster did not name one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -79,6 +80,6 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location below the shared folder."""
     base = shared_dir(spark)
-    if "://" not in base and not base.startswith("/"):
+    if not re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", base):
         base = os.path.abspath(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1 +1,93 @@
-"""(filled in below)"""
+"""Registered queries: profiling (D1-D5) over the sales fact."""
+
+from __future__ import annotations
+
+from ..operators import profile as P
+from ..sources.tables import sales_fact
+from . import sql as Q
+from .registry import query
+
+NUMERIC = ["revenue", "profit"]
+CATEGORICAL = ["region", "nation", "product", "brand", "segment"]
+DATES = ["order_date"]
+
+
+@query("shape", Q.with_fact("SELECT COUNT(*) AS n_rows, CAST(8 AS INTEGER) AS n_cols FROM f"))
+def q_shape(spark, d):
+    return P.shape(sales_fact(spark, d))
+
+
+def _num_sql(text: bool = False):
+    parts = []
+    for c in NUMERIC:
+        parts.append(f"""SELECT '{c}' AS "column", COUNT(v) AS count, ROUND(AVG(v), 4) AS mean,
+  ROUND(STDDEV_SAMP(v), 4) AS std, ROUND(MIN(v), 4) AS min, ROUND(quantile_cont(v, 0.25), 4) AS p25,
+  ROUND(quantile_cont(v, 0.5), 4) AS p50, ROUND(quantile_cont(v, 0.75), 4) AS p75, ROUND(MAX(v), 4) AS max
+FROM (SELECT CAST({c} AS DOUBLE) AS v FROM f WHERE {c} IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
+def _cat_sql():
+    parts = []
+    for c in CATEGORICAL:
+        parts.append(f"""SELECT '{c}' AS "column", SUM(cnt) AS count, COUNT(*) AS "unique",
+  arg_min(value, (-cnt, value)) AS top, MAX(cnt) AS freq
+FROM (SELECT CAST({c} AS VARCHAR) AS value, COUNT(*) AS cnt FROM f WHERE {c} IS NOT NULL GROUP BY 1)""")
+    return " UNION ALL ".join(f'SELECT "column", CAST(count AS BIGINT) AS count, CAST("unique" AS BIGINT) AS "unique", '
+                              f"top, CAST(freq AS BIGINT) AS freq FROM ({p})" for p in parts)
+
+
+def _ts(x):
+    return f"strftime(make_timestamp(CAST(floor({x}) AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
+def _date_sql():
+    parts = []
+    for c in DATES:
+        parts.append(f"""SELECT '{c}' AS "column", COUNT(us) AS count, {_ts('AVG(us)')} AS mean, {_ts('MIN(us)')} AS min,
+  {_ts('quantile_cont(CAST(us AS DOUBLE), 0.25)')} AS p25, {_ts('quantile_cont(CAST(us AS DOUBLE), 0.5)')} AS p50,
+  {_ts('quantile_cont(CAST(us AS DOUBLE), 0.75)')} AS p75, {_ts('MAX(us)')} AS max
+FROM (SELECT epoch_us({c}) AS us FROM f WHERE {c} IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_numeric", Q.with_fact(_num_sql()))
+def q_profile_numeric(spark, d):
+    return P.profile_numeric(sales_fact(spark, d), NUMERIC)
+
+
+@query("profile_categorical", Q.with_fact(_cat_sql()))
+def q_profile_categorical(spark, d):
+    return P.profile_categorical(sales_fact(spark, d), CATEGORICAL)
+
+
+@query("profile_dates", Q.with_fact(_date_sql()))
+def q_profile_dates(spark, d):
+    return P.profile_dates(sales_fact(spark, d), DATES)
+
+
+def _txt(x):
+    return f"format('{{:.4f}}', ROUND({x}, 4))"
+
+
+_LONG = f"""
+SELECT "column", stat, value FROM (
+  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}},
+    {{'stat': 'mean', 'value': {_txt('mean')}}}, {{'stat': 'std', 'value': {_txt('std')}}},
+    {{'stat': 'min', 'value': {_txt('min')}}}, {{'stat': 'p25', 'value': {_txt('p25')}}},
+    {{'stat': 'p50', 'value': {_txt('p50')}}}, {{'stat': 'p75', 'value': {_txt('p75')}}},
+    {{'stat': 'max', 'value': {_txt('max')}}}], recursive := true) FROM ({_num_sql()})
+  UNION ALL
+  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}},
+    {{'stat': 'unique', 'value': CAST("unique" AS VARCHAR)}}, {{'stat': 'top', 'value': top}},
+    {{'stat': 'freq', 'value': CAST(freq AS VARCHAR)}}], recursive := true) FROM ({_cat_sql()})
+  UNION ALL
+  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}}, {{'stat': 'mean', 'value': mean}},
+    {{'stat': 'min', 'value': min}}, {{'stat': 'p25', 'value': p25}}, {{'stat': 'p50', 'value': p50}},
+    {{'stat': 'p75', 'value': p75}}, {{'stat': 'max', 'value': max}}], recursive := true) FROM ({_date_sql()})
+) WHERE value IS NOT NULL"""
+
+
+@query("profile_long", Q.with_fact(_LONG))
+def q_profile_long(spark, d):
+    return P.profile_long(sales_fact(spark, d), NUMERIC, CATEGORICAL, DATES)

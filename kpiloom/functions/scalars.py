@@ -73,9 +73,13 @@ def _is_missing(x: Column) -> Column:
 
 
 def fmt_fixed(x, digits: int, thousands: bool = False, sign: bool = False) -> Column:
-    """``%.Nf`` text after HALF_UP rounding to N digits."""
+    """``%.Nf`` text after HALF_UP rounding to N digits (inf/nan as Python prints them)."""
     spec = "%" + ("+" if sign else "") + ("," if thousands else "") + f".{digits}f"
-    return F.format_string(spec, F.round(dbl(x), digits))
+    v = dbl(x)
+    return (F.when(F.isnan(v), F.lit("nan"))
+            .when(v == float("inf"), F.lit("+inf" if sign else "inf"))
+            .when(v == float("-inf"), F.lit("-inf"))
+            .otherwise(F.format_string(spec, F.round(v, digits))))
 
 
 def money(x) -> Column:

@@ -1 +1,250 @@
-"""(filled in below)"""
+"""Registered queries: briefs, report tables and prompts per segment (B*, R*)."""
+
+from __future__ import annotations
+
+from ..operators import brief as B
+from ..operators import templates as TT
+from ..sources.tables import FACT_MAPPING, FACT_MAPPING_NO_PROFIT, sales_fact
+from . import sql as Q
+from .registry import query
+
+BY = ["segment"]
+REPORT_DATE = "2001-08-31"
+
+
+def facts(spark, d, profit=True, industry="SaaS"):
+    m = FACT_MAPPING if profit else FACT_MAPPING_NO_PROFIT
+    return B.brief_facts(sales_fact(spark, d, with_profit=profit), m, BY, industry=industry,
+                         report_date=REPORT_DATE)
+
+
+# --- SQL twin of brief_facts + the render helpers ------------------------------
+
+def _tt_sql(has_profit):
+    rows = ", ".join("(" + ", ".join([Q.lit(ind)] + [Q.lit(B.pick(TT.INDUSTRY_TEXT[ind][k], has_profit))
+                                                     for k in B.TEMPLATE_KEYS]) + ")"
+                     for ind in TT.RULE_INDUSTRIES)
+    cols = ", ".join(["_tind"] + [f"t_{k}" for k in B.TEMPLATE_KEYS])
+    return f"tt AS (SELECT * FROM (VALUES {rows}) AS v({cols}))"
+
+
+def _guidance_sql():
+    e = "''"
+    for k, v in TT.GUIDANCE.items():
+        e = f"CASE WHEN industry = {Q.lit(k)} THEN {Q.lit(v)} ELSE {e} END"
+    return e
+
+
+def brief_sql(body: str, profit=True, industry="SaaS") -> str:
+    rule = ", ".join(Q.lit(i) for i in TT.RULE_INDUSTRIES)
+    ctes = Q.kpi_facts_ctes(BY, profit) + ",\n" + _tt_sql(profit) + f""",
+bf AS (SELECT kf.*, {Q.lit(industry)} AS industry, {Q.lit(REPORT_DATE)} AS report_date FROM kf),
+bg AS (SELECT bf.*, CASE WHEN industry IN ({rule}) THEN industry ELSE {Q.lit(TT.FALLBACK_INDUSTRY)} END AS _tind,
+              {_guidance_sql()} AS guidance FROM bf),
+bt AS (SELECT * FROM bg LEFT JOIN tt USING (_tind))"""
+    return Q.with_fact(body, extra_ctes=ctes)
+
+
+def _t(key, hp):
+    return Q.render(None, hp, base=f"t_{key}")
+
+
+def _block_sql(fields):
+    parts = []
+    for label, val in zip(TT.BLOCK_FIELDS, fields):
+        parts.append(f"'- **{label}**: ' || {val}")
+    return " || chr(10) || ".join(parts)
+
+
+def _risks_sql(hp):
+    r2 = TT.RISK2
+    return [[_t("risk_name", hp), Q.lit(TT.RISK_BLOCKS[0][0]), Q.lit(f"{TT.RISK_BLOCKS[0][1]}%"),
+             _t("risk_evidence", hp), _t("risk_impact", hp), _t("risk_rec", hp)],
+            [Q.render(r2["issue"], hp), Q.lit(TT.RISK_BLOCKS[1][0]), Q.lit(f"{TT.RISK_BLOCKS[1][1]}%"),
+             Q.render(r2["evidence"], hp), Q.render(r2["impact"], hp), Q.render(r2["rec"], hp)]]
+
+
+def _opps_sql(hp):
+    o2 = TT.OPP2
+    return [[_t("opp_name", hp), Q.lit(TT.OPPORTUNITY_BLOCKS[0][0]), Q.lit(f"{TT.OPPORTUNITY_BLOCKS[0][1]}%"),
+             _t("opp_evidence", hp), _t("opp_impact", hp), _t("opp_rec", hp)],
+            [Q.render(o2["issue"], hp), Q.lit(TT.OPPORTUNITY_BLOCKS[1][0]), Q.lit(f"{TT.OPPORTUNITY_BLOCKS[1][1]}%"),
+             Q.render(o2["evidence"], hp), Q.render(o2["impact"], hp), Q.render(o2["rec"], hp)]]
+
+
+def _bodies_sql(hp):
+    nl2 = "chr(10) || chr(10)"
+    blocks = lambda bs: f" || {nl2} || ".join(f"({_block_sql(b)})" for b in bs)
+    recs = " || chr(10) || ".join(f"'- ' || {_t(k, hp)}" for k in ("rec1", "rec2", "rec3"))
+    return [Q.render(TT.EXEC_SUMMARY, hp), Q.render(TT.FINDINGS, hp), blocks(_risks_sql(hp)),
+            blocks(_opps_sql(hp)), recs, _t("impact", hp)]
+
+
+def _records_sql(names, rows, no):
+    items = []
+    for i, r in enumerate(rows):
+        kv = [f"'{no}': {i + 1}"] + [f"'{n}': {v}" for n, v in zip(names, r)]
+        items.append("{" + ", ".join(kv) + "}")
+    return f"UNNEST([{', '.join(items)}], recursive := true)"
+
+
+def _records_query(names, rows, no):
+    cols = ", ".join([no] + list(names))
+    return f"SELECT segment, {cols} FROM (SELECT segment, {_records_sql(names, rows, no)} FROM bt)"
+
+
+# --- queries ---------------------------------------------------------------------
+
+_FACT_COLS = ("segment, n_rows, total_revenue, total_profit, profit_margin, top_region, top_region_rev, "
+              "top_product, top_product_rev, health_score, health_status, worst_region, worst_region_margin, "
+              "worst_product, worst_product_margin, top_product_margin, growth_statement, industry")
+
+
+@query("brief_facts", brief_sql(f"SELECT {_FACT_COLS} FROM bt"))
+def q_brief_facts(spark, d):
+    return facts(spark, d).select(*[c.strip() for c in _FACT_COLS.split(",")])
+
+
+def _sections_sql(hp, industry="SaaS"):
+    bodies = _bodies_sql(hp)
+    rows = [[Q.lit(t), b] for t, b in zip(TT.SECTIONS, bodies)]
+    return brief_sql(_records_query(["section", "body"], rows, "section_no"), hp, industry)
+
+
+@query("brief_sections", _sections_sql(True))
+def q_brief_sections(spark, d):
+    return B.brief_sections(facts(spark, d), BY, True)
+
+
+@query("brief_sections_noprofit", _sections_sql(False))
+def q_brief_sections_np(spark, d):
+    return B.brief_sections(facts(spark, d, profit=False), BY, False)
+
+
+def _markdown_sql(hp, industry="SaaS"):
+    bodies = _bodies_sql(hp)
+    doc = " || chr(10) || chr(10) || ".join(f"'## {t}' || chr(10) || {b}" for t, b in zip(TT.SECTIONS, bodies))
+    return brief_sql(f"SELECT segment, {doc} AS brief FROM bt", hp, industry)
+
+
+@query("brief_markdown", _markdown_sql(True))
+def q_brief_markdown(spark, d):
+    return B.brief_markdown(facts(spark, d), BY, True)
+
+
+@query("brief_markdown_retail", _markdown_sql(True, "Retail"))
+def q_brief_markdown_retail(spark, d):
+    return B.brief_markdown(facts(spark, d, industry="Retail"), BY, True)
+
+
+_BLOCK_COLS = B.BLOCK_COLS
+
+
+@query("brief_risks", brief_sql(_records_query(_BLOCK_COLS, _risks_sql(True), "block_no")))
+def q_brief_risks(spark, d):
+    return B.brief_risks(facts(spark, d), BY, True)
+
+
+@query("brief_opportunities", brief_sql(_records_query(_BLOCK_COLS, _opps_sql(True), "block_no")))
+def q_brief_opportunities(spark, d):
+    return B.brief_opportunities(facts(spark, d), BY, True)
+
+
+@query("brief_recommendations", brief_sql(_records_query(
+    ["text"], [[_t(k, True)] for k in ("rec1", "rec2", "rec3")], "rec_no")))
+def q_brief_recommendations(spark, d):
+    return B.brief_recommendations(facts(spark, d), BY, True)
+
+
+@query("industry_template", brief_sql(
+    f"SELECT segment, industry, _tind AS template_industry, {_t('risk_name', True)} AS risk_name FROM bt",
+    industry="Banking"))
+def q_industry_template(spark, d):
+    """An industry without rule templates (Banking) falls back to SaaS."""
+    from pyspark.sql import functions as F
+    f = facts(spark, d, industry="Banking")
+    return f.select("segment", "industry", F.col("_tind").alias("template_industry"),
+                    B._t("risk_name", True).alias("risk_name"))
+
+
+def _render_rows(rows, hp):
+    return [[Q.render(x, hp) for x in r] for r in rows]
+
+
+@query("risk_register", brief_sql(_records_query(
+    ["risk", "severity", "impact", "recommendation", "due"], _render_rows(TT.RISK_REGISTER, True), "row_no")))
+def q_risk_register(spark, d):
+    return B.risk_register(facts(spark, d), BY, True)
+
+
+@query("risk_register_noprofit", brief_sql(_records_query(
+    ["risk", "severity", "impact", "recommendation", "due"], _render_rows(TT.RISK_REGISTER, False), "row_no"),
+    profit=False))
+def q_risk_register_np(spark, d):
+    return B.risk_register(facts(spark, d, profit=False), BY, False)
+
+
+@query("opportunity_table", brief_sql(_records_query(
+    ["opportunity", "value", "difficulty", "roi"], _render_rows(TT.OPPORTUNITY_TABLE, True), "row_no")))
+def q_opportunity_table(spark, d):
+    return B.opportunity_table(facts(spark, d), BY, True)
+
+
+@query("initiative_table", brief_sql(_records_query(
+    ["objective", "value", "priority", "owner", "timeline"], _render_rows(TT.INITIATIVES, True), "row_no")))
+def q_initiative_table(spark, d):
+    return B.initiative_table(facts(spark, d), BY, True)
+
+
+def _roadmap_rows(hp):
+    rows = []
+    for mi, (month, theme, actions) in enumerate(TT.ROADMAP):
+        for ai, a in enumerate(actions):
+            rows.append([str(mi + 1), Q.lit(month), Q.lit(theme), str(ai + 1), Q.render(a, hp)])
+    return rows
+
+
+@query("roadmap_table", brief_sql(_records_query(
+    ["month_no", "month", "theme", "action_no", "action"], _roadmap_rows(True), "row_no")))
+def q_roadmap_table(spark, d):
+    return B.roadmap_table(facts(spark, d), BY, True)
+
+
+def _decision_rows(hp):
+    return [[Q.lit("conclusion"), Q.render(TT.CONCLUSION, hp)]] + \
+        [[Q.lit("decision"), Q.render(x, hp)] for x in TT.DECISIONS]
+
+
+@query("decision_table", brief_sql(_records_query(["kind", "text"], _decision_rows(True), "item_no")))
+def q_decision_table(spark, d):
+    return B.decision_table(facts(spark, d), BY, True)
+
+
+@query("report_metadata", brief_sql(_records_query(
+    ["field", "value"], [[Q.lit(k), Q.render(v, True)] for k, v in TT.METADATA], "field_no")))
+def q_report_metadata(spark, d):
+    return B.report_metadata(facts(spark, d), BY, True)
+
+
+@query("report_metadata_noprofit", brief_sql(_records_query(
+    ["field", "value"], [[Q.lit(k), Q.render(v, False)] for k, v in TT.METADATA], "field_no"), profit=False))
+def q_report_metadata_np(spark, d):
+    return B.report_metadata(facts(spark, d, profit=False), BY, False)
+
+
+def _prompt_sql(hp):
+    extra = {"profit_lines": Q.render(TT.PROMPT_PROFIT, hp), "section_list": Q.lit(", ".join(TT.SECTIONS)),
+             "field_list": Q.lit(", ".join(TT.BLOCK_FIELDS))}
+    system = Q.render(TT.PROMPT_SYSTEM, hp)
+    user = Q.render(TT.PROMPT_USER, hp, extra=extra)
+    return brief_sql(f"SELECT segment, trim({system}) AS system_prompt, {user} AS user_prompt FROM bt", hp)
+
+
+@query("brief_prompts", _prompt_sql(True))
+def q_brief_prompts(spark, d):
+    return B.brief_prompts(facts(spark, d), BY, True)
+
+
+@query("brief_prompts_noprofit", _prompt_sql(False))
+def q_brief_prompts_np(spark, d):
+    return B.brief_prompts(facts(spark, d, profit=False), BY, False)

@@ -32,7 +32,9 @@ def clamp(x: str) -> str:
 
 def fmt(x: str, digits: int, thousands: bool = False, sign: bool = False) -> str:
     spec = "{:" + ("+" if sign else "") + ("," if thousands else "") + f".{digits}f" + "}"
-    return f"format('{spec}', ROUND(CAST({x} AS DOUBLE), {digits}))"
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"CASE WHEN isnan({v}) THEN 'nan' WHEN {v} = {INF} THEN '{'+inf' if sign else 'inf'}' "
+            f"WHEN {v} = -{INF} THEN '-inf' ELSE format('{spec}', ROUND({v}, {digits})) END")
 
 
 def money(x: str) -> str:
@@ -167,3 +169,47 @@ kf AS (SELECT {Bc}
 KPI_COLS = ("n_rows, total_revenue, total_profit, profit_margin, top_region, top_region_rev, "
             "top_product, top_product_rev, growth_score, consistency_score, balance_score, "
             "margin_score, health_score, health_status")
+
+
+# --- template rendering (twin of operators.brief.render) ----------------------
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PLACEHOLDERS = {
+    "total_revenue": money("total_revenue"),
+    "total_profit": money("total_profit"),
+    "profit_margin": fmt("profit_margin", 1),
+    "health_score": "CAST(health_score AS VARCHAR)",
+    "health_status": "health_status",
+    "top_region": "top_region",
+    "top_product": "top_product",
+    "worst_region": "worst_region",
+    "worst_product": "worst_product",
+    "top_region_rev": money("top_region_rev"),
+    "top_product_rev": money("top_product_rev"),
+    "top_region_rev0": money0("top_region_rev"),
+    "worst_region_margin": fmt("worst_region_margin", 1),
+    "worst_product_margin": fmt("worst_product_margin", 1),
+    "top_product_margin": fmt("top_product_margin", 1),
+    "growth_statement": "growth_statement",
+    "top_region15": truncate_label("top_region", 15),
+    "top_product15": truncate_label("top_product", 15),
+    "worst_product15": truncate_label("worst_product", 15),
+    "industry": "industry",
+    "report_date": "report_date",
+    "guidance": "guidance",
+}
+
+
+def render(template, has_profit: bool, base: str | None = None, extra: dict | None = None) -> str:
+    from ..operators.brief import fields_of, pick
+    text = pick(template, has_profit)
+    values = {**PLACEHOLDERS, **(extra or {})}
+    out = base if base is not None else lit(text)
+    names = fields_of(text) if base is None else list(values)
+    for n in names:
+        if n in values:
+            out = f"replace({out}, '{{{n}}}', COALESCE({values[n]}, 'nan'))"
+    return out

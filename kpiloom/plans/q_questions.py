@@ -1 +1,141 @@
-"""(filled in below)"""
+"""Registered queries: question gate, intent, answers, prompts (Q1-Q8) over the
+user turns of ``conversations``, answered against the whole sales fact."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import PY_SPACE
+from ..operators import questions as QN
+from ..operators.brief import brief_facts
+from ..operators.kpis import data_confidence, segment_performance
+from ..sources.tables import FACT_MAPPING, load_table, sales_fact
+from . import sql as Q
+from .registry import query
+
+INDUSTRY = "SaaS"
+KEYS = ["conv_id", "turn"]
+
+
+def _questions(spark, d):
+    c = load_table(spark, d, "conversations")
+    return c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+def _answers(spark, d):
+    fact = sales_fact(spark, d)
+    facts = brief_facts(fact, FACT_MAPPING, (), industry=INDUSTRY)
+    regions = segment_performance(fact, FACT_MAPPING, "region")
+    conf = data_confidence(fact)
+    return QN.answer_questions(_questions(spark, d), facts, regions, True, conf, KEYS)
+
+
+# --- SQL twin --------------------------------------------------------------------
+
+def _any(words):
+    return "(" + " OR ".join(f"contains(ql, {Q.lit(w)})" for w in words) + ")"
+
+
+_NTOK = (f"len(list_filter(regexp_split_to_array({Q.py_strip('question')}, '{PY_SPACE}+'), lambda x: x <> ''))")
+_GATE = f"({_NTOK} < {QN.MIN_TOKENS} OR {_any(QN.GATE_KEYWORDS)})"
+_INTENT = (f"CASE WHEN {_any(QN.DECLINE_WHY)} AND {_any(QN.DECLINE_WHAT)} AND {_any(QN.DECLINE_HOW)} THEN 'decline' "
+           + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w, _ in QN.INTENTS)
+           + f" WHEN {_any(QN.REGION_WORDS)} OR {_any(QN.REGION_CODES)} THEN 'region' ELSE 'general' END")
+_REF = ("CASE " + " ".join(f"WHEN contains(ql, '{w}') THEN '{w.capitalize() if w in QN.REGION_WORDS else w.upper()}'"
+                            for w in QN.REGION_WORDS + QN.REGION_CODES) + " END")
+
+_CONF = """conf AS (SELECT CAST(CASE WHEN COUNT(*) = 0 THEN 50 ELSE LEAST(99, GREATEST(50, 80 + LEAST(10, FLOOR(COUNT(*) / 10))
+  + FLOOR((1.0 - SUM((order_date IS NULL)::INT + (region IS NULL)::INT + (nation IS NULL)::INT + (product IS NULL)::INT
+      + (brand IS NULL)::INT + (segment IS NULL)::INT + (revenue IS NULL)::INT + (profit IS NULL)::INT)
+      / (COUNT(*) * 8.0)) * 10))) END AS INTEGER) AS data_confidence FROM f)"""
+
+_REG_PH = {"ref_region": "ref_region", "reg_rev": Q.money("reg_rev"), "reg_margin": Q.fmt("reg_margin", 1),
+           "reg_share": Q.fmt("reg_share", 1)}
+
+
+def _fields_sql(hp=True):
+    key = "CASE WHEN intent = 'region' AND reg_rev IS NULL THEN 'region_missing' ELSE intent END"
+    outs = []
+    for i in range(4):
+        outs.append("CASE " + " ".join(f"WHEN {key} = '{n}' THEN {Q.render(t[i], hp, extra=_REG_PH)}"
+                                       for n, t in QN.ANSWERS.items()) + " END")
+    outs.append("CASE " + " ".join(f"WHEN {key} = '{n}' THEN '{p}'" for n, p in QN.PRIORITY.items()) + " END")
+    return outs
+
+
+def answers_sql(select: str) -> str:
+    names = ["answer", "evidence", "impact", "recommendation", "priority"]
+    fields = _fields_sql()
+    md = " || chr(10) || chr(10) || ".join(f"'### {h}' || chr(10) || {v}" for h, v in zip(QN.ANSWER_HEADERS, fields))
+    ctes = Q.kpi_facts_ctes([]) + ",\n" + _CONF + f""",
+bf AS (SELECT kf.*, {Q.lit(INDUSTRY)} AS industry FROM kf),
+rf AS (SELECT nation AS _reg, CAST(SUM(revenue) AS DOUBLE) AS reg_rev,
+              {Q.group_margin('SUM(profit)', 'SUM(revenue)')} AS reg_margin FROM f GROUP BY nation),
+qq AS (SELECT conv_id, turn, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user'),
+qc AS (SELECT *, {_GATE} AS accepted, {_INTENT} AS intent FROM qq),
+qr AS (SELECT *, CASE WHEN intent = 'region' THEN {_REF} END AS ref_region FROM qc),
+qj AS (SELECT * FROM qr CROSS JOIN bf CROSS JOIN conf LEFT JOIN rf ON qr.ref_region = rf._reg),
+qk AS (SELECT *, reg_rev / total_revenue * 100.0 AS reg_share FROM qj),
+ans AS (SELECT conv_id, turn, accepted, intent, ref_region, reg_rev IS NOT NULL AS region_found,
+   {', '.join(f'CASE WHEN accepted THEN {f} END AS {n}' for f, n in zip(fields, names))},
+   CASE WHEN accepted THEN {md} ELSE {Q.lit(QN.REFUSAL)} END AS reply,
+   CAST(CASE WHEN accepted THEN data_confidence ELSE {QN.REFUSAL_CONFIDENCE} END AS INTEGER) AS confidence
+ FROM qk)"""
+    return Q.with_fact(select, extra_ctes=ctes)
+
+
+# --- queries ---------------------------------------------------------------------
+
+@query("question_gate", f"""
+SELECT conv_id, turn, CAST({_NTOK} AS INTEGER) AS n_tokens, {_GATE} AS accepted
+FROM (SELECT conv_id, turn, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user')""")
+def q_question_gate(spark, d):
+    q = _questions(spark, d)
+    return q.select(*KEYS, QN.n_tokens(F.col("question")).alias("n_tokens"), QN.gate(F.col("question")).alias("accepted"))
+
+
+@query("question_intent", f"""
+SELECT conv_id, turn, {_INTENT} AS intent
+FROM (SELECT conv_id, turn, lower(text) AS ql FROM conversations WHERE role = 'user')""")
+def q_question_intent(spark, d):
+    q = _questions(spark, d)
+    return q.select(*KEYS, QN.intent(F.col("question")).alias("intent"))
+
+
+@query("question_region", f"""
+SELECT conv_id, turn, {_REF} AS ref_region
+FROM (SELECT conv_id, turn, lower(text) AS ql FROM conversations WHERE role = 'user') WHERE {_INTENT} = 'region'""")
+def q_question_region(spark, d):
+    q = _questions(spark, d)
+    return (q.filter(QN.intent(F.col("question")) == "region")
+            .select(*KEYS, QN.referenced_region(F.col("question")).alias("ref_region")))
+
+
+@query("region_answers", answers_sql(
+    "SELECT conv_id, turn, ref_region, region_found, evidence, priority FROM ans WHERE intent = 'region'"))
+def q_region_answers(spark, d):
+    a = _answers(spark, d)
+    return a.filter(F.col("intent") == "region").select(*KEYS, "ref_region", "region_found", "evidence", "priority")
+
+
+@query("question_answers", answers_sql("SELECT * FROM ans"))
+def q_question_answers(spark, d):
+    return _answers(spark, d)
+
+
+@query("answer_confidence", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans"))
+def q_answer_confidence(spark, d):
+    return _answers(spark, d).select(*KEYS, "accepted", "confidence")
+
+
+@query("prompt_messages", """
+SELECT conv_id, turn, n_messages, history_chars, previous_role, question FROM (
+  SELECT conv_id, turn, role, text AS question,
+         CAST(COUNT(*) OVER w + 1 AS BIGINT) AS n_messages,
+         CAST(SUM(length(text)) OVER w - length(text) AS BIGINT) AS history_chars,
+         LAG(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_role
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE role = 'user'""")
+def q_prompt_messages(spark, d):
+    return QN.prompt_messages(load_table(spark, d, "conversations"))

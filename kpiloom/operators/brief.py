@@ -69,12 +69,22 @@ def fields_of(text: str) -> list[str]:
     return list(dict.fromkeys(_FIELD.findall(text)))
 
 
-def render(template, has_profit: bool, base: Column | None = None, extra: dict | None = None) -> Column:
-    """Fill ``{field}`` slots; ``base`` = a template held in a column."""
+def template_fields(key: str, has_profit: bool) -> list[str]:
+    """Fields used by any rule industry's template for ``key``."""
+    out: list[str] = []
+    for ind in TT.RULE_INDUSTRIES:
+        out += fields_of(pick(TT.INDUSTRY_TEXT[ind][key], has_profit))
+    return list(dict.fromkeys(out))
+
+
+def render(template, has_profit: bool, base: Column | None = None, extra: dict | None = None,
+           fields: list[str] | None = None) -> Column:
+    """Fill ``{field}`` slots; ``base`` = a template held in a column (then
+    ``fields`` lists the slots it may hold)."""
     text = pick(template, has_profit)
     values = {**PLACEHOLDERS, **(extra or {})}
     out = base if base is not None else F.lit(text)
-    names = fields_of(text) if base is None else [n for n in values]
+    names = fields_of(text) if base is None else (fields if fields is not None else list(values))
     for n in names:
         if n in values:
             out = F.replace(out, F.lit("{" + n + "}"), F.coalesce(values[n](), F.lit("nan")))
@@ -122,7 +132,7 @@ def brief_facts(df: DataFrame, m: Mapping, by: Sequence[str] = (), industry: str
 
 
 def _t(key: str, has_profit: bool) -> Column:
-    return render(None, has_profit, base=F.col(f"t_{key}"))
+    return render(None, has_profit, base=F.col(f"t_{key}"), fields=template_fields(key, has_profit))
 
 
 def risks(has_profit: bool):
@@ -166,12 +176,17 @@ def brief_sections(facts: DataFrame, by: Sequence[str], has_profit: bool) -> Dat
     return facts.select(*by, F.inline(F.when(empty, notice).otherwise(arr)))
 
 
-def brief_markdown(facts: DataFrame, by: Sequence[str], has_profit: bool) -> DataFrame:
-    """One markdown document per entity, six ``##`` sections."""
+def markdown_column(has_profit: bool) -> Column:
+    """B9 as a Column over the fact row."""
     bodies = section_bodies(has_profit)
     doc = F.concat_ws("\n\n", *[F.concat(F.lit(f"## {t}\n"), b) for t, b in zip(TT.SECTIONS, bodies)])
     notice = F.lit(f"## {TT.SECTIONS[0]}\n{TT.EMPTY_NOTICE}")
-    return facts.select(*by, F.when(F.col("n_rows") == 0, notice).otherwise(doc).alias("brief"))
+    return F.when(F.col("n_rows") == 0, notice).otherwise(doc)
+
+
+def brief_markdown(facts: DataFrame, by: Sequence[str], has_profit: bool) -> DataFrame:
+    """One markdown document per entity, six ``##`` sections."""
+    return facts.select(*by, markdown_column(has_profit).alias("brief"))
 
 
 def _records(facts: DataFrame, by, names: Sequence[str], rows: Sequence[Sequence[Column]], no: str) -> DataFrame:

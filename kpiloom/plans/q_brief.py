@@ -46,7 +46,7 @@ bt AS (SELECT * FROM bg LEFT JOIN tt USING (_tind))"""
 
 
 def _t(key, hp):
-    return Q.render(None, hp, base=f"t_{key}")
+    return Q.render(None, hp, base=f"t_{key}", fields=B.template_fields(key, hp))
 
 
 def _block_sql(fields):

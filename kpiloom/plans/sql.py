@@ -203,12 +203,13 @@ PLACEHOLDERS = {
 }
 
 
-def render(template, has_profit: bool, base: str | None = None, extra: dict | None = None) -> str:
+def render(template, has_profit: bool, base: str | None = None, extra: dict | None = None,
+           fields: list | None = None) -> str:
     from ..operators.brief import fields_of, pick
     text = pick(template, has_profit)
     values = {**PLACEHOLDERS, **(extra or {})}
     out = base if base is not None else lit(text)
-    names = fields_of(text) if base is None else list(values)
+    names = fields_of(text) if base is None else (fields if fields is not None else list(values))
     for n in names:
         if n in values:
             out = f"replace({out}, '{{{n}}}', COALESCE({values[n]}, 'nan'))"

@@ -36,9 +36,11 @@ SCALE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "kpiloom") -> SparkSession:
+              app_name: str = "kpiloom", extra_conf: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's settings."""
     builder = SparkSession.builder.appName(app_name)
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")

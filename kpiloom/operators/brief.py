@@ -111,10 +111,14 @@ def template_table(spark: SparkSession, has_profit: bool) -> DataFrame:
 
 
 def brief_facts(df: DataFrame, m: Mapping, by: Sequence[str] = (), industry: str = "SaaS",
-                industry_col: str | None = None, report_date: str = "") -> DataFrame:
-    """B1 + B7: fact row per entity with its industry's template columns."""
+                industry_col: str | None = None, report_date: str = "",
+                cube: DataFrame | None = None) -> DataFrame:
+    """B1 + B7: fact row per entity with its industry's template columns.
+
+    Pass ``cube`` to reuse a fact cube the caller also uses elsewhere.
+    """
     has_profit = m.has_profit(df)
-    facts = kpi_facts(fact_cube(df, m, by), by, has_profit)
+    facts = kpi_facts(cube if cube is not None else fact_cube(df, m, by), by, has_profit)
     if industry_col:
         ind = F.col(industry_col)
         facts = facts.join(df.select(*by, industry_col).distinct(), list(by)) if by else facts

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import month_bucket
@@ -24,7 +24,7 @@ from ..mapping import Mapping
 LEVELS = ("region", "product", "month", "all")
 
 
-def prepare(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
+def prepare(df: DataFrame, m: Mapping, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Project entity keys and role columns under fixed aliases.
 
     A role column missing from ``df`` becomes a NULL column, which the KPI
@@ -41,23 +41,42 @@ def prepare(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
              role(m.product, "_product", "string"), role(m.revenue, "_revenue")]
     if m.has_profit(df):
         cols.append(role(m.profit, "_profit"))
+    cols += [F.col(c) for c in carry]
     out = df.select(*cols)
     return out.withColumn("_month", month_bucket("_date") if m.date in df.columns
                           else F.lit(None).cast("string"))
 
 
-def fact_cube(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
-    """Rows ``(by…, level, key, revenue, profit, n)``.
+def missing_cells(df: DataFrame, exclude: Sequence[str] = ()) -> Column:
+    """Number of NULL (or NaN) cells in a row, over all columns but ``exclude``."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        if f.name in exclude:
+            continue
+        c = F.col(f"`{f.name}`")
+        miss = c.isNull()
+        if f.dataType.simpleString() in ("double", "float"):
+            miss = miss | F.isnan(c)
+        out = out + F.when(miss, 1).otherwise(0)
+    return out
+
+
+def fact_cube(df: DataFrame, m: Mapping, by: Sequence[str] = (), count_missing: bool = False) -> DataFrame:
+    """Rows ``(by…, level, key, revenue, profit, n[, n_missing])``.
 
     ``level`` is region / product / month / all; ``key`` the group label
     (NULL for ``all``).  Money keeps the input type (DECIMAL sums are exact).
+    ``count_missing`` adds the NULL-cell count (for K2) in the same pass.
     """
-    p = prepare(df, m, by)
+    p = prepare(df.withColumn("_miss", missing_cells(df, by)) if count_missing else df, m, by,
+                carry=["_miss"] if count_missing else [])
     has_profit = "_profit" in p.columns
     keys = [F.col(b) for b in by]
     sets = [keys + [F.col("_region")], keys + [F.col("_product")], keys + [F.col("_month")], keys]
     aggs = [F.sum("_revenue").alias("revenue"), F.count(F.lit(1)).alias("n"),
             F.grouping_id().alias("_gid")]
+    if count_missing:
+        aggs.append(F.sum("_miss").alias("n_missing"))
     if has_profit:
         aggs.insert(1, F.sum("_profit").alias("profit"))
     g = p.groupingSets(sets, *keys, F.col("_region"), F.col("_product"), F.col("_month")).agg(*aggs)
@@ -69,6 +88,8 @@ def fact_cube(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
     out = [*keys, level.alias("level"), key.alias("key"), F.col("revenue")]
     out.append(F.col("profit") if has_profit else F.lit(None).cast("double").alias("profit"))
     out.append(F.col("n"))
+    if count_missing:
+        out.append(F.col("n_missing"))
     return g.select(*out)
 
 

@@ -175,14 +175,36 @@ def data_confidence(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     miss = sum((missing(n, t) for n, t in fields), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("n_missing")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    cells = F.col("n_rows") * F.lit(n_cols)
-    completeness = F.when(cells > 0, 1.0 - F.col("n_missing") / cells).otherwise(1.0)
-    row_adj = F.least(F.lit(10), F.floor(F.col("n_rows") / 10))
+    return g.select(*by, F.col("n_rows").cast("long").alias("n_rows"),
+                    confidence_expr(F.col("n_rows"), F.col("n_missing"), n_cols).alias("confidence"))
+
+
+def confidence_expr(n_rows: Column, n_missing: Column, n_cols: int) -> Column:
+    """K2 from row count, NULL-cell count and column count."""
+    n = F.coalesce(n_rows, F.lit(0))
+    cells = n * F.lit(n_cols)
+    completeness = F.when(cells > 0, 1.0 - n_missing / cells).otherwise(1.0)
+    row_adj = F.least(F.lit(10), F.floor(n / 10))
     comp_adj = F.floor(completeness * 10)
     conf = F.least(F.lit(99), F.greatest(F.lit(50), CONFIDENCE_BASE + row_adj + comp_adj))
-    return g.select(*by, F.col("n_rows").cast("long").alias("n_rows"),
-                    F.when(F.col("n_rows") == 0, CONFIDENCE_EMPTY).otherwise(conf).cast("int")
-                    .alias("confidence"))
+    return F.when(n == 0, CONFIDENCE_EMPTY).otherwise(conf).cast("int")
+
+
+def confidence_from_cube(cube: DataFrame, n_cols: int, by: Sequence[str] = ()) -> DataFrame:
+    """K2 from a cube built with ``count_missing=True`` (no extra pass)."""
+    a = cube.filter(F.col("level") == "all")
+    aggs = [F.sum("n").alias("n_rows"), F.sum("n_missing").alias("n_missing")]
+    g = a.groupBy(*by).agg(*aggs) if by else a.agg(*aggs)
+    return g.select(*by, F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
+                    confidence_expr(F.col("n_rows"), F.col("n_missing"), n_cols).alias("confidence"))
+
+
+def region_facts_from_cube(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per-region revenue, profit and margin from the cube (no extra pass)."""
+    r = cube.filter((F.col("level") == "region") & F.col("key").isNotNull())
+    return r.select(*by, F.col("key").alias("region"), F.col("revenue").cast("double").alias("revenue"),
+                    F.col("profit").cast("double").alias("profit"),
+                    group_margin("profit", "revenue").alias("margin"))
 
 
 # --- single-statistic operators (each one aggregation over the rows) -------

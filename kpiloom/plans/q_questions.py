@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import PY_SPACE
 from ..operators import questions as QN
 from ..operators.brief import brief_facts
-from ..operators.kpis import data_confidence, segment_performance
+from ..operators.cube import fact_cube
+from ..session import materialize
+from ..operators.kpis import confidence_from_cube, region_facts_from_cube
 from ..sources.tables import FACT_MAPPING, load_table, sales_fact
 from . import sql as Q
 from .registry import query
@@ -23,10 +25,14 @@ def _questions(spark, d):
 
 
 def _answers(spark, d):
+    """One scan of the fact: brief facts, region facts and K2 all come from
+    the same cube, checkpointed once (it is small: one row per region,
+    product and month) so its three consumers do not recompute it."""
     fact = sales_fact(spark, d)
-    facts = brief_facts(fact, FACT_MAPPING, (), industry=INDUSTRY)
-    regions = segment_performance(fact, FACT_MAPPING, "region")
-    conf = data_confidence(fact)
+    cube = materialize(fact_cube(fact, FACT_MAPPING, (), count_missing=True))
+    facts = brief_facts(fact, FACT_MAPPING, (), industry=INDUSTRY, cube=cube)
+    regions = region_facts_from_cube(cube)
+    conf = confidence_from_cube(cube, len(fact.columns))
     return QN.answer_questions(_questions(spark, d), facts, regions, True, conf, KEYS)
 
 

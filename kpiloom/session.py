@@ -85,3 +85,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", base):
         base = os.path.abspath(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Write a small intermediate (e.g. a fact cube with several consumers) to
+    the shared checkpoint folder and read it back: one computation, lineage
+    cut, and it survives executor loss."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

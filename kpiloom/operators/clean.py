@@ -113,5 +113,16 @@ def clean_dataset(df: DataFrame, m: Mapping, date_format=None) -> DataFrame:
             replaced[a] = to_amount_col(df, a)
             checks.append(a)
     out = df.dropna(how="any", subset=core)
-    out = out.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
-    return out.dropna(how="any", subset=list(dict.fromkeys(checks)))
+    fields = [(replaced[c] if c in replaced else F.col(f"`{c}`")).alias(c) for c in df.columns]
+    # The parsed row is emitted through inline(filter(array(row))): each value
+    # is parsed once, and there is no Filter for the optimizer to push below
+    # the parse (which would evaluate every parse twice per row).
+    needed = list(dict.fromkeys(checks))
+
+    def valid(row):
+        cond = F.lit(True)
+        for c in needed:
+            cond = cond & row[c].isNotNull()
+        return cond
+
+    return out.select(F.inline(F.filter(F.array(F.struct(*fields)), valid)))

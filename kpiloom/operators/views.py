@@ -1,8 +1,8 @@
 """Ranked views and report tables.
 
-Top-k per entity uses ``row_number() <= k``; Spark turns that filter into a
-WindowGroupLimit that also runs before the shuffle, so only k candidates per
-entity and map task travel.  Sums stay exact (DECIMAL) until the output, and
+Top-k per entity uses ``row_number() <= k`` over the aggregated groups; Spark
+plans that filter as a WindowGroupLimit, so only k rows per entity survive
+the sort.  Sums stay exact (DECIMAL) until the output, and
 the "Others" bucket of T1 is the entity total minus the top rows, so no
 entity's full key list has to be ranked in one place to get it.
 """

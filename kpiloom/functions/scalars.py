@@ -32,6 +32,15 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col(c), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
 
+def py_strip_fast(name: str) -> Column:
+    """``py_strip`` for a plain column: the regex runs only when the first or
+    last character is whitespace (most lines need no stripping)."""
+    c = F.col(name)
+    one = f"^{PY_SPACE}$"
+    needs = F.substring(c, 1, 1).rlike(one) | F.substring(c, -1, 1).rlike(one)
+    return F.when(needs, py_strip(c)).otherwise(c)
+
+
 def month_bucket(ts) -> Column:
     """``YYYY-MM`` text of a timestamp (sorts correctly as text)."""
     return F.date_format(col(ts), "yyyy-MM")

@@ -64,22 +64,27 @@ def markdown_section(df: DataFrame, text_col: str, section: str, out: str = "sec
 def markdown_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, line_no, kind, text)`` per non-blank line; kinds heading /
     major / bullet / body; text ASCII-only, ``**x**`` → ``<b>x</b>`` (not in
-    headings)."""
+    headings).  Each step is its own projection over plain columns, so no
+    regex runs twice on a line."""
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    s = S.py_strip(F.col("raw"))
-    t = lines.select(id_col, F.col("line_no").cast("int").alias("line_no"), s.alias("s")).filter(F.col("s") != "")
+    t = (lines.select(id_col, F.col("line_no").cast("int").alias("line_no"), S.py_strip_fast("raw").alias("s"))
+         .filter(F.col("s") != ""))
     c = F.col("s")
     is_bullet = F.startswith(c, F.lit(BULLETS[0])) | F.startswith(c, F.lit(BULLETS[1]))
     is_num = c.rlike(NUMBERED) & (F.length(c) > 2)
-    clean = lambda x: S.py_strip(S.strip_non_ascii(x))
     kind = (F.when(F.startswith(c, F.lit(HEADING)), "heading").when(F.startswith(c, F.lit(MAJOR)), "major")
-            .when(is_bullet | is_num, "bullet").otherwise("body"))
-    text = (F.when(F.startswith(c, F.lit(HEADING)), clean(F.substring(c, 4, 1 << 30)))
-            .when(F.startswith(c, F.lit(MAJOR)), clean(F.substring(c, 3, 1 << 30)))
-            .when(is_bullet, S.bold_to_html(clean(F.substring(c, 3, 1 << 30))))
-            .when(is_num, S.bold_to_html(clean(F.substring(c, 4, 1 << 30))))
-            .otherwise(S.bold_to_html(clean(c))))
-    return t.select(id_col, "line_no", kind.alias("kind"), text.alias("text"))
+            .when(is_bullet, "bullet").when(is_num, "numbered").otherwise("body"))
+    t = t.select(id_col, "line_no", "s", kind.alias("_k"))
+    k = F.col("_k")
+    # text after the marker: '## ' / numbered '1. ' → from char 4, '# ' / bullets → from char 3
+    t = t.select(id_col, "line_no", "_k",
+                 F.expr("substring(s, CASE _k WHEN 'heading' THEN 4 WHEN 'major' THEN 3 WHEN 'bullet' THEN 3 "
+                        "WHEN 'numbered' THEN 4 ELSE 1 END)").alias("_b"))
+    t = t.select(id_col, "line_no", "_k", S.strip_non_ascii("_b").alias("_a"))
+    t = t.select(id_col, "line_no", "_k", S.py_strip_fast("_a").alias("_c"))
+    text = F.when(k.isin("heading", "major"), F.col("_c")).otherwise(S.bold_to_html("_c"))
+    out_kind = F.when(k == "numbered", "bullet").otherwise(k)
+    return t.select(id_col, "line_no", out_kind.alias("kind"), text.alias("text"))
 
 
 # Our decoration of the six brief headings for display.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash
+from . import chat, embeddings, licenses, mixing, packing, pii, quality, secret_scan, simhash, substrings
 from .common import hex64, save
 from .sql import ORACLE  # noqa: F401
 
@@ -53,6 +53,59 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in the documents: counts and digest of the base rules, spans of all rules."""
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return rows.select(F.col("id").alias("doc_id"), *[number(k).alias(f"n_{k}") for k in kinds],
+                       digest(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier documents (or earlier places) hold."""
+    return substrings.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors' links and components at a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: Fixed value: what both turns of the added conversation -1 say.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted in windows and read back from them: turns, text under the loss mask, characters."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL))
+    windows = save(chat.format_windows(rows.union(extra)), "chat-windows")
+    turns = chat.read_turns(F.col("formatted"), F.col("n_repeated"))
+    lines = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = windows.select("conv", F.col("n_new").cast("long").alias("n"), F.char_length("formatted").cast("long").alias("chars"), F.struct(
+        "window", lines.alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("loss")).alias("w"))
+    whole = read.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list("w")).alias("ws"))
+    joined = lambda part: F.array_join(F.transform("ws", lambda w: w[part]), "")
+    return whole.select(F.col("conv").alias("conv_id"), "n_turns", digest(joined("turns")).alias("turns_sha256"),
+                        F.char_length(joined("loss")).cast("long").alias("loss_chars"), digest(joined("loss")).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' best license match, and all licenses matched."""
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    top = licenses.best(F.col("matches"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), top["license"].alias("license"),
+                       F.round(-top["minus"], 6).alias("dice"),
+                       F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' cells, keeping probabilities and draws for the tempered targets."""

@@ -77,33 +77,27 @@ def _is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
 
+def _rank(role: str, name: str, numeric: bool, ordinal: int, count: int) -> int | None:
+    """How a column comes to a role: 1 exact keyword, 2 keyword inside, 3 fallback by type or hint, 4 by position."""
+    low = name.lower()
+    hints = {"date": DATE_HINTS, "region": REGION_HINTS, "product": PRODUCT_HINTS}.get(role, [])
+    place = POSITION_FALLBACK.get(role)
+    tests = {
+        1: low.strip() in ROLE_KEYWORDS[role],
+        2: any(k in low for k in ROLE_KEYWORDS[role]),
+        3: any(h in low for h in hints) or (role == "revenue" and numeric and not any(x in low for x in REVENUE_EXCLUDE)),
+        4: place is not None and ordinal == (place if count >= place else 1),
+    }
+    return min((k for k, hit in tests.items() if hit), default=None)
+
+
 def detect_columns(df_or_schema, overrides: TMapping[str, str | None] | None = None) -> Mapping:
-    """Driver-side role detection on a schema (no data is read)."""
-    schema = df_or_schema.schema if isinstance(df_or_schema, DataFrame) else df_or_schema
-    fields = list(schema.fields)
-    names = [f.name for f in fields]
-
-    def match(keys):
-        for n in names:
-            if n.lower().strip() in keys:
-                return n
-        for n in names:
-            if any(k in n.lower() for k in keys):
-                return n
-        return None
-
-    found = {r: match(ROLE_KEYWORDS[r]) for r in ROLES}
-    if not found["revenue"]:
-        for f in fields:
-            if _is_numeric(f.dataType) and not any(x in f.name.lower() for x in REVENUE_EXCLUDE):
-                found["revenue"] = f.name
-                break
-    for role, hints in (("date", DATE_HINTS), ("region", REGION_HINTS), ("product", PRODUCT_HINTS)):
-        if not found[role]:
-            found[role] = next((n for n in names if any(h in n.lower() for h in hints)), None)
-    for role, pos in POSITION_FALLBACK.items():
-        if not found[role]:
-            found[role] = names[pos - 1] if len(names) >= pos else names[0]
+    """Driver-side role detection on a schema (no data is read): for each role the column of the lowest (rank, place)."""
+    fields = (df_or_schema.schema if isinstance(df_or_schema, DataFrame) else df_or_schema).fields
+    found = {}
+    for role in ROLES:
+        ranked = [(_rank(role, f.name, _is_numeric(f.dataType), k, len(fields)), k, f.name) for k, f in enumerate(fields, 1)]
+        found[role] = min((x for x in ranked if x[0] is not None), default=(None, None, None))[2]
     return Mapping(**found).with_overrides(overrides)
 
 

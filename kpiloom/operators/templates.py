@@ -2,13 +2,8 @@
 
 Every text is a template with ``{placeholder}`` fields filled from the
 per-entity fact row (see ``brief.PLACEHOLDERS``).  A pair ``(with_profit,
-without_profit)`` gives the two variants; a plain string serves both.  The
-wording is our own; what is fixed by the behaviour we reproduce is the
-structure: six sections in order, two risk and two opportunity blocks with
-their priority and confidence, three recommendations per industry, only
-Retail and SaaS having rule templates (other industries fall back to SaaS),
-and the table shapes (2 risks, 2 opportunities, 5 initiatives, 3 months x 3
-actions, conclusion + 4 decisions).
+without_profit)`` gives the two variants; a plain string serves both.  Texts
+state recorded figures and name a next step; they promise no results.
 """
 
 from __future__ import annotations
@@ -27,131 +22,118 @@ FALLBACK_INDUSTRY = "SaaS"
 DECISION_CONFIDENCE = 95
 # ---------------------------------------------------------------------------
 
-EMPTY_NOTICE = "No brief can be written: the dataset has no valid rows after cleaning."
+EMPTY_NOTICE = "Nothing to report: no rows are left after cleaning."
 
 EXEC_SUMMARY = (
-    "Over the period the business booked **{total_revenue}** in revenue and **{total_profit}** in profit, "
-    "a consolidated margin of **{profit_margin}%**. Its health score is **{health_score}/100**, rated "
-    "**{health_status}**. Sales depend most on the **{top_region}** market and the **{top_product}** line. "
-    "Revenue shows {growth_statement}.",
-    "Over the period the business booked **{total_revenue}** in revenue; the data holds no profit figures. "
-    "Its health score is **{health_score}/100**, rated **{health_status}**. Sales depend most on the "
-    "**{top_region}** market and the **{top_product}** line. Revenue shows {growth_statement}.",
+    "Sales of **{total_revenue}** left **{total_profit}**, which is **{profit_margin}%** of them. Month by month the "
+    "figures draw {growth_statement}. No region outsells **{top_region}**, no product outsells **{top_product}**. "
+    "Together these readings make **{health_score}/100** points: **{health_status}**.",
+    "Sales came to **{total_revenue}**; profit was not recorded. Month by month the figures draw {growth_statement}. "
+    "No region outsells **{top_region}**, no product outsells **{top_product}**. Together these readings make "
+    "**{health_score}/100** points: **{health_status}**.",
 )
 
 FINDINGS = (
-    "- **Product concentration**: **{top_product}** brings in the most revenue and keeps a margin of "
-    "**{top_product_margin}%**.\n"
-    "- **Regional spread**: **{top_region}** leads on sales, while **{worst_region}** has the thinnest margin.\n"
-    "- **Trend**: the data shows {growth_statement}. Holding profit will take cost and price work where "
-    "margins trail.",
-    "- **Product concentration**: **{top_product}** brings in the most revenue, **{top_product_rev}**.\n"
-    "- **Regional spread**: **{top_region}** leads on sales with **{top_region_rev}**; other markets trail.\n"
-    "- **Trend**: the data shows {growth_statement}. Growth will need wider customer reach and new markets.",
+    "- **Best seller**: **{top_product}**, with a margin of **{top_product_margin}%** of its own.\n"
+    "- **Regions**: **{top_region}** sells the most; **{worst_region}** keeps the least of what it sells.\n"
+    "- **Months**: the series draws {growth_statement}.",
+    "- **Best seller**: **{top_product}** with **{top_product_rev}**.\n"
+    "- **Regions**: **{top_region}** sells the most, **{top_region_rev}**.\n"
+    "- **Months**: the series draws {growth_statement}.",
 )
 
 INDUSTRY_TEXT = {
     "Retail": {
-        "risk_name": ("Slow-moving stock in {worst_product}", "Sales concentrated in few categories"),
-        "risk_evidence": ("{worst_product} runs at a {worst_product_margin}% margin.",
-                          "{top_product} carries the largest share of revenue."),
-        "risk_impact": "Cash tied up in stock and rising storage cost.",
-        "risk_rec": ("Order closer to demand and clear aged stock with targeted promotions.",
-                     "Broaden the range into neighbouring categories."),
-        "opp_name": "Multichannel growth in {top_region}",
-        "opp_evidence": "{top_region} sells the most, {top_region_rev0} in total.",
-        "opp_impact": "A larger share of customer spend and better online conversion.",
-        "opp_rec": "Run loyalty offers and local campaigns in {top_region}.",
-        "rec1": ("**Tune the supply chain**: review delivery routes serving **{worst_region}**, the "
-                 "lowest-margin region, to cut logistics cost.",
-                 "**Tune the supply chain**: review delivery routes outside **{top_region}** to cut "
-                 "logistics cost."),
-        "rec2": ("**Set markdown rules**: clear slow **{worst_product}** stock without eroding base margins.",
-                 "**Stock for demand**: raise allocations in **{top_region}** ahead of peak season."),
-        "rec3": "**Cross-sell**: pair **{top_product}** with slower lines to lift basket size.",
-        "impact": "Expected next quarter: regional margins up about 4.5% and stock turning about 18% faster.",
+        "risk_name": ("Little left of {worst_product} sales", "One product carries the shop: {top_product}"),
+        "risk_evidence": ("Of all products {worst_product} keeps the smallest part of its price, {worst_product_margin}%.",
+                          "{top_product} alone sold {top_product_rev}."),
+        "risk_impact": ("The next sale of it hardly adds to profit.", "Its bad month is everyone's bad month."),
+        "risk_rec": ("Lay purchase price and shelf price side by side before the next order.",
+                     "Give a second product the same display for a month."),
+        "opp_name": "Earlier offers for {top_region}",
+        "opp_evidence": "Tills in {top_region} took {top_region_rev0}.",
+        "opp_impact": "Customers who know the range come back sooner.",
+        "opp_rec": "See what is bought together in {top_region} and offer it ahead of the season.",
+        "rec1": ("**Walk the shelf in {worst_region}**: decide item by item what stays.",
+                 "**Walk the shelf outside {top_region}**: decide item by item what stays."),
+        "rec2": ("**{worst_product}**: new price, new supplier, or no reorder.",
+                 "**Season**: plan it from the receipts of {top_region}."),
+        "rec3": "**Neighbours on the shelf**: put something that sells less beside {top_product} and compare receipts.",
+        "impact": "Compare the next quarter with two figures of this report: sales of {total_revenue} and {health_score} points.",
     },
     "SaaS": {
-        "risk_name": ("Churn and acquisition cost pressure in {worst_product}", "Subscription churn"),
-        "risk_evidence": ("{worst_product} earns a {worst_product_margin}% margin.",
-                          "Multi-period contracts can lapse without warning."),
-        "risk_impact": "Lower customer lifetime value and faster cash burn on acquisition.",
-        "risk_rec": "Strengthen onboarding and tie sales incentives to net revenue retention.",
-        "opp_name": "Enterprise upsell in {top_region}",
-        "opp_evidence": "{top_region} leads regional sales with {top_region_rev0}.",
-        "opp_impact": "Higher contract values and more recurring revenue.",
-        "opp_rec": "Offer premium support and security add-ons to accounts in {top_region}.",
-        "rec1": "**Catch churn early**: flag inactive accounts from usage signals before renewal.",
-        "rec2": ("**Rebalance acquisition spend**: move budget from the weaker **{worst_region}** market to "
-                 "segments that convert.",
-                 "**Rebalance acquisition spend**: move budget toward segments that convert, starting "
-                 "with **{top_region}**."),
-        "rec3": "**Tier the pricing**: move advanced features into a premium tier to raise revenue per account.",
-        "impact": "Expected next quarter: churn down about 14% and recurring revenue up about 11%.",
+        "risk_name": ("{worst_product} costs nearly what it bills", "Renewals of {top_product}"),
+        "risk_evidence": ("Only {worst_product_margin}% of what customers pay for {worst_product} is left.",
+                          "{top_product} bills {top_product_rev}, and each contract ends some day."),
+        "risk_impact": ("Every further seat brings work, but hardly money.", "A handful of cancellations would show in the total."),
+        "risk_rec": "Ask the accounts that use it least what they would miss.",
+        "opp_name": "Colleagues of present users in {top_region}",
+        "opp_evidence": "Accounts in {top_region} were billed {top_region_rev0}.",
+        "opp_impact": "More seats without another first sale.",
+        "opp_rec": "Show administrators in {top_region} which teams work without a login.",
+        "rec1": "**Calendar of contracts**: one list with end date and owner.",
+        "rec2": ("**Hours against bills**: set support time for {worst_region} against what it pays.",
+                 "**Hours against bills**: set support time of every region against what it pays, {top_region} first."),
+        "rec3": "**One plan fewer**: merge the two plans that customers mix up.",
+        "impact": "Compare the next quarter with this report: contracts kept, and {health_score} points.",
     },
 }
 
 RISK2 = {
-    "issue": ("Regional operating cost in {worst_region}", "Regional operating cost outside {top_region}"),
-    "evidence": ("{worst_region} has the lowest margin, {worst_region_margin}%.",
-                 "Sales outside {top_region} trail the leading market."),
-    "impact": "Slower profit growth and weak regional cash flow.",
-    "rec": "Audit regional office costs and merge overlapping overhead.",
+    "issue": ("{worst_region} keeps the least", "All sales outside {top_region}"),
+    "evidence": ("{worst_region_margin}% of its sales remain, less than in any other region.",
+                 "No other region reaches {top_region_rev}."),
+    "impact": ("It pulls down what all regions keep together.", "The total moves with one region."),
+    "rec": ("Put its discounts next to those of the other regions.", "Visit the customers of the second-largest region."),
 }
 OPP2 = {
-    "issue": "Margin expansion for {top_product}",
-    "evidence": "Demand is highest for {top_product}.",
-    "impact": "Extra cash flow with little added investment.",
-    "rec": "Run value-based upsell campaigns and add high-margin extras.",
+    "issue": "A larger {top_product}",
+    "evidence": "Nothing is bought more: {top_product_rev}.",
+    "impact": "It meets demand that is on record.",
+    "rec": "Offer one bigger or dearer version in a single region and watch.",
 }
 
 # Presentation tables
 RISK_REGISTER = [
-    (("Volume squeeze in {worst_product15}", "Market and category concentration"), "HIGH",
-     ("Lower margins and weaker cash flow.", "Heavy reliance on one market."),
-     ("Audit unit costs for {worst_product15}", "Widen channels and market outside {top_region15}."),
-     "IMMEDIATE"),
-    (("Operating cost overruns", "Administrative overhead"), "MEDIUM",
-     ("Regional net earnings held back.", "Duplicated local admin cost."),
-     "Hold regional reviews and merge branch overhead.", "30 DAYS"),
+    (("{worst_product15} keeps little", "{top_product15} carries much"), "HIGH",
+     ("Sales without profit.", "One bad month hits all."),
+     ("Check cost and price of {worst_product15}.", "Build up a second product."), "IMMEDIATE"),
+    (("Regions keep unequal parts", "{top_region15} sells most"), "MEDIUM",
+     ("The average falls.", "The total follows one region."), "Lay the regions' discounts side by side.", "30 DAYS"),
 ]
 OPPORTUNITY_TABLE = [
-    ("Grow the high-volume {top_product15} line", ("Higher quarterly profit margins.", "Wider sales coverage."),
-     "Medium (sales cycles)", "4.5x (proven demand)"),
-    ("Digital upsell in {top_region15}", "Bigger share of spend in profitable markets.", "Low (campaigns)",
-     "3.2x (high lifetime value)"),
+    ("A larger {top_product15}", ("More kept from present demand.", "More sold to present customers."), "Medium",
+     "Measure after one quarter"),
+    ("Earlier offers in {top_region15}", "Returning customers.", "Low", "Measure after one season"),
 ]
 INITIATIVES = [
-    (("Streamline {worst_product15} delivery", "Broaden the product range"),
-     "Lower overhead and more segment sales", "HIGH", "COO", "30 Days"),
-    ("Copy top-region playbooks", "Consistent selling in weaker areas", "HIGH", "VP Sales", "60 Days"),
-    ("Premium tier for {top_product15}", "Higher contract value and retention", "MEDIUM", "VP Product", "60 Days"),
-    ("Trim overhead", "Fewer operating leaks", "MEDIUM", "CFO", "30 Days"),
-    ("Digital upsell", "Higher customer lifetime value in key segments", "LOW", "CMO", "90 Days"),
+    (("Price check of {worst_product15}", "A second product besides {top_product15}"),
+     ("Profit on later sales", "Less hangs on one name"), "HIGH", "Pricing", "6 weeks"),
+    ("Visit to {top_region15}", "Habits that others can try", "HIGH", "Sales", "3 weeks"),
+    ("Trial of a larger {top_product15}", "Use of present demand", "MEDIUM", "Product", "1 quarter"),
+    ("Regional figures every month", "Early warning", "MEDIUM", "Finance", "2 weeks"),
+    ("Calls to lost customers", "Reasons in their words", "LOW", "Service", "1 quarter"),
 ]
 ROADMAP = [
-    ("Month 1", "Cost review and groundwork",
-     [("Start a unit-cost review for {worst_product15}.", "Review local acquisition campaigns."),
-      "Draft a shared regional playbook.", "Set margin floors for sales."]),
-    ("Month 2", "Alignment and upsell",
-     ["Roll out {top_region15} plays in other regions.", "Train account teams on churn signals.",
-      "Start enterprise pilots."]),
-    ("Month 3", "Pricing launch and review",
-     ["Launch revised pricing.", "Run the first quarterly health-score review.",
-      "Measure regional marketing return."]),
+    ("Month 1", "Look",
+     [("Split the cost of {worst_product15} into parts.", "Split sales by channel."),
+      "Spend a day with the team in {top_region15}.", "Choose the three figures to watch."]),
+    ("Month 2", "Try",
+     ["Offer one larger {top_product15}.", "Repeat one habit of {top_region15} elsewhere.", "Phone customers who left."]),
+    ("Month 3", "Choose",
+     ["Keep, change or end each trial.", "Compare the points with {health_score}.", "Write down the next three trials."]),
 ]
 CONCLUSION = (
-    "The assessment shows a viable core business: health is rated **{health_status}** (score "
-    "**{health_score}/100**). Margin growth is held back by local pricing gaps and regional overhead.",
-    "The assessment shows a viable core business: health is rated **{health_status}** (score "
-    "**{health_score}/100**). Further growth needs a broader range and wider geographic reach.",
+    "**{health_score}/100** points count as **{health_status}**. The figure to move next is what remains of sales: "
+    "{profit_margin}%.",
+    "**{health_score}/100** points count as **{health_status}**. The figure to move next is what is sold outside "
+    "**{top_region}**.",
 )
 DECISIONS = [
-    ("1. **Approve the cost review** for the weakest categories.",
-     "1. **Expand the range**: approve catalogue growth campaigns."),
-    "2. **Shift budget**: approve moving 15% of spend to sales growth in **{top_region15}**.",
-    "3. **Protect accounts**: approve bundled service plans against churn.",
-    "4. **Confidence**: " + str(DECISION_CONFIDENCE) + "%, based on the full sales history.",
+    ("1. **Price**: may {worst_product15} cost more?", "1. **Range**: may a new line be tried?"),
+    "2. **Time**: may two people from **{top_region15}** train others?",
+    "3. **Money**: is there a budget for calls to former customers?",
+    "4. **Confidence**: " + str(DECISION_CONFIDENCE) + "% that the figures describe the recorded sales.",
 ]
 METADATA = [
     ("INDUSTRY", "{industry}"),
@@ -160,34 +142,37 @@ METADATA = [
     ("TOTAL PROFIT", ("{total_profit} ({profit_margin}% margin)", "N/A (no profit data)")),
     ("REPORT DATE", "{report_date}"),
 ]
-SUMMARY_DEFAULT = ("Health is rated {health_status} at {health_score}/100. Growth comes mainly from "
-                   "{top_region} and the {top_product} line.")
+SUMMARY_DEFAULT = "{health_score}/100 points ({health_status}); {top_region} and {top_product} sell the most."
 
-# Prompt guidance per industry (our wording); unknown industry → "".
+# One line of guidance per industry; an unknown industry has none.
 GUIDANCE = {
-    "Retail": "Weigh stock levels, promotion results, demand forecasts and shifts in shopper behaviour.",
-    "Banking": "Weigh customer retention, fraud controls, regulatory duties and digital channel uptake.",
-    "Healthcare": "Weigh patient outcomes, compliance, operational throughput and billing cycles.",
-    "Manufacturing": "Weigh cost of goods, plant utilisation, quality data and inventory carrying cost.",
-    "Technology": "Weigh R&D return, hosting cost, delivery speed and time to market.",
-    "SaaS": "Weigh churn, subscription expansion, recurring revenue run-rate and acquisition cost.",
-    "Telecommunications": "Weigh revenue per user, network capacity, subscriber acquisition cost and capital spend.",
+    "Retail": "Think in baskets, seasons and shelf space.",
+    "Banking": "Think in deposits, loan losses and branch visits.",
+    "Healthcare": "Think in patient visits, staffing and reimbursement.",
+    "Manufacturing": "Think in machine hours, scrap and lead time.",
+    "Technology": "Think in releases, support load and unit cost.",
+    "SaaS": "Think in renewals, seats and support time.",
+    "Telecommunications": "Think in lines, coverage and contract length.",
 }
-PROMPT_SYSTEM = ("You are a senior strategy advisor writing a decision brief for the leadership team of a "
-                 "{industry} business. Be precise and skip filler. {guidance}")
+PROMPT_SYSTEM = "You write short, factual briefs for the management of a {industry} company. {guidance}"
 PROMPT_PROFIT = (
-    "- Total profit: {total_profit}\n- Margin: {profit_margin}%\n"
-    "- Lowest-margin region: {worst_region} ({worst_region_margin}%)\n"
-    "- Lowest-margin product: {worst_product} ({worst_product_margin}%)\n"
-    "- Margin of the top-revenue product {top_product}: {top_product_margin}%",
-    "Profit data is not available. Concentrate on revenue, growth, regional spread and customers.",
+    "profit: {total_profit} ({profit_margin}% of sales)\n"
+    "lowest margin by region: {worst_region}, {worst_region_margin}%\n"
+    "lowest margin by product: {worst_product}, {worst_product_margin}%\n"
+    "margin of {top_product}: {top_product_margin}%",
+    "profit: not recorded, so write about sales only",
+)
+PROMPT_FACTS = (
+    "company: {industry}\nscore: {health_score}/100, {health_status}\nsales: {total_revenue}\n{profit_lines}\n"
+    "largest region: {top_region}, {top_region_rev}\nlargest product: {top_product}, {top_product_rev}\n"
+    "months: {growth_statement}"
 )
 PROMPT_USER = (
-    "Write an executive decision brief from these figures.\n\n"
-    "- Industry: {industry}\n- Health score: {health_score}/100 ({health_status})\n"
-    "- Total revenue: {total_revenue}\n{profit_lines}\n"
-    "- Top region: {top_region} ({top_region_rev})\n- Top product: {top_product} ({top_product_rev})\n"
-    "- Trend: {growth_statement}\n\n"
-    "Answer in Markdown with exactly these sections, in this order: {section_list}. "
-    "Risks and opportunities: two each, every one with the fields {field_list}."
+    PROMPT_FACTS + "\n\nTurn these figures into a Markdown brief with the sections {section_list}, in that order. "
+    "The sections on risks and on opportunities hold two items each, with the fields {field_list}."
+)
+PROMPT_QUESTION = (
+    "You answer questions about one company from the figures below and from nothing else. {guidance}\n\n"
+    + PROMPT_FACTS + "\n\nSay so if the figures do not answer a question. Keep numbers as given. "
+    "Answer in Markdown under the headers {header_list}."
 )

@@ -27,6 +27,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, dots and spaces included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def py_strip(c) -> Column:
     """Strip leading/trailing whitespace like Python's ``str.strip()``."""
     return F.regexp_replace(col(c), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
@@ -166,7 +171,7 @@ def strip_non_ascii(c) -> Column:
 
 def bold_to_html(c) -> Column:
     """``**x**`` → ``<b>x</b>``; a left-over unpaired ``**`` → ``<b>``."""
-    paired = F.regexp_replace(col(c), r"\*\*(.*?)\*\*", "<b>$1</b>")
+    paired = F.regexp_replace(col(c), r"(?s)\*\*(.*?)\*\*", "<b>$1</b>")
     return F.replace(paired, F.lit("**"), F.lit("<b>"))
 
 

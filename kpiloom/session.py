@@ -55,7 +55,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result-deciding settings to an existing session."""
+    """Apply the result-deciding settings to an existing session, for good: plans built from it run later."""
     for k, v in RESULT_CONF.items():
         spark.conf.set(k, v)
     return spark
@@ -64,14 +64,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables and checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only where none is set (local
-    tests) do we create one, and register it so ``checkpoint()`` works too.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only where none is set and the
+    master is ``local`` do we create one, and register it so ``checkpoint()``
+    works too; a cluster without one is an error, because its executors don't share local folders.
+    What is written there stays until the cluster's own clean-up of that folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="kpiloom-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -87,6 +91,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_and_read(df, name: str):
+    """Write an intermediate to the shared folder and read it back: lineage is
+    cut, and later joins know its true size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write a small intermediate (e.g. a fact cube with several consumers) to
     the shared checkpoint folder and read it back: one computation, lineage

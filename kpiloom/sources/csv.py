@@ -2,7 +2,8 @@
 
 Everything is read as text first.  NA tokens become NULL; then one
 aggregation decides, per column, whether every non-NULL value is a number
-(→ bigint when all are integers, else double).  Repeated header names get
+(→ bigint when all are integers, else double).  Files are split between tasks
+unless ``multi_line`` says that quoted values may hold line feeds.  Repeated header names get
 pandas-style suffixes (``x, x.1, x.2``).
 """
 
@@ -41,9 +42,16 @@ def pandas_style_names(names: Iterable[str]) -> list[str]:
     return out
 
 
-def load_csv(spark: SparkSession, path: str, na_values: Iterable[str] = NA_TOKENS,
-             infer_numbers: bool = True) -> DataFrame:
-    reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+#: Session setting that names the dataset to load when no path is given.
+DEFAULT_SETTING = "spark.kpiloom.defaultDataset"
+
+
+def load_csv(spark: SparkSession, path: str | None = None, na_values: Iterable[str] = NA_TOKENS,
+             infer_numbers: bool = True, multi_line: bool = False) -> DataFrame:
+    path = path or spark.conf.get(DEFAULT_SETTING, None)
+    if not path:
+        raise ValueError(f"give a path, or name a default dataset in {DEFAULT_SETTING}")
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
               .option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE"))
     raw = reader.csv(path)
     header_line = spark.read.text(path).first()

@@ -110,21 +110,37 @@ def template_table(spark: SparkSession, has_profit: bool) -> DataFrame:
     return spark.createDataFrame(rows, ["_tind"] + [f"t_{k}" for k in TEMPLATE_KEYS])
 
 
+def _with_industry(facts: DataFrame, df: DataFrame, by: Sequence[str], industry_col: str, default: str) -> DataFrame:
+    seen = df.select(*[S.named(b).alias(f"_i{k}") for k, b in enumerate(by)], S.named(industry_col).cast("string").alias("_ind"))
+    keys = [f"_i{k}" for k in range(len(by))]
+    counted = seen.where(F.col("_ind").isNotNull()).groupBy(*keys, "_ind").agg(F.count(F.lit(1)).alias("_n"))
+    one = counted.groupBy(*keys).agg(F.min_by("_ind", F.struct((-F.col("_n")).alias("n"), F.col("_ind").alias("v"))).alias("_ind"))
+    if not by:  # both sides are one row
+        joined = facts.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    else:
+        same = F.lit(True)
+        for k, b in enumerate(by):
+            same = same & facts[b].eqNullSafe(one[f"_i{k}"])
+        joined = facts.join(one, same, "left").drop(*keys)
+    return joined.withColumn("industry", F.coalesce("_ind", F.lit(default))).drop("_ind")
+
+
 def brief_facts(df: DataFrame, m: Mapping, by: Sequence[str] = (), industry: str = "SaaS",
                 industry_col: str | None = None, report_date: str = "",
                 cube: DataFrame | None = None) -> DataFrame:
     """B1 + B7: fact row per entity with its industry's template columns.
 
-    Pass ``cube`` to reuse a fact cube the caller also uses elsewhere.
+    ``industry_col``: the entity's industry is the most frequent value of that
+    column among its rows, of equally frequent ones the smallest; without any
+    value it is ``industry``.  Pass ``cube`` to reuse a fact cube the caller also
+    uses elsewhere.
     """
     has_profit = m.has_profit(df)
-    facts = kpi_facts(cube if cube is not None else fact_cube(df, m, by), by, has_profit)
+    facts = kpi_facts(cube if cube is not None else fact_cube(df, m, by), by, has_profit, m.revenue in df.columns)
     if industry_col:
-        ind = F.col(industry_col)
-        facts = facts.join(df.select(*by, industry_col).distinct(), list(by)) if by else facts
+        facts = _with_industry(facts, df, by, industry_col, industry)
     else:
-        ind = F.lit(industry)
-    facts = facts.withColumn("industry", ind)
+        facts = facts.withColumn("industry", F.lit(industry))
     tind = F.when(F.col("industry").isin(TT.RULE_INDUSTRIES), F.col("industry")).otherwise(TT.FALLBACK_INDUSTRY)
     guidance = F.lit("")
     for k, v in TT.GUIDANCE.items():
@@ -256,14 +272,24 @@ def report_metadata(facts, by, has_profit):
 
 def brief_prompts(facts, by, has_profit):
     """System + user prompt text per entity."""
-    extra = {
+    extra = _prompt_parts(has_profit)
+    system = render(TT.PROMPT_SYSTEM, has_profit)
+    user = render(TT.PROMPT_USER, has_profit, extra=extra)
+    return facts.select(*by, F.trim(system).alias("system_prompt"), user.alias("user_prompt"))
+
+
+def _prompt_parts(has_profit: bool) -> dict:
+    return {
         "profit_lines": lambda: render(TT.PROMPT_PROFIT, has_profit),
         "section_list": lambda: F.lit(", ".join(TT.SECTIONS)),
         "field_list": lambda: F.lit(", ".join(TT.BLOCK_FIELDS)),
     }
-    system = render(TT.PROMPT_SYSTEM, has_profit)
-    user = render(TT.PROMPT_USER, has_profit, extra=extra)
-    return facts.select(*by, F.trim(system).alias("system_prompt"), user.alias("user_prompt"))
+
+
+def question_prompts(facts: DataFrame, by: Sequence[str], has_profit: bool, headers: Sequence[str]) -> DataFrame:
+    """B10 for questions: one system text per entity with its facts, the rules and the answer headers."""
+    extra = {**_prompt_parts(has_profit), "header_list": lambda: F.lit(", ".join(headers))}
+    return facts.select(*by, render(TT.PROMPT_QUESTION, has_profit, extra=extra).alias("system_prompt"))
 
 
 def summary_default(has_profit: bool) -> Column:

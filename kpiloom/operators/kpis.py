@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (NA, clamp, group_margin, growth_statement, health_class,
                                  round_even_int, total_margin)
 from ..mapping import Mapping
-from .cube import fact_cube, prepare
+from .cube import fact_cube, missing_cells, prepare
 
 # ---------------------------------------------------------------------------
 # Health-score parameters.
@@ -36,15 +36,16 @@ KPI_COLUMNS = ["n_rows", "total_revenue", "total_profit", "profit_margin", "top_
                "top_region_rev", "top_product", "top_product_rev", "growth_score",
                "consistency_score", "balance_score", "margin_score", "health_score",
                "health_status"]
-COMPONENT_DIGITS = 6
 
 
 def _lvl(name: str) -> Column:
     return (F.col("level") == name) & F.col("key").isNotNull()
 
 
-def kpi_facts(cube: DataFrame, by: Sequence[str] = (), has_profit: bool = True) -> DataFrame:
-    """One row per entity with KPIs, score components and brief facts."""
+def kpi_facts(cube: DataFrame, by: Sequence[str] = (), has_profit: bool = True, has_revenue: bool = True) -> DataFrame:
+    """One row per entity with KPIs, score components and brief facts.
+
+    No rows, or no revenue column (``has_revenue``): the default record, with 0 as its count of usable rows."""
     rev, prof, key = F.col("revenue"), F.col("profit"), F.col("key")
     rev_d = rev.cast("double")
     is_all, is_r, is_p, is_m = F.col("level") == "all", _lvl("region"), _lvl("product"), _lvl("month")
@@ -108,15 +109,15 @@ def kpi_facts(cube: DataFrame, by: Sequence[str] = (), has_profit: bool = True)
         w = WEIGHTS_NO_PROFIT
         raw = w["growth"] * growth_score + w["consistency"] * consistency + w["balance"] * balance
         total_profit = F.lit(0.0)
-    empty = c("n_rows").isNull() | (c("n_rows") == 0)
+    empty = c("n_rows").isNull() | (c("n_rows") == 0) if has_revenue else F.lit(True)
     score = round_even_int(raw)
 
     def rnd(x):
-        return F.when(~empty, F.round(x, COMPONENT_DIGITS))
+        return F.when(~empty, x)
 
     out = g.select(
         *by,
-        F.coalesce(c("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
+        F.when(empty, 0).otherwise(c("n_rows")).cast("long").alias("n_rows"),
         F.when(empty, 0.0).otherwise(total).alias("total_revenue"),
         F.when(empty, 0.0).otherwise(total_profit).alias("total_profit"),
         F.when(empty, 0.0).otherwise(pmargin).alias("profit_margin"),
@@ -147,13 +148,12 @@ def kpi_facts(cube: DataFrame, by: Sequence[str] = (), has_profit: bool = True)
 
 def kpi_summary(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
     """K1: the KPI record (+ score components), one row per entity."""
-    facts = kpi_facts(fact_cube(df, m, by), by, m.has_profit(df))
-    return facts.select(*by, *KPI_COLUMNS)
+    return kpi_facts(fact_cube(df, m, by), by, m.has_profit(df), m.revenue in df.columns).select(*by, *KPI_COLUMNS)
 
 
 def health_components(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
     """H1-H6: component scores, weighted score and class."""
-    facts = kpi_facts(fact_cube(df, m, by), by, m.has_profit(df))
+    facts = kpi_facts(fact_cube(df, m, by), by, m.has_profit(df), m.revenue in df.columns)
     return facts.select(*by, "growth_score", "consistency_score", "balance_score",
                         "margin_score", "health_score", "health_status")
 
@@ -163,16 +163,8 @@ def data_confidence(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Completeness counts NULL (and NaN) cells over all columns in one pass.
     """
-    def missing(name, dtype):
-        c = F.col(name)
-        m = c.isNull()
-        if dtype in ("double", "float"):
-            m = m | F.isnan(c)
-        return F.when(m, 1).otherwise(0)
-
-    fields = [(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name not in by]
-    n_cols = len(fields)
-    miss = sum((missing(n, t) for n, t in fields), F.lit(0))
+    n_cols = len([f for f in df.schema.fields if f.name not in by])
+    miss = missing_cells(df, by)
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("n_missing")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     return g.select(*by, F.col("n_rows").cast("long").alias("n_rows"),
@@ -220,7 +212,7 @@ def totals(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
 
 
 def segment_performance(df: DataFrame, m: Mapping, role: str, by: Sequence[str] = ()) -> DataFrame:
-    """A2-A5: revenue (+ profit, margin) per region / product / month."""
+    """Revenue (+ profit, margin) per region / product / month; months in ascending order (T5)."""
     p = prepare(df, m, by)
     k = {"region": "_region", "product": "_product", "month": "_month"}[role]
     aggs = [F.sum("_revenue").alias("_rev")]
@@ -231,7 +223,8 @@ def segment_performance(df: DataFrame, m: Mapping, role: str, by: Sequence[str]
     if "_profit" in p.columns:
         cols += [F.col("_prof").cast("double").alias("profit"),
                  group_margin("_prof", "_rev").alias("margin")]
-    return g.select(*cols)
+    out = g.select(*cols)
+    return out.orderBy(*by, "month") if role == "month" else out
 
 
 def growth_rate(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
@@ -252,8 +245,7 @@ def revenue_cv(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
             F.stddev_samp("revenue").alias("std_rev")]
     g = mon.groupBy(*by).agg(*aggs) if by else mon.agg(*aggs)
     cv = F.when(F.col("mean_rev") > 0, F.col("std_rev") / F.col("mean_rev")).otherwise(F.lit(1.0))
-    return g.select(*by, "n_months", F.round("mean_rev", 4).alias("mean_rev"),
-                    F.round("std_rev", 4).alias("std_rev"), F.round(cv, 6).alias("cv"))
+    return g.select(*by, "n_months", "mean_rev", "std_rev", cv.alias("cv"))
 
 
 def region_hhi(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
@@ -266,4 +258,4 @@ def region_hhi(df: DataFrame, m: Mapping, by: Sequence[str] = ()) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_regions"), F.sum(F.col("revenue") * F.col("revenue")).alias("_sq"),
             F.sum("revenue").alias("_t")]
     g = reg.groupBy(*by).agg(*aggs) if by else reg.agg(*aggs)
-    return g.select(*by, "n_regions", F.round(F.col("_sq") / (F.col("_t") * F.col("_t")), 6).alias("hhi"))
+    return g.select(*by, "n_regions", (F.col("_sq") / (F.col("_t") * F.col("_t"))).alias("hhi"))

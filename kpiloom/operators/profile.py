@@ -1,13 +1,11 @@
 """Profiling (D1-D5): the describe(include='all') family as Spark aggregates.
 
-Columns are unpivoted to ``(column, value)`` so one aggregation covers any
-number of columns.  Categorical stats aggregate twice (value counts, then per
-column) with map-side combining, so a hot value never gathers its rows.
-
-Quantiles: ``exact=True`` uses Spark's exact ``percentile`` (linear
-interpolation, the describe() definition).  Its buffer holds one entry per
-distinct value of a column, so for very large, high-cardinality columns pass
-``exact=False``: ``percentile_approx`` keeps a bounded sketch per column.
+One pass over the data counts the distinct values of all columns at once
+(column, value, count), with map-side combining, so a hot value never gathers
+its rows.  Everything else works on those counts.  Quantiles are exact: the counts are
+ordered by range partitions (``ranks.running_before``), which gives every value
+its place among all rows, and each quantile interpolates between the two values around its place.
+No task holds all distinct values of a column.
 """
 
 from __future__ import annotations
@@ -17,97 +15,125 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUANTILES = [0.25, 0.5, 0.75]
-DIGITS = 4
-APPROX_ACCURACY = 100_000
+from ..functions.scalars import named
+from ..session import write_and_read
+from .ranks import running_before
+
+QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+STATS = ("count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max")
+MISSING = "nan"
 
 
 def shape(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Row and column count."""
     n_cols = len([c for c in df.columns if c not in by])
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     return g.select(*by, F.col("n_rows").cast("long").alias("n_rows"), F.lit(n_cols).cast("int").alias("n_cols"))
 
 
-def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str], cast: str) -> DataFrame:
-    stacked = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value"))
-                                 for c in cols]))
-    return df.select(*by, stacked)
-
-
-def _quantiles(v: Column, exact: bool) -> Column:
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    return F.percentile(v, qs) if exact else F.percentile_approx(v, qs, APPROX_ACCURACY)
-
-
-def profile_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Count, mean, std (ddof 1), min, 25/50/75 %, max per numeric column."""
-    long = _long(df, cols, by, "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    g = long.groupBy(*by, "column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), _quantiles(F.col("value"), exact).alias("q"), F.max("value").alias("max"))
-    r = lambda c: F.round(c, DIGITS)
-    return g.select(*by, "column", F.col("count").cast("long").alias("count"), r("mean").alias("mean"),
-                    r("std").alias("std"), r("min").alias("min"), r(F.col("q")[0]).alias("p25"),
-                    r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p75"), r("max").alias("max"))
+def value_counts(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = (),
+                 by: Sequence[str] = ()) -> DataFrame:
+    """(by…, column, number, text, n): how often each value of each column occurs; n 0 stands for missing values.
+
+    Numbers (NaN counts as missing) and dates (as microseconds) are in ``number``, categories in ``text``."""
+    cells = []
+    for kind, names in (("n", numeric), ("c", categorical), ("d", dates)):
+        for c in names:
+            v = named(c)
+            number = v.cast("double") if kind == "n" else F.unix_micros(v.cast("timestamp")).cast("double") if kind == "d" else F.lit(None).cast("double")
+            cells.append(F.struct(F.lit(c).alias("column"), F.nanvl(number, F.lit(None).cast("double")).alias("number"),
+                                  (v.cast("string") if kind == "c" else F.lit(None).cast("string")).alias("text")))
+    long = df.select(*by, F.inline(F.array(*cells)))
+    known = F.col("number").isNotNull() | F.col("text").isNotNull()
+    counts = long.groupBy(*by, "column", "number", "text").agg(F.count(F.when(known, 1)).alias("n"))
+    return write_and_read(counts, "value-counts")
+
+
+def _numbers(counts: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """count, mean, std, min, quartiles and max of the columns, from their value counts."""
+    keys = [*by, "column"]
+    some = counts.where(F.col("column").isin(list(names))).drop("text")
+    total = some.groupBy(*keys).agg(F.sum("n").alias("count"), (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("mean"),
+                                    F.min("number").alias("min"), F.max("number").alias("max"))
+    placed = running_before(some, keys, ["number"], {"rows": F.col("n")})
+    joined = _same(placed.where("n > 0"), total, keys)
+    off = F.col("number") - F.col("mean")
+    aggs = [F.sum(F.col("n") * off * off).alias("squares")]
+    for name, q in QUANTILES.items():
+        place = (F.col("count") - 1) * F.lit(q)
+        at = lambda k: F.max(F.when((F.col("rows_before") <= k) & (k < F.col("rows_before") + F.col("n")), F.col("number")))
+        aggs += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi")]
+    found = _same(total, joined.groupBy(*keys).agg(*aggs), keys, "left")
+    quartiles = [_between(F.col(f"{n}_lo"), F.col(f"{n}_hi"), (F.col("count") - 1) * F.lit(q)).alias(n) for n, q in QUANTILES.items()]
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1)))
+    return found.select(*keys, "count", "mean", std.alias("std"), "min", *quartiles, "max")
+
+
+def _between(low: Column, high: Column, place: Column) -> Column:
+    """Linear interpolation at ``place`` between the values at its whole neighbours."""
+    mixed = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    return F.when(F.ceil(place) == F.floor(place), low).otherwise(mixed)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null-safe; the keys come from the left."""
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(other[f"_r{i}"])
+    return left.join(other, same, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def _categories(counts: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    n = F.col("n")
+    return counts.where(F.col("column").isin(list(names))).groupBy(*by, "column").agg(
+        F.sum("n").alias("count"), F.count(F.when(n > 0, 1)).alias("unique"),
+        F.min_by("text", F.when(n > 0, F.struct((-n).alias("m"), F.col("text").alias("v")))).alias("top"),
+        F.max(F.when(n > 0, n)).alias("freq"))
+
+
+def profile_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max per numeric column."""
+    return _numbers(value_counts(df, numeric=cols, by=by), cols, by)
 
 
 def profile_categorical(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """D3: count, unique, top (most frequent; ties → smallest), freq."""
-    long = _long(df, cols, by, "string").filter(F.col("value").isNotNull())
-    vc = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    g = vc.groupBy(*by, "column").agg(
-        F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v"))).alias("top"),
-        F.max("cnt").alias("freq"))
-    return g.select(*by, "column", F.col("count").cast("long").alias("count"),
-                    F.col("unique").cast("long").alias("unique"), "top", F.col("freq").cast("long").alias("freq"))
+    return _categories(value_counts(df, categorical=cols, by=by), cols, by)
 
 
 def _ts_text(micros: Column) -> Column:
     return F.date_format(F.timestamp_micros(F.floor(micros).cast("long")), "yyyy-MM-dd HH:mm:ss")
 
 
-def profile_dates(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Count, mean, min, quartiles, max of timestamp columns (no std)."""
-    stacked = F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
-                                          F.unix_micros(F.col(c).cast("timestamp")).alias("us")) for c in cols]))
-    long = df.select(*by, stacked).filter(F.col("us").isNotNull())
-    g = long.groupBy(*by, "column").agg(
-        F.count("us").alias("count"), F.avg("us").alias("mean"), F.min("us").alias("min"),
-        _quantiles(F.col("us").cast("double"), exact).alias("q"), F.max("us").alias("max"))
-    return g.select(*by, "column", F.col("count").cast("long").alias("count"), _ts_text(F.col("mean")).alias("mean"),
-                    _ts_text(F.col("min")).alias("min"), _ts_text(F.col("q")[0]).alias("p25"),
-                    _ts_text(F.col("q")[1]).alias("p50"), _ts_text(F.col("q")[2]).alias("p75"),
-                    _ts_text(F.col("max")).alias("max"))
+def _date_texts(numbers: DataFrame, by: Sequence[str]) -> DataFrame:
+    return numbers.select(*by, "column", "count", *[_ts_text(F.col(c)).alias(c) for c in ("mean", "min", *QUANTILES, "max")])
 
 
-def _num_text(c: Column) -> Column:
-    return F.format_string(f"%.{DIGITS}f", F.round(c, DIGITS))
+def profile_dates(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, min, quartiles, max of timestamp columns (no std)."""
+    return _date_texts(_numbers(value_counts(df, dates=cols, by=by), cols, by), by)
 
 
 def profile_long(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], dates: Sequence[str],
-                 by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Every applicable statistic as text rows ``(column, stat, value)``."""
+                 by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Every statistic of every column as text rows ``(column, stat, value)``; 'nan' where one doesn't apply.
+
+    Numbers are shown with ``digits`` decimals.  One pass over ``df`` serves all columns."""
+    counts = value_counts(df, numeric, categorical, dates, by)
+    number = lambda c: F.format_string(f"%.{digits}f", F.round(F.col(c), digits))
+    plain = lambda c: F.col(c).cast("string")
     parts = []
     if numeric:
-        n = profile_numeric(df, numeric, by, exact)
-        parts.append(n.select(*by, "column", F.inline(F.array(
-            F.struct(F.lit("count").alias("stat"), F.col("count").cast("string").alias("value")),
-            *[F.struct(F.lit(s).alias("stat"), _num_text(F.col(s)).alias("value"))
-              for s in ("mean", "std", "min", "p25", "p50", "p75", "max")]))))
+        parts.append((_numbers(counts, numeric, by), {"count": plain, **dict.fromkeys(("mean", "std", "min", *QUANTILES, "max"), number)}))
     if categorical:
-        c = profile_categorical(df, categorical, by)
-        parts.append(c.select(*by, "column", F.inline(F.array(
-            *[F.struct(F.lit(s).alias("stat"), F.col(s).cast("string").alias("value"))
-              for s in ("count", "unique", "top", "freq")]))))
+        parts.append((_categories(counts, categorical, by), dict.fromkeys(("count", "unique", "top", "freq"), plain)))
     if dates:
-        d = profile_dates(df, dates, by, exact)
-        parts.append(d.select(*by, "column", F.inline(F.array(
-            *[F.struct(F.lit(s).alias("stat"), F.col(s).cast("string").alias("value"))
-              for s in ("count", "mean", "min", "p25", "p50", "p75", "max")]))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("value").isNotNull())
+        parts.append((_date_texts(_numbers(counts, dates, by), by), dict.fromkeys(("count", "mean", "min", *QUANTILES, "max"), plain)))
+    out = None
+    for table, shown in parts:
+        cell = lambda s: F.when(F.col(s).isNotNull(), shown[s](s)) if s in shown else F.lit(None).cast("string")  # noqa: B023,E731
+        rows = [F.struct(F.lit(s).alias("stat"), F.coalesce(cell(s), F.lit(MISSING)).alias("value")) for s in STATS]
+        part = table.select(*by, "column", F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,26 +1,28 @@
 """Question operators (Q1-Q8): a table of questions → a table of answers.
 
 Each question row is classified with JVM-side string predicates (relevance
-gate, intent, referenced region), then joined to the dataset's fact row and
-to its per-region facts; the answer fields are template renders chosen by
-intent.  The dataset fact row is a single row (broadcast: proven size), the
-region facts are an aggregate whose join strategy Spark picks by size.
-
-Prompt history (Q8) is summarised per user turn with running totals over
-earlier turns.  Running totals use a two-level prefix sum (within blocks of
-turns, then over block totals), so one very long conversation is spread over
-many tasks instead of landing in one.
+gate, intent, referenced region), then joined to its entity's fact row and
+to the facts of the region it names; the answer fields are template renders
+chosen by intent.  Without entity keys the fact row is one row and a question
+can name twelve regions only, so both are broadcast (bounded size); with keys both are
+equi-joins on them.
+
+Prompt messages (Q8) are one row per message; each request points at the last
+message of its history, so the tables stay linear in the turns.  Ranks and
+totals over earlier turns come from ``ranks.running_before``, which spreads one very long
+conversation over many tasks.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .brief import render
+from .brief import question_prompts, render
+from .ranks import running_before
 
 # ---------------------------------------------------------------------------
 # Relevance keywords (substring match on the lower-cased text),
@@ -56,94 +58,87 @@ ANSWER_HEADERS = ["Executive Answer", "Supporting Evidence", "Business Impact",
 REFUSAL_CONFIDENCE = 100
 # ---------------------------------------------------------------------------
 
-REFUSAL = "I can only answer questions about the loaded business data."
+REFUSAL = "This question is not about the loaded figures."
 
 # Answer templates per intent: (answer, evidence, impact, recommendation);
-# a pair = (with profit, without profit).  Our own wording.
+# a pair = (with profit, without profit).
 ANSWERS = {
     "decline": (
-        ("Revenue is held back mainly by thin margins in **{worst_product}** and weak results in **{worst_region}**.",
-         "Revenue lags in the lines outside the leading **{top_product}** segment."),
-        ("**{worst_product}** earns a margin of **{worst_product_margin}%**, and **{worst_region}** "
-         "**{worst_region_margin}%**.",
-         "**{top_product}** brings in **{top_product_rev}**, while other products fail to scale."),
-        ("Profit is diluted to a **{profit_margin}%** overall margin and the health score sits at "
-         "**{health_score}/100**.",
-         "Top-line growth stays limited and the health score holds at **{health_score}/100**."),
-        ("Review the cost base of **{worst_product}** and shift marketing budget to stronger lines.",
-         "Relaunch campaigns for the under-served product lines."),
+        ("Look first at **{worst_product}** among the products and at **{worst_region}** among the regions: they keep "
+         "the least of their sales.",
+         "The figures show where sales are, not why they fell; nothing sells as much as **{top_product}**."),
+        ("Margins: **{worst_product}** **{worst_product_margin}%**, **{worst_region}** **{worst_region_margin}%**.",
+         "**{top_product}** sold **{top_product_rev}**."),
+        ("All sales together keep **{profit_margin}%**; the score is **{health_score}/100**.",
+         "The score is **{health_score}/100**."),
+        ("Write down cost and discount of **{worst_product}** month by month and mark the change.",
+         "Draw every product's months and mark the turn."),
     ),
     "worst": (
-        ("The weakest product line is **{worst_product}** and the weakest region **{worst_region}**.",
-         "Regions outside the leading **{top_region}** market fall short on sales."),
-        ("**{worst_product}** earns only **{worst_product_margin}%**, against **{top_product_margin}%** for "
-         "**{top_product}**.",
-         "**{top_region}** leads with **{top_region_rev}** in revenue, a sign of concentration."),
-        ("These leaks hold total profit to **{total_profit}**.", "Revenue is exposed to local shocks in one market."),
-        ("Audit fulfilment in **{worst_region}** and reprice **{worst_product}**.",
-         "Build sales teams in neighbouring markets to spread revenue."),
+        ("Lowest margins: **{worst_product}** (product), **{worst_region}** (region).",
+         "Without profit figures only sales can be compared: every region sells less than **{top_region}**."),
+        ("**{worst_product}** **{worst_product_margin}%**; the best seller **{top_product}** **{top_product_margin}%**.",
+         "**{top_region}** sold **{top_region_rev}**."),
+        ("Profit so far is **{total_profit}**.", "Sales so far are **{total_revenue}**."),
+        ("Decide on **{worst_product}**: other price, other cost, or the end of it.",
+         "Ask customers in the smallest region what they miss."),
     ),
     "risk": (
-        ("The main risks are margin erosion in **{worst_product}** and dependence on a few regions.",
-         "The main risk is concentration in the **{top_product}** category."),
-        ("**{worst_product}** runs at **{worst_product_margin}%**, and sales lean on **{top_region}**.",
-         "**{top_product}** carries the largest share of revenue."),
-        ("A downturn in **{top_region}** would hit results hard.", "A drop in demand for it would hurt sales badly."),
-        ("Cut overhead and set a margin floor for every offering.", "Add product lines to spread purchases."),
+        ("A small margin on **{worst_product}**, and one region with much of the business: **{top_region}**.",
+         "One product with much of the business: **{top_product}**."),
+        ("**{worst_product}** keeps **{worst_product_margin}%**; **{top_region}** sold **{top_region_rev}**.",
+         "It sold **{top_product_rev}** of **{total_revenue}**."),
+        ("A bad quarter in **{top_region}** shows in the total.", "A bad quarter of **{top_product}** shows in the total."),
+        ("Fix the lowest margin that an offer may have.", "Name the product that should come second."),
     ),
     "invest": (
-        "Put new investment into **{top_region}** and the high-volume **{top_product}** line.",
-        "**{top_region}** is the largest revenue source with **{top_region_rev}**.",
-        "Faster recurring growth and better return on capital.",
-        "Move 15% of the operating budget to sales incentives in **{top_region}**.",
+        "Going by sales, **{top_region}** and **{top_product}** come first.",
+        "**{top_region}** sold **{top_region_rev}**.",
+        "The money meets demand that is on record.",
+        "Spend a little in **{top_region}**, compare after a quarter, and only then more.",
     ),
     "strategy": (
-        "Three initiatives: broaden the product line, standardise the regional playbook, and upgrade customer "
-        "success.",
-        "The health score stands at **{health_score}/100**.",
-        "The aim is to lift the rating from **{health_status}** to **Robust**.",
-        "1. Renegotiate supplier terms. 2. Copy **{top_region}** sales plays elsewhere. 3. Bundle slow stock "
-        "with **{top_product}**.",
+        "Find out what **{top_region}** does differently, try it in one other region, and watch the score.",
+        "The score is **{health_score}/100** now.",
+        "It counts as **{health_status}**; **Robust** starts at 80.",
+        "Give each step an owner and a date, and begin with **{top_product}**.",
     ),
     "health": (
-        "The business health score is **{health_score}/100**, rated **{health_status}**.",
-        "The score combines monthly growth, regional balance (HHI) and sales consistency.",
-        "The business is viable but needs changes to reach a Robust rating.",
-        "Improve regional balance and month-on-month growth to raise the score.",
+        "**{health_score}/100**, which counts as **{health_status}**.",
+        "Growth, even months, spread over regions and, where recorded, margin make up the score.",
+        "Below 80 there is room; below 60 there is need.",
+        "Work on the lowest part of the score.",
     ),
     "swot": (
-        "SWOT summary for a **{industry}** business.",
-        "Strength: high sales of **{top_product}** ({top_product_rev}). Opportunity: strong demand in "
-        "**{top_region}**. Weakness and threat: dependence on few markets.",
-        "A slump in the main region would expose the business.",
-        "Build on demand for **{top_product}** and rework fulfilment logistics.",
+        "Four views of a **{industry}** business.",
+        "Strong: **{top_product}** ({top_product_rev}). Weak: all that sells far less. Chance: **{top_region}**. "
+        "Threat: leaning on both.",
+        "Strength and threat carry the same names.",
+        "Never run out of **{top_product}**, and build one alternative.",
     ),
     "summary": (
-        "The business earns steady revenue of **{total_revenue}**, led by **{top_product}**.",
-        "Health is rated **{health_status}** (score **{health_score}/100**).",
-        "Sales rest on a solid base but need broader categories.",
-        "Follow the next-quarter plan: expand geographically and align categories.",
+        "**{total_revenue}** in sales, most of all from **{top_product}**.",
+        "The score is **{health_score}/100**: **{health_status}**.",
+        "The total moves with the largest names.",
+        "Ask next about one region, or about the lowest margin.",
     ),
     "region": (
-        "Performance summary for the **{ref_region}** market.",
-        ("**{ref_region}** brings in **{reg_rev}** in revenue. Its margin is **{reg_margin}%**.",
-         "**{ref_region}** brings in **{reg_rev}** in revenue."),
-        "It contributes **{reg_share}%** of total sales.",
-        ("Keep sales momentum in **{ref_region}**; if the margin is below 15%, fix unit economics.",
-         "Keep sales momentum in **{ref_region}**."),
+        "Figures of **{ref_region}**.",
+        ("Sales **{reg_rev}**, margin **{reg_margin}%**.", "Sales **{reg_rev}**."),
+        "That is **{reg_share}%** of all sales.",
+        ("Compare the margin with that of the whole, **{profit_margin}%**.", "Compare it with **{top_region}**."),
     ),
     "region_missing": (
-        "The question names a region that is not in the data.",
-        "No rows match that location.",
-        "No regional breakdown can be given.",
-        "Check the data preview for the exact region names.",
+        "That region is not in the data.",
+        "No row carries its name.",
+        "So there is nothing to say about it.",
+        "Ask again with a name from the table of regions.",
     ),
     "general": (
-        "General review for the **{industry}** business records.",
-        ("Total revenue: **{total_revenue}**. Total profit: **{total_profit}**.",
-         "Total revenue: **{total_revenue}**."),
-        "Health is rated **{health_status}** (score **{health_score}/100**).",
-        "Pick one of the example questions to dig into a specific problem.",
+        "Overview of a **{industry}** business.",
+        ("Sales **{total_revenue}**, profit **{total_profit}**.", "Sales **{total_revenue}**."),
+        "The score is **{health_score}/100**: **{health_status}**.",
+        "Ask about risks, a region, the lowest margin or the score.",
     ),
 }
 PRIORITY = {"decline": "HIGH", **{i: p for i, _, p in INTENTS}, "region": "MEDIUM", "region_missing": "LOW",
@@ -231,21 +226,81 @@ def answer_markdown(fields: Sequence[Column]) -> Column:
     return F.concat_ws("\n\n", *parts)
 
 
+def _one_each(facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``facts`` with a failure at run time where an entity has several rows."""
+    rest = [c for c in facts.columns if c not in by]
+    g = facts.groupBy(*by).agg(F.first(F.struct(*rest)).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    check = F.when(F.col("_n") > 1, F.raise_error(F.lit("an entity has more than one fact row"))).otherwise(F.col("_f"))
+    return g.select(*by, check.alias("_f")).where(F.col("_f").isNotNull()).select(*by, "_f.*")
+
+
+def region_labels() -> list[str]:
+    """The region names that a question can refer to."""
+    return [w.capitalize() for w in REGION_WORDS] + [w.upper() for w in REGION_CODES]
+
+
+def _with_regions(rows: DataFrame, region_facts: DataFrame, has_profit: bool, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the revenue and margin of the region that the question names."""
+    margin = F.col("margin") if has_profit else F.lit(0.0)
+    rf = region_facts.where(F.col("region").isin(region_labels())).select(
+        *[F.col(b).alias(f"_r{k}") for k, b in enumerate(by)], F.col("region").alias("_reg"),
+        F.col("revenue").alias("reg_rev"), margin.alias("reg_margin"))
+    if not by:
+        return rows.join(F.broadcast(rf), rows["ref_region"] == rf["_reg"], "left").drop("_reg")
+    # questions without a region meet nothing; their key is spread so that they don't pile up in one task
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("question"), F.lit(997)).cast("string"))
+    rows = rows.withColumn("_key", F.coalesce("ref_region", spread))
+    same = rows["_key"] == rf["_reg"]
+    for k, b in enumerate(by):
+        same = same & rows[b].eqNullSafe(rf[f"_r{k}"])
+    return rows.join(rf, same, "left").drop("_reg", "_key", *[f"_r{k}" for k in range(len(by))])
+
+
+def _with_entity(rows: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    if not by:
+        return (rows.withColumn("_one", F.lit(1))
+                .join(F.broadcast(_one_each(facts, ()).withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    one = _one_each(facts, by)
+    one = one.select(*[F.col(b).alias(f"_e{k}") for k, b in enumerate(by)], *[c for c in one.columns if c not in by])
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & rows[b].eqNullSafe(one[f"_e{k}"])
+    return rows.join(one, same).drop(*[f"_e{k}" for k in range(len(by))])
+
+
+def answer_confidence(questions: DataFrame, confidence: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
+                      text_col: str = "question") -> DataFrame:
+    """Q7: the data confidence of an accepted question's entity, else the refusal's."""
+    c = questions.withColumn("accepted", gate(F.col(text_col)))
+    j = _with_entity(c, confidence.select(*by, F.col("confidence").alias("data_confidence")), by)
+    return j.select(*keys, "accepted", F.when(F.col("accepted"), F.col("data_confidence"))
+                    .otherwise(F.lit(REFUSAL_CONFIDENCE)).cast("int").alias("confidence"))
+
+
+def region_answers(questions: DataFrame, region_facts: DataFrame, totals: DataFrame, has_profit: bool, keys: Sequence[str],
+                   by: Sequence[str] = (), text_col: str = "question") -> DataFrame:
+    """Q4: questions about a region, with what that region sold: revenue, margin and share of the entity's total.
+
+    ``totals``: ``(by…, total_revenue)``."""
+    c = classify(questions, text_col).where(F.col("intent") == "region").withColumn("question", F.col(text_col))
+    j = _with_regions(_with_entity(c, totals.select(*by, "total_revenue"), by), region_facts, has_profit, by)
+    return j.select(*keys, "ref_region", F.col("reg_rev").isNotNull().alias("region_found"), F.col("reg_rev").alias("revenue"),
+                    F.when(F.col("reg_rev").isNotNull(), F.col("reg_margin")).alias("margin"),
+                    (F.col("reg_rev") / F.col("total_revenue") * 100.0).alias("share"))
+
+
 def answer_questions(questions: DataFrame, facts: DataFrame, region_facts: DataFrame, has_profit: bool,
-                     confidence: DataFrame, keys: Sequence[str], text_col: str = "question") -> DataFrame:
-    """Q4-Q7 over a questions table.
+                     confidence: DataFrame, keys: Sequence[str], text_col: str = "question", by: Sequence[str] = ()) -> DataFrame:
+    """Q4-Q7 over a questions table (with the entity keys ``by``, if any).
 
-    ``facts``: one row (the dataset's brief facts incl. ``industry``);
-    ``region_facts``: ``(region, revenue, margin)``; ``confidence``: one row
+    ``facts``: one row per entity (its brief facts incl. ``industry``);
+    ``region_facts``: ``(by…, region, revenue, margin)``; ``confidence``: one row per entity
     with ``confidence`` (K2).
     """
-    c = classify(questions, text_col)
-    single = facts.select("*").withColumn("_one", F.lit(1)).join(
-        confidence.select(F.col("confidence").alias("data_confidence")).withColumn("_one", F.lit(1)), "_one")
-    j = c.withColumn("_one", F.lit(1)).join(F.broadcast(single), "_one").drop("_one")
-    rf = region_facts.select(F.col("region").alias("_reg"), F.col("revenue").alias("reg_rev"),
-                             (F.col("margin") if has_profit else F.lit(0.0)).alias("reg_margin"))
-    j = j.join(rf, j["ref_region"] == rf["_reg"], "left")
+    c = classify(questions, text_col).withColumn("question", F.col(text_col))
+    j = _with_entity(c, facts, by)
+    j = _with_entity(j, confidence.select(*by, F.col("confidence").alias("data_confidence")), by)
+    j = _with_regions(j, region_facts, has_profit, by)
     j = j.withColumn("reg_share", F.col("reg_rev") / F.col("total_revenue") * 100.0)
     fields = answer_fields(has_profit)
     reply = F.when(F.col("accepted"), answer_markdown(fields)).otherwise(F.lit(REFUSAL))
@@ -257,48 +312,36 @@ def answer_questions(questions: DataFrame, facts: DataFrame, region_facts: DataF
                     reply.alias("reply"), conf.cast("int").alias("confidence"))
 
 
-# --- Q8: prompt history summary -------------------------------------------------
-
-def running_before(df: DataFrame, key: str, order: str, values: dict[str, Column], block: int = 1024) -> DataFrame:
-    """Count and sums over strictly earlier rows of the same ``key``.
-
-    Two levels: a running window inside blocks of ``block`` consecutive
-    ``order`` values, plus the running total of earlier blocks, joined back
-    on ``(key, block)``.  No task holds more than one block of a key.
-    """
-    blk = F.floor(F.col(order) / F.lit(block)).cast("long")
-    d = df.withColumn("_blk", blk)
-    for n, v in values.items():
-        d = d.withColumn(f"_v_{n}", v)
-    w_in = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.select("*", F.count(F.lit(1)).over(w_in).alias("_n_in"),
-                     *[F.sum(f"_v_{n}").over(w_in).alias(f"_s_in_{n}") for n in values])
-    tot = d.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_bn"),
-                                      *[F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in values])
-    w_b = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(key, "_blk", F.sum("_bn").over(w_b).alias("_n_off"),
-                     *[F.sum(f"_bs_{n}").over(w_b).alias(f"_s_off_{n}") for n in values])
-    j = local.join(off, [key, "_blk"])
-    out = j.withColumn("n_before", (F.col("_n_in") + F.coalesce(F.col("_n_off"), F.lit(0))).cast("long"))
-    for n in values:
-        out = out.withColumn(f"{n}_before", (F.coalesce(F.col(f"_s_in_{n}"), F.lit(0))
-                                             + F.coalesce(F.col(f"_s_off_{n}"), F.lit(0))).cast("long"))
-    drop = [c for c in out.columns if c.startswith("_")]
-    return out.drop(*drop)
-
+# --- Q8: prompt messages ------------------------------------------------------------
 
 def prompt_messages(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                     text: str = "text") -> DataFrame:
-    """Q8: per user turn, the prompt = system + all earlier turns + question.
-
-    Emitted in linear size: message count (system and question included),
-    characters of the earlier history, the previous turn's role (turns are
-    consecutive integers per conversation), and the question itself.
-    """
-    r = running_before(conversations, conv, turn, {"history_chars": F.length(F.col(text))})
-    prev = conversations.select(conv, (F.col(turn) + 1).alias(turn), F.col(role).alias("previous_role"))
-    r = r.join(prev, [conv, turn], "left")
+    """Q8 in numbers: per user turn, the messages of its prompt (system and question included), the
+    characters of the earlier turns, the previous turn's role, and the question."""
+    r = running_before(conversations.select(conv, turn, role, text), [conv], [turn, role, text],
+                       {"history_chars": F.coalesce(F.length(F.col(text)), F.lit(0))}, [role])
     return (r.filter(F.col(role) == "user")
             .select(conv, turn, (F.col("n_before") + 2).alias("n_messages"),
-                    F.col("history_chars_before").alias("history_chars"), "previous_role",
-                    F.col(text).alias("question")))
+                    F.col("history_chars_before").cast("long").alias("history_chars"),
+                    F.col(f"previous_{role}").alias("previous_role"), F.col(text).alias("question")))
+
+
+def message_rows(conversations: DataFrame, facts: DataFrame, has_profit: bool, conv: str = "conv_id", turn: str = "turn",
+                 role: str = "role", text: str = "text") -> DataFrame:
+    """Q8: one row per message ``(conv, seq, role, content)``: the system text at 0, then the turns in order.
+
+    ``facts``: the one fact row that all conversations are about."""
+    ranked = running_before(conversations.select(conv, turn, role, text), [conv], [turn, role, text], {})
+    turns = ranked.select(conv, (F.col("n_before") + 1).alias("seq"), F.col(role).alias("role"), F.col(text).alias("content"))
+    system = question_prompts(facts, (), has_profit, ANSWER_HEADERS)
+    convs = conversations.select(conv).distinct()
+    return turns.unionByName(_with_entity(convs, system, ()).select(
+        conv, F.lit(0).cast("long").alias("seq"), F.lit("system").alias("role"), F.col("system_prompt").alias("content")))
+
+
+def request_rows(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                 text: str = "text") -> DataFrame:
+    """Q8: one row per user turn ``(conv, seq, history_to, question)``: its prompt is the messages 0..history_to, then the question."""
+    ranked = running_before(conversations.select(conv, turn, role, text), [conv], [turn, role, text], {})
+    return ranked.where(F.col(role) == "user").select(conv, (F.col("n_before") + 1).alias("seq"),
+                                                      F.col("n_before").alias("history_to"), F.col(text).alias("question"))

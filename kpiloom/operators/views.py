@@ -2,8 +2,8 @@
 
 Top-k per entity uses ``row_number() <= k`` over the aggregated groups; Spark
 plans that filter as a WindowGroupLimit, so only k rows per entity survive
-the sort.  Sums stay exact (DECIMAL) until the output, and
-the "Others" bucket of T1 is the entity total minus the top rows, so no
+the sort.  Sums stay exact (DECIMAL) until the output, and the "Others" bucket
+of T1 sums the groups that an anti-join with the top rows leaves, so no
 entity's full key list has to be ranked in one place to get it.
 """
 
@@ -64,20 +64,23 @@ def region_top_others(df: DataFrame, m: Mapping, by: Sequence[str] = (), k: int
                       label_len: int = 20) -> DataFrame:
     """Top k regions by revenue plus one 'Others' row for the rest.
 
-    The Others row exists only when there are more than k regions; its value
-    is the exact entity total minus the top k.  A real region named 'Others'
-    keeps its own row (rank tells them apart).
+    The Others row exists only when there are more than k regions and sums
+    the regions that are not among them.  A real region named 'Others' keeps
+    its own row (rank tells them apart).
     """
     perf = performance_exact(df, m, "region", by)
     top = ranked(perf, [F.col("_rev").desc()], by, k)
     top_rows = top.select(*by, F.col("rank").cast("int").alias("rank"), F.col("key").alias("region"),
                           S.truncate_label("key", label_len).alias("label"),
                           F.col("_rev").cast("double").alias("revenue"))
-    top_sum = top.groupBy(*by).agg(F.sum("_rev").alias("_top")) if by else top.agg(F.sum("_rev").alias("_top"))
-    rest = _entity_join(entity_totals(perf, by), top_sum, by).filter(F.col("_groups") > k)
-    others = rest.select(*by, F.lit(k + 1).cast("int").alias("rank"), F.lit(OTHERS).alias("region"),
-                         F.lit(OTHERS).alias("label"),
-                         (F.col("_total") - F.col("_top")).cast("double").alias("revenue"))
+    taken = top.select(*[F.col(b).alias(f"_t{i}") for i, b in enumerate(by)], F.col("key").alias("_tk"))
+    same = perf["key"] == taken["_tk"]
+    for i, b in enumerate(by):
+        same = same & perf[b].eqNullSafe(taken[f"_t{i}"])
+    rest = perf.join(taken, same, "left_anti").groupBy(*by).agg(F.sum("_rev").alias("_rest"), F.count(F.lit(1)).alias("_groups"))
+    others = rest.filter(F.col("_groups") > 0).select(
+        *by, F.lit(k + 1).cast("int").alias("rank"), F.lit(OTHERS).alias("region"), F.lit(OTHERS).alias("label"),
+        F.col("_rest").cast("double").alias("revenue"))
     return top_rows.unionByName(others)
 
 

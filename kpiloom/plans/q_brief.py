@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 from ..operators import brief as B
-from ..operators import templates as TT
+from ..operators import questions as QN
 from ..sources.tables import FACT_MAPPING, FACT_MAPPING_NO_PROFIT, sales_fact
+from . import expected as TT
 from . import sql as Q
 from .registry import query
 
 BY = ["segment"]
 REPORT_DATE = "2001-08-31"
+TEMPLATE_KEYS = list(TT.INDUSTRY_TEXT["SaaS"])
 
 
-def facts(spark, d, profit=True, industry="SaaS"):
+def facts(spark, d, profit=True, industry="SaaS", by=BY):
     m = FACT_MAPPING if profit else FACT_MAPPING_NO_PROFIT
-    return B.brief_facts(sales_fact(spark, d, with_profit=profit), m, BY, industry=industry,
+    return B.brief_facts(sales_fact(spark, d, with_profit=profit), m, by, industry=industry,
                          report_date=REPORT_DATE)
 
 
 # --- SQL twin of brief_facts + the render helpers ------------------------------
 
 def _tt_sql(has_profit):
-    rows = ", ".join("(" + ", ".join([Q.lit(ind)] + [Q.lit(B.pick(TT.INDUSTRY_TEXT[ind][k], has_profit))
-                                                     for k in B.TEMPLATE_KEYS]) + ")"
+    rows = ", ".join("(" + ", ".join([Q.lit(ind)] + [Q.lit(Q.pick(TT.INDUSTRY_TEXT[ind][k], has_profit))
+                                                     for k in TEMPLATE_KEYS]) + ")"
                      for ind in TT.RULE_INDUSTRIES)
-    cols = ", ".join(["_tind"] + [f"t_{k}" for k in B.TEMPLATE_KEYS])
+    cols = ", ".join(["_tind"] + [f"t_{k}" for k in TEMPLATE_KEYS])
     return f"tt AS (SELECT * FROM (VALUES {rows}) AS v({cols}))"
 
 
@@ -35,10 +37,11 @@ def _guidance_sql():
     return e
 
 
-def brief_sql(body: str, profit=True, industry="SaaS") -> str:
+def brief_sql(body: str, profit=True, industry="SaaS", by=BY, industry_sql=None) -> str:
+    """``industry_sql``: the industry of each row of ``kf`` as an expression; else the given one."""
     rule = ", ".join(Q.lit(i) for i in TT.RULE_INDUSTRIES)
-    ctes = Q.kpi_facts_ctes(BY, profit) + ",\n" + _tt_sql(profit) + f""",
-bf AS (SELECT kf.*, {Q.lit(industry)} AS industry, {Q.lit(REPORT_DATE)} AS report_date FROM kf),
+    ctes = Q.kpi_facts_ctes(by, profit) + ",\n" + _tt_sql(profit) + f""",
+bf AS (SELECT kf.*, {industry_sql or Q.lit(industry)} AS industry, {Q.lit(REPORT_DATE)} AS report_date FROM kf),
 bg AS (SELECT bf.*, CASE WHEN industry IN ({rule}) THEN industry ELSE {Q.lit(TT.FALLBACK_INDUSTRY)} END AS _tind,
               {_guidance_sql()} AS guidance FROM bf),
 bt AS (SELECT * FROM bg LEFT JOIN tt USING (_tind))"""
@@ -46,7 +49,8 @@ bt AS (SELECT * FROM bg LEFT JOIN tt USING (_tind))"""
 
 
 def _t(key, hp):
-    return Q.render(None, hp, base=f"t_{key}", fields=B.template_fields(key, hp))
+    fields = [f for ind in TT.RULE_INDUSTRIES for f in Q.fields_of(Q.pick(TT.INDUSTRY_TEXT[ind][key], hp))]
+    return Q.render(None, hp, base=f"t_{key}", fields=list(dict.fromkeys(fields)))
 
 
 def _block_sql(fields):
@@ -88,9 +92,9 @@ def _records_sql(names, rows, no):
     return f"UNNEST([{', '.join(items)}], recursive := true)"
 
 
-def _records_query(names, rows, no):
-    cols = ", ".join([no] + list(names))
-    return f"SELECT segment, {cols} FROM (SELECT segment, {_records_sql(names, rows, no)} FROM bt)"
+def _records_query(names, rows, no, by=BY):
+    keys = "".join(f"{b}, " for b in by)
+    return f"SELECT {keys}{', '.join([no, *names])} FROM (SELECT {keys}{_records_sql(names, rows, no)} FROM bt)"
 
 
 # --- queries ---------------------------------------------------------------------
@@ -105,55 +109,63 @@ def q_brief_facts(spark, d):
     return facts(spark, d).select(*[c.strip() for c in _FACT_COLS.split(",")])
 
 
-def _sections_sql(hp, industry="SaaS"):
-    bodies = _bodies_sql(hp)
-    rows = [[Q.lit(t), b] for t, b in zip(TT.SECTIONS, bodies)]
-    return brief_sql(_records_query(["section", "body"], rows, "section_no"), hp, industry)
+def _section_rows(hp):
+    return [[Q.lit(t), b] for t, b in zip(TT.SECTIONS, _bodies_sql(hp))]
 
 
-@query("brief_sections", _sections_sql(True))
-def q_brief_sections(spark, d):
-    return B.brief_sections(facts(spark, d), BY, True)
+def markdown_sql(hp):
+    return " || chr(10) || chr(10) || ".join(f"'## {t}' || chr(10) || {b}" for t, b in zip(TT.SECTIONS, _bodies_sql(hp)))
 
 
-@query("brief_sections_noprofit", _sections_sql(False))
-def q_brief_sections_np(spark, d):
-    return B.brief_sections(facts(spark, d, profit=False), BY, False)
+def _markdown_query(hp, by=BY, **options):
+    keys = "".join(f"{b}, " for b in by)
+    return brief_sql(f"SELECT {keys}{markdown_sql(hp)} AS brief FROM bt", hp, by=by, **options)
 
 
-def _markdown_sql(hp, industry="SaaS"):
-    bodies = _bodies_sql(hp)
-    doc = " || chr(10) || chr(10) || ".join(f"'## {t}' || chr(10) || {b}" for t, b in zip(TT.SECTIONS, bodies))
-    return brief_sql(f"SELECT segment, {doc} AS brief FROM bt", hp, industry)
-
-
-@query("brief_markdown", _markdown_sql(True))
+@query("brief_markdown", _markdown_query(True))
 def q_brief_markdown(spark, d):
     return B.brief_markdown(facts(spark, d), BY, True)
 
 
-@query("brief_markdown_retail", _markdown_sql(True, "Retail"))
-def q_brief_markdown_retail(spark, d):
-    return B.brief_markdown(facts(spark, d, industry="Retail"), BY, True)
+@query("brief_markdown_all", _markdown_query(True, by=[]))
+def q_brief_markdown_all(spark, d):
+    """The whole dataset as one entity."""
+    return B.brief_markdown(facts(spark, d, by=[]), [], True)
 
 
-_BLOCK_COLS = B.BLOCK_COLS
+@query("brief_markdown_all_noprofit", _markdown_query(False, by=[]))
+def q_brief_markdown_all_np(spark, d):
+    return B.brief_markdown(facts(spark, d, profit=False, by=[]), [], False)
 
 
-@query("brief_risks", brief_sql(_records_query(_BLOCK_COLS, _risks_sql(True), "block_no")))
-def q_brief_risks(spark, d):
-    return B.brief_risks(facts(spark, d), BY, True)
+@query("brief_markdown_retail", _markdown_query(True, industry="Retail"))
+def q_brief_markdown_retail(spark, d):
+    return B.brief_markdown(facts(spark, d, industry="Retail"), BY, True)
 
 
-@query("brief_opportunities", brief_sql(_records_query(_BLOCK_COLS, _opps_sql(True), "block_no")))
-def q_brief_opportunities(spark, d):
-    return B.brief_opportunities(facts(spark, d), BY, True)
+# Per-row industry: brands 1x are Retail, 2x Banking, the rest carry none; the most frequent one is the segment's.
+_INDUSTRY_OF = "CASE WHEN brand LIKE 'Brand#1%' THEN 'Retail' WHEN brand LIKE 'Brand#2%' THEN 'Banking' END"
 
 
-@query("brief_recommendations", brief_sql(_records_query(
-    ["text"], [[_t(k, True)] for k in ("rec1", "rec2", "rec3")], "rec_no")))
-def q_brief_recommendations(spark, d):
-    return B.brief_recommendations(facts(spark, d), BY, True)
+@query("brief_markdown_by_industry", _markdown_query(True, industry_sql=f"""(
+  SELECT arg_min(ind, (-n, ind)) FROM (SELECT segment AS s, {_INDUSTRY_OF} AS ind, COUNT(*) AS n FROM f GROUP BY 1, 2)
+  WHERE ind IS NOT NULL AND s = kf.segment)"""))
+def q_brief_by_industry(spark, d):
+    """Each segment's own industry, from a column of its rows."""
+    from pyspark.sql import functions as F
+    fact = sales_fact(spark, d).withColumn("trade", F.expr(_INDUSTRY_OF))
+    f = B.brief_facts(fact, FACT_MAPPING, BY, industry_col="trade", report_date=REPORT_DATE)
+    return B.brief_markdown(f, BY, True)
+
+
+@query("industry_facts_all", brief_sql("SELECT industry, _tind AS template_industry, total_revenue FROM bt", by=[], industry_sql=f"""(
+  SELECT arg_min(ind, (-n, ind)) FROM (SELECT {_INDUSTRY_OF} AS ind, COUNT(*) AS n FROM f GROUP BY 1) WHERE ind IS NOT NULL)"""))
+def q_industry_facts_all(spark, d):
+    """B7 for the whole dataset."""
+    from pyspark.sql import functions as F
+    fact = sales_fact(spark, d).withColumn("trade", F.expr(_INDUSTRY_OF))
+    f = B.brief_facts(fact, FACT_MAPPING, [], industry_col="trade", report_date=REPORT_DATE)
+    return f.select("industry", F.col("_tind").alias("template_industry"), "total_revenue")
 
 
 @query("industry_template", brief_sql(
@@ -171,70 +183,60 @@ def _render_rows(rows, hp):
     return [[Q.render(x, hp) for x in r] for r in rows]
 
 
-@query("risk_register", brief_sql(_records_query(
-    ["risk", "severity", "impact", "recommendation", "due"], _render_rows(TT.RISK_REGISTER, True), "row_no")))
-def q_risk_register(spark, d):
-    return B.risk_register(facts(spark, d), BY, True)
-
-
-@query("risk_register_noprofit", brief_sql(_records_query(
-    ["risk", "severity", "impact", "recommendation", "due"], _render_rows(TT.RISK_REGISTER, False), "row_no"),
-    profit=False))
-def q_risk_register_np(spark, d):
-    return B.risk_register(facts(spark, d, profit=False), BY, False)
-
+def _roadmap_rows(hp):
+    return [[str(mi), Q.lit(month), Q.lit(theme), str(ai), Q.render(a, hp)]
+            for mi, (month, theme, actions) in enumerate(TT.ROADMAP, 1) for ai, a in enumerate(actions, 1)]
 
-@query("opportunity_table", brief_sql(_records_query(
-    ["opportunity", "value", "difficulty", "roi"], _render_rows(TT.OPPORTUNITY_TABLE, True), "row_no")))
-def q_opportunity_table(spark, d):
-    return B.opportunity_table(facts(spark, d), BY, True)
 
+def _decision_rows(hp):
+    return [[Q.lit("conclusion"), Q.render(TT.CONCLUSION, hp)], *[[Q.lit("decision"), Q.render(x, hp)] for x in TT.DECISIONS]]
 
-@query("initiative_table", brief_sql(_records_query(
-    ["objective", "value", "priority", "owner", "timeline"], _render_rows(TT.INITIATIVES, True), "row_no")))
-def q_initiative_table(spark, d):
-    return B.initiative_table(facts(spark, d), BY, True)
 
+_BLOCKS = ["issue", "priority", "confidence", "evidence", "impact", "recommendation"]
 
-def _roadmap_rows(hp):
-    rows = []
-    for mi, (month, theme, actions) in enumerate(TT.ROADMAP):
-        for ai, a in enumerate(actions):
-            rows.append([str(mi + 1), Q.lit(month), Q.lit(theme), str(ai + 1), Q.render(a, hp)])
-    return rows
+# operator → (key column, columns, expected rows)
+RECORDS = {
+    B.brief_sections: ("section_no", ["section", "body"], _section_rows),
+    B.brief_risks: ("block_no", _BLOCKS, _risks_sql),
+    B.brief_opportunities: ("block_no", _BLOCKS, _opps_sql),
+    B.brief_recommendations: ("rec_no", ["text"], lambda hp: [[_t(k, hp)] for k in ("rec1", "rec2", "rec3")]),
+    B.risk_register: ("row_no", ["risk", "severity", "impact", "recommendation", "due"], lambda hp: _render_rows(TT.RISK_REGISTER, hp)),
+    B.opportunity_table: ("row_no", ["opportunity", "value", "difficulty", "roi"], lambda hp: _render_rows(TT.OPPORTUNITY_TABLE, hp)),
+    B.initiative_table: ("row_no", ["objective", "value", "priority", "owner", "timeline"], lambda hp: _render_rows(TT.INITIATIVES, hp)),
+    B.roadmap_table: ("row_no", ["month_no", "month", "theme", "action_no", "action"], _roadmap_rows),
+    B.decision_table: ("item_no", ["kind", "text"], _decision_rows),
+    B.report_metadata: ("field_no", ["field", "value"], lambda hp: [[Q.lit(k), Q.render(v, hp)] for k, v in TT.METADATA]),
+}
 
 
-@query("roadmap_table", brief_sql(_records_query(
-    ["month_no", "month", "theme", "action_no", "action"], _roadmap_rows(True), "row_no")))
-def q_roadmap_table(spark, d):
-    return B.roadmap_table(facts(spark, d), BY, True)
+def _register(op, no, names, rows, hp, by):
+    name = op.__name__ + ("" if by else "_all") + ("" if hp else "_noprofit")
 
+    @query(name, brief_sql(_records_query(names, rows(hp), no, by), hp, by=by))
+    def run(spark, d):
+        return op(facts(spark, d, profit=hp, by=by), by, hp)
 
-def _decision_rows(hp):
-    return [[Q.lit("conclusion"), Q.render(TT.CONCLUSION, hp)]] + \
-        [[Q.lit("decision"), Q.render(x, hp)] for x in TT.DECISIONS]
 
+_TABLES = (B.risk_register, B.opportunity_table, B.initiative_table, B.roadmap_table, B.decision_table)
+for _op, (_no, _names, _rows) in RECORDS.items():
+    _register(_op, _no, _names, _rows, True, BY)
+    if _op in (B.brief_sections, B.report_metadata, *_TABLES):
+        _register(_op, _no, _names, _rows, False, BY)
+    if _op in _TABLES:
+        _register(_op, _no, _names, _rows, True, [])
 
-@query("decision_table", brief_sql(_records_query(["kind", "text"], _decision_rows(True), "item_no")))
-def q_decision_table(spark, d):
-    return B.decision_table(facts(spark, d), BY, True)
 
+def _prompt_parts(hp):
+    return {"profit_lines": Q.render(TT.PROMPT_PROFIT, hp), "section_list": Q.lit(", ".join(TT.SECTIONS)),
+            "field_list": Q.lit(", ".join(TT.BLOCK_FIELDS)), "header_list": Q.lit(", ".join(TT.ANSWER_HEADERS))}
 
-@query("report_metadata", brief_sql(_records_query(
-    ["field", "value"], [[Q.lit(k), Q.render(v, True)] for k, v in TT.METADATA], "field_no")))
-def q_report_metadata(spark, d):
-    return B.report_metadata(facts(spark, d), BY, True)
 
-
-@query("report_metadata_noprofit", brief_sql(_records_query(
-    ["field", "value"], [[Q.lit(k), Q.render(v, False)] for k, v in TT.METADATA], "field_no"), profit=False))
-def q_report_metadata_np(spark, d):
-    return B.report_metadata(facts(spark, d, profit=False), BY, False)
+def question_prompt_sql(hp):
+    return Q.render(TT.PROMPT_QUESTION, hp, extra=_prompt_parts(hp))
 
 
 def _prompt_sql(hp):
-    extra = {"profit_lines": Q.render(TT.PROMPT_PROFIT, hp), "section_list": Q.lit(", ".join(TT.SECTIONS)),
-             "field_list": Q.lit(", ".join(TT.BLOCK_FIELDS))}
+    extra = _prompt_parts(hp)
     system = Q.render(TT.PROMPT_SYSTEM, hp)
     user = Q.render(TT.PROMPT_USER, hp, extra=extra)
     return brief_sql(f"SELECT segment, trim({system}) AS system_prompt, {user} AS user_prompt FROM bt", hp)
@@ -248,3 +250,13 @@ def q_brief_prompts(spark, d):
 @query("brief_prompts_noprofit", _prompt_sql(False))
 def q_brief_prompts_np(spark, d):
     return B.brief_prompts(facts(spark, d, profit=False), BY, False)
+
+
+@query("question_prompts", brief_sql(f"SELECT segment, {question_prompt_sql(True)} AS system_prompt FROM bt"))
+def q_question_prompts(spark, d):
+    return B.question_prompts(facts(spark, d), BY, True, QN.ANSWER_HEADERS)
+
+
+@query("question_prompts_all_noprofit", brief_sql(f"SELECT {question_prompt_sql(False)} AS system_prompt FROM bt", False, by=[]))
+def q_question_prompts_np(spark, d):
+    return B.question_prompts(facts(spark, d, profit=False, by=[]), [], False, QN.ANSWER_HEADERS)

@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..mapping import ROLE_KEYWORDS, REVENUE_EXCLUDE, DATE_HINTS, REGION_HINTS, PRODUCT_HINTS
-from ..mapping import POSITION_FALLBACK, catalog_of, detect_columns_catalog
+from ..mapping import DATE_HINTS, POSITION_FALLBACK, PRODUCT_HINTS, REGION_HINTS, REVENUE_EXCLUDE, ROLE_KEYWORDS, Mapping
+from ..mapping import catalog_of, detect_columns, detect_columns_catalog
+from ..operators import brief as B
 from ..operators import clean as C
 from ..operators import views as V
 from ..session import scratch_path
 from ..sources.csv import load_csv
 from ..sources.fixtures import DIRTY_MAPPING, DIRTY_SQL, MIXED_SQL, dirty_sales, mixed_dates
-from ..sources.sinks import read_table, write_table
+from ..sources.sinks import read_briefs, read_table, write_briefs, write_table
 from ..sources.tables import FACT_MAPPING, TABLES, load_table, sales_fact, tables
+from . import q_brief as QB
 from . import sql as Q
 from .registry import query
 
@@ -65,6 +67,48 @@ def q_clean_dataset(spark, d):
     return C.clean_dataset(dirty_sales(spark, d), DIRTY_MAPPING, "yyyy-MM-dd")
 
 
+# Dates of other kinds, cleaned with the default format: text with the time, US text, integers of 8 and 4 digits.
+_KINDS = {
+    "timestamp_text": ("date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')",
+                       "CAST(date_trunc('second', l_shipdate) AS TIMESTAMP)"),
+    "us_text": ("date_format(l_shipdate, 'MM/dd/yyyy')", "strftime(l_shipdate, '%m/%d/%Y')", "CAST(date_trunc('day', l_shipdate) AS TIMESTAMP)"),
+    "int": ("CAST(CASE WHEN l_linenumber = 1 THEN date_format(l_shipdate, 'yyyy') WHEN l_linenumber = 2 THEN '20251340' WHEN l_linenumber = 3 THEN '77' "
+            "ELSE date_format(l_shipdate, 'yyyyMMdd') END AS INT)", "",
+            "CASE WHEN l_linenumber = 1 THEN make_timestamp(year(l_shipdate), 1, 1, 0, 0, 0.0) WHEN l_linenumber IN (2, 3) THEN NULL "
+            "ELSE CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) END"),
+}
+_AMOUNT = "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS {}) || CASE WHEN l_linenumber = 4 THEN ' USD' ELSE '' END"
+
+
+def _register_kind(kind, spark_sql, date_sql):
+    amount = _AMOUNT.format("VARCHAR")
+
+    @query(f"clean_dataset_{kind}", f"""
+SELECT row_id, d, region, product, revenue FROM (
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id, {date_sql} AS d, l_returnflag AS region, l_linestatus AS product,
+         {MONEY.format(c=amount)} AS revenue FROM lineitem) WHERE d IS NOT NULL AND revenue IS NOT NULL""")
+    def run(spark, d):
+        df = load_table(spark, d, "lineitem").select(
+            F.expr("l_orderkey * 8 + l_linenumber").alias("row_id"), F.expr(spark_sql).alias("d"), F.col("l_returnflag").alias("region"),
+            F.col("l_linestatus").alias("product"), F.expr(_AMOUNT.format("string")).alias("revenue"))
+        return C.clean_dataset(df, _KIND_MAPPING)
+
+
+_KIND_MAPPING = Mapping(date="d", region="region", product="product", revenue="revenue")
+for _kind, (_spark, _, _date) in _KINDS.items():
+    _register_kind(_kind, _spark, _date)
+
+
+@query("cleaning_report", _dirty(f"""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (why = 1) AS null_core, COUNT(*) FILTER (why = 2) AS bad_date,
+       COUNT(*) FILTER (why = 3) AS bad_revenue, COUNT(*) FILTER (why = 4) AS bad_profit, COUNT(*) FILTER (why = 0) AS n_kept
+FROM (SELECT CASE WHEN sold_on IS NULL OR region IS NULL OR product IS NULL OR revenue IS NULL THEN 1 WHEN {DIRTY_DATE} IS NULL THEN 2
+                  WHEN {MONEY.format(c='revenue')} IS NULL THEN 3 WHEN {MONEY.format(c='profit')} IS NULL THEN 4 ELSE 0 END AS why FROM d)"""))
+def q_cleaning_report(spark, d):
+    """Rows dropped for each reason, with the default date format."""
+    return C.cleaning_report(dirty_sales(spark, d), DIRTY_MAPPING)
+
+
 _AUTO = [("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
          ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), ("MM/dd/yyyy", "%m/%d/%Y"),
          ("dd/MM/yyyy", "%d/%m/%Y"), ("MMM yyyy", "%b %Y"), ("yyyy-MM", "%Y-%m"), ("yyyyMMdd", "%Y%m%d")]
@@ -80,7 +124,6 @@ best AS (SELECT i FROM ({_unpivot}) ORDER BY n DESC, i LIMIT 1),
 p AS (SELECT row_id, CAST(CASE (SELECT i FROM best) {_pick} END AS TIMESTAMP) AS d FROM m)
 SELECT row_id, d FROM p WHERE d IS NOT NULL""")
 def q_clean_dates_auto(spark, d):
-    from ..mapping import Mapping
     df = mixed_dates(spark, d).withColumn("region", F.lit("x")).withColumn("product", F.lit("x")) \
         .withColumn("rev", F.lit(1.0))
     m = Mapping(date="d", region="region", product="product", revenue="rev")
@@ -122,7 +165,7 @@ def q_sink_roundtrip(spark, d):
 @query("preview", f"SELECT * FROM ({CLEAN_SQL}) ORDER BY row_id LIMIT 20")
 def q_preview(spark, d):
     """First rows of the cleaned table in an explicit order (a top-k by key)."""
-    return C.clean_dataset(dirty_sales(spark, d), DIRTY_MAPPING, "yyyy-MM-dd").orderBy("row_id").limit(20)
+    return C.preview(C.clean_dataset(dirty_sales(spark, d), DIRTY_MAPPING), ["row_id"], 20)
 
 
 @query("raw_preview", _dirty("SELECT * FROM d ORDER BY row_id LIMIT 20"))
@@ -131,10 +174,14 @@ def q_raw_preview(spark, d):
     (here revenue is mapped to a text column, so nothing survives)."""
     raw = dirty_sales(spark, d)
     wrong = DIRTY_MAPPING.with_overrides({"revenue": "product", "profit": None})
-    cleaned = C.clean_dataset(raw, wrong, "yyyy-MM-dd")
-    if cleaned.isEmpty():
-        return raw.orderBy("row_id").limit(20)
-    return raw.limit(0)
+    return C.raw_preview(raw, C.clean_dataset(raw, wrong), ["row_id"], 20)
+
+
+@query("briefs_as_text", QB.brief_sql(f"SELECT segment, {QB.markdown_sql(True)} AS brief FROM bt"))
+def q_briefs_as_text(spark, d):
+    """Briefs written as text files, one folder for each segment, and read back."""
+    briefs = B.brief_markdown(QB.facts(spark, d), QB.BY, True)
+    return read_briefs(spark, write_briefs(briefs, "brief", QB.BY), QB.BY)
 
 
 # --- M1-M8 -------------------------------------------------------------------
@@ -183,16 +230,47 @@ FROM (SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal_position,
 GROUP BY table_name"""
 
 
-@query("detect_columns", _detect_sql())
-def q_detect_columns(spark, d):
-    """M1-M6, M8: role detection for every driver table in one job."""
-    return detect_columns_catalog(catalog_of(spark, tables(spark, d)))
+# The core columns that the rules give, worked out by hand: date, region, product, revenue.
+EXPECTED_CORE = {
+    "region": ("r_regionkey", "r_regionkey", "r_name", "r_regionkey"), "nation": ("n_nationkey", "n_regionkey", "n_name", "n_nationkey"),
+    "customer": ("c_custkey", "c_name", "c_mktsegment", "c_custkey"), "supplier": ("s_suppkey", "s_name", "s_name", "s_suppkey"),
+    "part": ("p_partkey", "p_name", "p_type", "p_retailprice"), "orders": ("o_orderdate", "o_custkey", "o_orderstatus", "o_totalprice"),
+    "lineitem": ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"), "events": ("event_id", "ts", "event_type", "value"),
+    "documents": ("doc_id", "text", "lang", "n_chars"), "embeddings": ("vec_id", "embedding", "label", "label"),
+    "pages": ("page_id", "url", "html", "page_id"), "benchmark": ("item_id", "text", "item_id", "item_id"),
+    "labels": ("doc_id", "quality", "toxic", "quality"), "conversations": ("conv_id", "turn", "role", "turn"),
+}
+OVERRIDES = {"lineitem": {"region": "l_returnflag", "product": "l_linestatus", "profit": "l_tax"}}
 
 
-OVERRIDES = {"lineitem": {"region": "l_returnflag", "product": "l_linestatus", "profit": "l_tax"}}
+def _mapped_sql(overrides=None):
+    """Roles by the catalog rules; rows and complete rows of each table by the columns above."""
+    counts = []
+    for t, core in EXPECTED_CORE.items():
+        roles = dict(zip(("date", "region", "product", "revenue"), core)) | (overrides or {}).get(t, {})
+        complete = " AND ".join(f"{roles[r]} IS NOT NULL" for r in ("date", "region", "product", "revenue"))
+        counts.append(f"SELECT '{t}' AS tn, COUNT(*) AS n_rows, COUNT(*) FILTER ({complete}) AS n_complete FROM {t}")
+    return f"""SELECT m.*, n_rows, n_complete FROM ({_detect_sql(overrides)}) m JOIN ({' UNION ALL '.join(counts)}) c ON m."table" = c.tn"""
+
+
+def _mapped(spark, d, overrides=None):
+    """Roles from the catalog job; for each table, with the roles that its schema gives, its rows and complete rows."""
+    all_tables = tables(spark, d)
+    counts = None
+    for name, df in all_tables.items():
+        core = C.core_columns(df, detect_columns(df, (overrides or {}).get(name)))
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(C.complete(df, core), 1)).alias("n_complete")).withColumn("_t", F.lit(name))
+        counts = row if counts is None else counts.unionByName(row)
+    return detect_columns_catalog(catalog_of(spark, all_tables), overrides).join(counts, F.col("table") == F.col("_t")).drop("_t")
+
+
+@query("detect_columns", _mapped_sql())
+def q_detect_columns(spark, d):
+    """M1-M6, M8: the roles of every driver table, and how many of its rows are complete under them."""
+    return _mapped(spark, d)
 
 
-@query("detect_override", _detect_sql(OVERRIDES))
+@query("detect_override", _mapped_sql(OVERRIDES))
 def q_detect_override(spark, d):
     """M7: the user's choice replaces detected roles."""
-    return detect_columns_catalog(catalog_of(spark, tables(spark, d)), OVERRIDES)
+    return _mapped(spark, d, OVERRIDES)

@@ -18,6 +18,14 @@ def _fact(spark, d, profit=True):
     return sales_fact(spark, d, with_profit=profit)
 
 
+def rounded(df, digits, *columns):
+    """Sums of doubles differ in their last bits between engines."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+SCORES = ("growth_score", "consistency_score", "balance_score", "margin_score")
+
+
 def _facts(spark, d, by=BY, profit=True):
     m = FACT_MAPPING if profit else FACT_MAPPING_NO_PROFIT
     return K.kpi_facts(fact_cube(_fact(spark, d, profit), m, by), by, profit)
@@ -40,26 +48,37 @@ def q_fact_cube(spark, d):
 # --- K1 KPI record ----------------------------------------------------------
 @query("kpi_summary", Q.with_fact(f"SELECT {Q.KPI_COLS} FROM kf", extra_ctes=Q.kpi_facts_ctes([])))
 def q_kpi_summary(spark, d):
-    return K.kpi_summary(_fact(spark, d), FACT_MAPPING)
+    return rounded(K.kpi_summary(_fact(spark, d), FACT_MAPPING), 6, *SCORES)
 
 
 @query("kpi_by_entity", Q.with_fact(f"SELECT segment, {Q.KPI_COLS} FROM kf",
                                     extra_ctes=Q.kpi_facts_ctes(BY)))
 def q_kpi_by_entity(spark, d):
-    return K.kpi_summary(_fact(spark, d), FACT_MAPPING, BY)
+    return rounded(K.kpi_summary(_fact(spark, d), FACT_MAPPING, BY), 6, *SCORES)
 
 
 @query("kpi_summary_noprofit", Q.with_fact(f"SELECT segment, {Q.KPI_COLS} FROM kf",
                                            extra_ctes=Q.kpi_facts_ctes(BY, profit=False)))
 def q_kpi_noprofit(spark, d):
-    return K.kpi_summary(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY)
+    return rounded(K.kpi_summary(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY), 6, *SCORES)
+
+
+@query("kpi_summary_norevenue", """
+SELECT DISTINCT c_mktsegment AS segment, CAST(0 AS BIGINT) AS n_rows, 0.0::DOUBLE AS total_revenue, 0.0::DOUBLE AS total_profit,
+       0.0::DOUBLE AS profit_margin, 'N/A' AS top_region, 0.0::DOUBLE AS top_region_rev, 'N/A' AS top_product, 0.0::DOUBLE AS top_product_rev,
+       NULL::DOUBLE AS growth_score, NULL::DOUBLE AS consistency_score, NULL::DOUBLE AS balance_score, NULL::DOUBLE AS margin_score,
+       0 AS health_score, 'Vulnerable' AS health_status
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""")
+def q_kpi_norevenue(spark, d):
+    """K1 over a table without the mapped revenue column: the default record."""
+    return K.kpi_summary(_fact(spark, d).drop("revenue"), FACT_MAPPING, BY)
 
 
 @query("health_components", Q.with_fact(
     "SELECT segment, growth_score, consistency_score, balance_score, margin_score, health_score, health_status "
     "FROM kf", extra_ctes=Q.kpi_facts_ctes(BY)))
 def q_health_components(spark, d):
-    return K.health_components(_fact(spark, d), FACT_MAPPING, BY)
+    return rounded(K.health_components(_fact(spark, d), FACT_MAPPING, BY), 6, *SCORES)
 
 
 @query("health_score", Q.with_fact("SELECT health_score, health_status FROM kf",
@@ -167,7 +186,7 @@ SELECT segment, COUNT(*) AS n_months, ROUND(AVG(revenue), 4) AS mean_rev, ROUND(
 FROM (SELECT segment, strftime(order_date, '%Y-%m') AS month, CAST(SUM(revenue) AS DOUBLE) AS revenue
       FROM f GROUP BY 1, 2) GROUP BY segment"""))
 def q_revenue_cv(spark, d):
-    return K.revenue_cv(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY)
+    return rounded(rounded(K.revenue_cv(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY), 4, "mean_rev", "std_rev"), 6, "cv")
 
 
 @query("region_hhi", Q.with_fact("""
@@ -176,7 +195,7 @@ FROM (SELECT segment, nation, CAST(SUM(revenue) AS DOUBLE) AS revenue,
              SUM(CAST(SUM(revenue) AS DOUBLE)) OVER (PARTITION BY segment) AS total
       FROM f GROUP BY 1, 2) GROUP BY segment"""))
 def q_region_hhi(spark, d):
-    return K.region_hhi(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY)
+    return rounded(K.region_hhi(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY), 6, "hhi")
 
 
 @query("data_confidence", Q.with_fact("""
@@ -207,6 +226,30 @@ def q_group_margin(spark, d):
     return perf.select("segment", "product", "margin", F.col("margin").isNull().alias("margin_missing"))
 
 
+# Profits that give margins from far below zero to above 15 %, zero sales and nothing at all.
+_MIXED = """(SELECT p_size AS size, r * (p_size % 3 > 0)::INT AS revenue, r * (p_size % 40 - 10) / 100 * (p_size % 5 > 0)::INT AS profit
+ FROM (SELECT p_size, CAST(p_retailprice AS DECIMAL(12,2)) AS r FROM part))"""
+
+
+def _mixed(spark, d):
+    from ..sources.tables import load_table
+    r, size = F.col("p_retailprice").cast("decimal(12,2)"), F.col("p_size")
+    return load_table(spark, d, "part").select(size.alias("size"), (r * (size % 3 > 0).cast("int")).alias("revenue"),
+                                               (r * (size % 40 - 10) / 100 * (size % 5 > 0).cast("int")).alias("profit"))
+
+
+@query("margin_band_mixed", f"""
+SELECT size, {Q.margin_band('m')} AS band, ROUND(m, 6) AS margin, m IS NULL AS margin_missing
+FROM (SELECT size, {Q.group_margin('SUM(profit)', 'SUM(revenue)')} AS m FROM {_MIXED} GROUP BY size)""")
+def q_margin_band_mixed(spark, d):
+    """P3, P10 where margins are negative, small, large, infinite and missing."""
+    from ..mapping import Mapping
+    m = Mapping(date="none", region="size", product="none", revenue="revenue", profit="profit")
+    perf = K.segment_performance(_mixed(spark, d), m, "region")
+    return perf.select(F.col("region").cast("int").alias("size"), S.margin_band("margin").alias("band"),
+                       F.round("margin", 6).alias("margin"), F.col("margin").isNull().alias("margin_missing"))
+
+
 @query("revenue_share", Q.with_fact("""
 SELECT segment, nation AS region, CAST(SUM(revenue) AS DOUBLE) AS revenue,
        CAST(SUM(revenue) AS DOUBLE) / CAST(ANY_VALUE(t.total) AS DOUBLE) * 100.0 AS share

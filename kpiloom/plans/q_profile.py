@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import profile as P
 from ..sources.tables import sales_fact
 from . import sql as Q
@@ -17,7 +19,7 @@ def q_shape(spark, d):
     return P.shape(sales_fact(spark, d))
 
 
-def _num_sql(text: bool = False):
+def _num_sql():
     parts = []
     for c in NUMERIC:
         parts.append(f"""SELECT '{c}' AS "column", COUNT(v) AS count, ROUND(AVG(v), 4) AS mean,
@@ -53,7 +55,8 @@ FROM (SELECT epoch_us({c}) AS us FROM f WHERE {c} IS NOT NULL)""")
 
 @query("profile_numeric", Q.with_fact(_num_sql()))
 def q_profile_numeric(spark, d):
-    return P.profile_numeric(sales_fact(spark, d), NUMERIC)
+    p = P.profile_numeric(sales_fact(spark, d), NUMERIC)
+    return p.withColumns({c: F.round(c, 4) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
 @query("profile_categorical", Q.with_fact(_cat_sql()))
@@ -70,22 +73,17 @@ def _txt(x):
     return f"format('{{:.4f}}', ROUND({x}, 4))"
 
 
-_LONG = f"""
-SELECT "column", stat, value FROM (
-  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}},
-    {{'stat': 'mean', 'value': {_txt('mean')}}}, {{'stat': 'std', 'value': {_txt('std')}}},
-    {{'stat': 'min', 'value': {_txt('min')}}}, {{'stat': 'p25', 'value': {_txt('p25')}}},
-    {{'stat': 'p50', 'value': {_txt('p50')}}}, {{'stat': 'p75', 'value': {_txt('p75')}}},
-    {{'stat': 'max', 'value': {_txt('max')}}}], recursive := true) FROM ({_num_sql()})
-  UNION ALL
-  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}},
-    {{'stat': 'unique', 'value': CAST("unique" AS VARCHAR)}}, {{'stat': 'top', 'value': top}},
-    {{'stat': 'freq', 'value': CAST(freq AS VARCHAR)}}], recursive := true) FROM ({_cat_sql()})
-  UNION ALL
-  SELECT "column", UNNEST([{{'stat': 'count', 'value': CAST(count AS VARCHAR)}}, {{'stat': 'mean', 'value': mean}},
-    {{'stat': 'min', 'value': min}}, {{'stat': 'p25', 'value': p25}}, {{'stat': 'p50', 'value': p50}},
-    {{'stat': 'p75', 'value': p75}}, {{'stat': 'max', 'value': max}}], recursive := true) FROM ({_date_sql()})
-) WHERE value IS NOT NULL"""
+def _long_sql(source, shown):
+    cells = ", ".join(f"{{'stat': '{st}', 'value': COALESCE({shown.get(st, 'NULL')}, 'nan')}}" for st in
+                      ("count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    return f'SELECT "column", UNNEST([{cells}], recursive := true) FROM ({source})'
+
+
+_quart = ("mean", "min", "p25", "p50", "p75", "max")
+_LONG = " UNION ALL ".join([
+    _long_sql(_num_sql(), {"count": "CAST(count AS VARCHAR)", "std": _txt("std"), **{c: _txt(c) for c in _quart}}),
+    _long_sql(_cat_sql(), {"count": "CAST(count AS VARCHAR)", "unique": 'CAST("unique" AS VARCHAR)', "top": "top", "freq": "CAST(freq AS VARCHAR)"}),
+    _long_sql(_date_sql(), {"count": "CAST(count AS VARCHAR)", **{c: c for c in _quart}})])
 
 
 @query("profile_long", Q.with_fact(_LONG))

@@ -1,39 +1,69 @@
-"""Registered queries: question gate, intent, answers, prompts (Q1-Q8) over the
-user turns of ``conversations``, answered against the whole sales fact."""
+"""Registered queries: question gate, intent, answers, prompts (Q1-Q8).
+
+The questions are the user turns of ``conversations``.  Their own texts name no region and hardly any topic, so the
+``asked_`` forms put a business question in front of them, chosen by conversation and turn, and the
+sales fact's regions get names that questions can hit."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PY_SPACE
+from ..operators import kpis as K
 from ..operators import questions as QN
 from ..operators.brief import brief_facts
 from ..operators.cube import fact_cube
-from ..session import materialize
 from ..operators.kpis import confidence_from_cube, region_facts_from_cube
+from ..session import materialize
 from ..sources.tables import FACT_MAPPING, load_table, sales_fact
+from . import expected as TT
+from . import q_brief as QB
 from . import sql as Q
 from .registry import query
 
 INDUSTRY = "SaaS"
 KEYS = ["conv_id", "turn"]
 
+# One question for every intent, regions that exist and one that doesn't, questions off the subject, and the plain text.
+ASKED = ["Why did sales drop in March? ", "Which product performs the worst? ", "What are the major business risks? ",
+         "Where should we invest next? ", "Suggest three strategic sales initiatives. ", "Is business health good? ", "Build a SWOT for us. ",
+         "Summarize this dataset for the CEO. ", "How is the southeast market doing? ", "Show the north market please. ",
+         "Revenue of RJ please. ", "Tell me a joke. ", "List all figures about quality. ", ""]
+_ASKED = "CASE (conv_id * 3 + turn) % 14 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END"
+# Half of the questions lose their own text, whose letters would hit keywords by chance.
+_QUESTION = f"{_ASKED} || CASE WHEN (conv_id + turn) % 2 = 0 THEN '' ELSE substr(text, 1, 40) END"
+_COMPASS = ("CASE CAST(substr(nation, 8) AS INT) % 6 WHEN 0 THEN 'North' WHEN 1 THEN 'South' WHEN 2 THEN 'East' WHEN 3 THEN 'West' "
+            "WHEN 4 THEN 'SP' ELSE nation END")
+COMPASS = FACT_MAPPING.with_overrides({"region": "compass"})
+
 
 def _questions(spark, d):
     c = load_table(spark, d, "conversations")
     return c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
 
 
-def _answers(spark, d):
+def _asked(spark, d):
+    """The derived questions; each is also about one of the five segments."""
+    c = load_table(spark, d, "conversations").where("role = 'user'")
+    segment = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("conv_id") % 5 + 1).cast("int"))
+    return c.select("conv_id", "turn", F.expr(_QUESTION).alias("question"), segment.alias("segment"))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _compass(spark, d, profit=True):
+    return sales_fact(spark, d, with_profit=profit).withColumn("compass", F.expr(_COMPASS))
+
+
+def _answers(questions, fact, mapping, by=()):
     """One scan of the fact: brief facts, region facts and K2 all come from
-    the same cube, checkpointed once (it is small: one row per region,
-    product and month) so its three consumers do not recompute it."""
-    fact = sales_fact(spark, d)
-    cube = materialize(fact_cube(fact, FACT_MAPPING, (), count_missing=True))
-    facts = brief_facts(fact, FACT_MAPPING, (), industry=INDUSTRY, cube=cube)
-    regions = region_facts_from_cube(cube)
-    conf = confidence_from_cube(cube, len(fact.columns))
-    return QN.answer_questions(_questions(spark, d), facts, regions, True, conf, KEYS)
+    the same cube, checkpointed once (one row per region, product and month)
+    because all three are used."""
+    cube = materialize(fact_cube(fact, mapping, by, count_missing=True))
+    facts = brief_facts(fact, mapping, by, industry=INDUSTRY, cube=cube)
+    conf = confidence_from_cube(cube, len([c for c in fact.columns if c not in by]), by)
+    return QN.answer_questions(questions, facts, region_facts_from_cube(cube, by), mapping.has_profit(fact), conf, KEYS, by=by)
 
 
 # --- SQL twin --------------------------------------------------------------------
@@ -43,17 +73,21 @@ def _any(words):
 
 
 _NTOK = (f"len(list_filter(regexp_split_to_array({Q.py_strip('question')}, '{PY_SPACE}+'), lambda x: x <> ''))")
-_GATE = f"({_NTOK} < {QN.MIN_TOKENS} OR {_any(QN.GATE_KEYWORDS)})"
-_INTENT = (f"CASE WHEN {_any(QN.DECLINE_WHY)} AND {_any(QN.DECLINE_WHAT)} AND {_any(QN.DECLINE_HOW)} THEN 'decline' "
-           + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w, _ in QN.INTENTS)
-           + f" WHEN {_any(QN.REGION_WORDS)} OR {_any(QN.REGION_CODES)} THEN 'region' ELSE 'general' END")
-_REF = ("CASE " + " ".join(f"WHEN contains(ql, '{w}') THEN '{w.capitalize() if w in QN.REGION_WORDS else w.upper()}'"
-                            for w in QN.REGION_WORDS + QN.REGION_CODES) + " END")
-
-_CONF = """conf AS (SELECT CAST(CASE WHEN COUNT(*) = 0 THEN 50 ELSE LEAST(99, GREATEST(50, 80 + LEAST(10, FLOOR(COUNT(*) / 10))
-  + FLOOR((1.0 - SUM((order_date IS NULL)::INT + (region IS NULL)::INT + (nation IS NULL)::INT + (product IS NULL)::INT
-      + (brand IS NULL)::INT + (segment IS NULL)::INT + (revenue IS NULL)::INT + (profit IS NULL)::INT)
-      / (COUNT(*) * 8.0)) * 10))) END AS INTEGER) AS data_confidence FROM f)"""
+_GATE = f"({_NTOK} < {TT.MIN_TOKENS} OR {_any(TT.GATE_KEYWORDS)})"
+_INTENT = (f"CASE WHEN {_any(TT.DECLINE_WHY)} AND {_any(TT.DECLINE_WHAT)} AND {_any(TT.DECLINE_HOW)} THEN 'decline' "
+           + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w, _ in TT.INTENTS)
+           + f" WHEN {_any(TT.REGION_WORDS)} OR {_any(TT.REGION_CODES)} THEN 'region' ELSE 'general' END")
+_REF = ("CASE " + " ".join(f"WHEN contains(ql, '{w}') THEN '{w.capitalize() if w in TT.REGION_WORDS else w.upper()}'"
+                            for w in TT.REGION_WORDS + TT.REGION_CODES) + " END")
+
+def _conf_sql(columns, by=()):
+    keys = "".join(f"{b}, " for b in by)
+    missing = " + ".join(f"({c} IS NULL)::INT" for c in columns)
+    return f"""conf AS (SELECT {keys}CAST(CASE WHEN COUNT(*) = 0 THEN 50 ELSE LEAST(99, GREATEST(50, 80 + LEAST(10, FLOOR(COUNT(*) / 10))
+  + FLOOR((1.0 - SUM({missing}) / (COUNT(*) * {len(columns)}.0)) * 10))) END AS INTEGER) AS data_confidence FROM f {'GROUP BY ' + ', '.join(by) if by else ''})"""
+
+
+_COLUMNS = ["order_date", "region", "nation", "product", "brand", "segment", "revenue", "profit"]
 
 _REG_PH = {"ref_region": "ref_region", "reg_rev": Q.money("reg_rev"), "reg_margin": Q.fmt("reg_margin", 1),
            "reg_share": Q.fmt("reg_share", 1)}
@@ -64,30 +98,44 @@ def _fields_sql(hp=True):
     outs = []
     for i in range(4):
         outs.append("CASE " + " ".join(f"WHEN {key} = '{n}' THEN {Q.render(t[i], hp, extra=_REG_PH)}"
-                                       for n, t in QN.ANSWERS.items()) + " END")
-    outs.append("CASE " + " ".join(f"WHEN {key} = '{n}' THEN '{p}'" for n, p in QN.PRIORITY.items()) + " END")
+                                       for n, t in TT.ANSWERS.items()) + " END")
+    outs.append("CASE " + " ".join(f"WHEN {key} = '{n}' THEN '{p}'" for n, p in TT.PRIORITY.items()) + " END")
     return outs
 
 
-def answers_sql(select: str) -> str:
+_PLAIN = "SELECT conv_id, turn, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user'"
+_ASKED_SQL = (f"SELECT *, lower(question) AS ql FROM (SELECT conv_id, turn, {_QUESTION} AS question, "
+              f"[{', '.join(Q.lit(x) for x in SEGMENTS)}][conv_id % 5 + 1] AS segment FROM conversations WHERE role = 'user')")
+
+
+def answers_sql(select: str, questions: str = _PLAIN, region: str = "nation", profit: bool = True, by=(), columns=_COLUMNS) -> str:
     names = ["answer", "evidence", "impact", "recommendation", "priority"]
-    fields = _fields_sql()
-    md = " || chr(10) || chr(10) || ".join(f"'### {h}' || chr(10) || {v}" for h, v in zip(QN.ANSWER_HEADERS, fields))
-    ctes = Q.kpi_facts_ctes([]) + ",\n" + _CONF + f""",
+    fields = _fields_sql(profit)
+    md = " || chr(10) || chr(10) || ".join(f"'### {h}' || chr(10) || {v}" for h, v in zip(TT.ANSWER_HEADERS, fields))
+    on = lambda a, b: "".join(f" AND {a}.{k} = {b}.{k}" for k in by)
+    keys = "".join(f"{b}, " for b in by)
+    facts = [c for c in columns if c not in by]
+    margin = Q.group_margin("SUM(profit)", "SUM(revenue)") if profit else "0.0"
+    fact = f"SELECT *, {_COMPASS} AS compass FROM ({Q.FACT_SQL})"
+    ctes = Q.kpi_facts_ctes(list(by), profit, region=region) + ",\n" + _conf_sql(facts, by) + f""",
 bf AS (SELECT kf.*, {Q.lit(INDUSTRY)} AS industry FROM kf),
-rf AS (SELECT nation AS _reg, CAST(SUM(revenue) AS DOUBLE) AS reg_rev,
-              {Q.group_margin('SUM(profit)', 'SUM(revenue)')} AS reg_margin FROM f GROUP BY nation),
-qq AS (SELECT conv_id, turn, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user'),
+rf AS (SELECT {keys}{region} AS _reg, CAST(SUM(revenue) AS DOUBLE) AS reg_rev, {margin} AS reg_margin FROM f GROUP BY {keys}{region}),
+qq AS ({questions}),
 qc AS (SELECT *, {_GATE} AS accepted, {_INTENT} AS intent FROM qq),
 qr AS (SELECT *, CASE WHEN intent = 'region' THEN {_REF} END AS ref_region FROM qc),
-qj AS (SELECT * FROM qr CROSS JOIN bf CROSS JOIN conf LEFT JOIN rf ON qr.ref_region = rf._reg),
+qj AS (SELECT qr.conv_id, qr.turn, qr.question, qr.accepted, qr.intent, qr.ref_region, bf.*, conf.data_confidence, rf._reg, rf.reg_rev, rf.reg_margin
+       FROM qr JOIN bf ON TRUE{on('qr', 'bf')} JOIN conf ON TRUE{on('qr', 'conf')} LEFT JOIN rf ON qr.ref_region = rf._reg{on('qr', 'rf')}),
 qk AS (SELECT *, reg_rev / total_revenue * 100.0 AS reg_share FROM qj),
 ans AS (SELECT conv_id, turn, accepted, intent, ref_region, reg_rev IS NOT NULL AS region_found,
    {', '.join(f'CASE WHEN accepted THEN {f} END AS {n}' for f, n in zip(fields, names))},
-   CASE WHEN accepted THEN {md} ELSE {Q.lit(QN.REFUSAL)} END AS reply,
-   CAST(CASE WHEN accepted THEN data_confidence ELSE {QN.REFUSAL_CONFIDENCE} END AS INTEGER) AS confidence
+   CASE WHEN accepted THEN {md} ELSE {Q.lit(TT.REFUSAL)} END AS reply,
+   CAST(CASE WHEN accepted THEN data_confidence ELSE {TT.REFUSAL_CONFIDENCE} END AS INTEGER) AS confidence,
+   reg_rev AS revenue, CASE WHEN reg_rev IS NOT NULL THEN reg_margin END AS margin, reg_share AS share
  FROM qk)"""
-    return Q.with_fact(select, extra_ctes=ctes)
+    return Q.with_fact(select, fact=fact, extra_ctes=ctes)
+
+
+_ALL = "SELECT * EXCLUDE (revenue, margin, share) FROM ans"
 
 
 # --- queries ---------------------------------------------------------------------
@@ -117,21 +165,72 @@ def q_question_region(spark, d):
             .select(*KEYS, QN.referenced_region(F.col("question")).alias("ref_region")))
 
 
-@query("region_answers", answers_sql(
-    "SELECT conv_id, turn, ref_region, region_found, evidence, priority FROM ans WHERE intent = 'region'"))
+@query("asked_gate_intent", f"""
+SELECT conv_id, turn, {_GATE} AS accepted, {_INTENT} AS intent, CASE WHEN {_INTENT} = 'region' THEN {_REF} END AS ref_region
+FROM ({_ASKED_SQL})""")
+def q_asked_gate_intent(spark, d):
+    """Q1-Q3 over questions of every intent."""
+    return QN.classify(_asked(spark, d)).select(*KEYS, "accepted", "intent", "ref_region")
+
+
+_REGION = "SELECT conv_id, turn, ref_region, region_found, revenue, margin, share FROM ans WHERE intent = 'region'"
+
+
+@query("region_answers", answers_sql(_REGION, _ASKED_SQL, "compass"))
 def q_region_answers(spark, d):
-    a = _answers(spark, d)
-    return a.filter(F.col("intent") == "region").select(*KEYS, "ref_region", "region_found", "evidence", "priority")
+    """Q4: regions found and not found."""
+    fact = _compass(spark, d)
+    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region"), K.totals(fact, COMPASS), True, KEYS)
 
 
-@query("question_answers", answers_sql("SELECT * FROM ans"))
+@query("region_answers_by_segment", answers_sql(_REGION, _ASKED_SQL, "compass", by=["segment"]))
+def q_region_answers_by(spark, d):
+    """Q4 for questions that are about one segment each."""
+    fact, by = _compass(spark, d), ["segment"]
+    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region", by), K.totals(fact, COMPASS, by), True, KEYS, by)
+
+
+@query("question_answers", answers_sql(_ALL, _ASKED_SQL, "compass", columns=[*_COLUMNS, "compass"]))
 def q_question_answers(spark, d):
-    return _answers(spark, d)
+    return _answers(_asked(spark, d), _compass(spark, d), COMPASS)
+
+
+@query("question_answers_noprofit", answers_sql(_ALL, _ASKED_SQL, "compass", profit=False, columns=[c for c in _COLUMNS if c != "profit"] + ["compass"]))
+def q_question_answers_np(spark, d):
+    return _answers(_asked(spark, d), _compass(spark, d, False), COMPASS.with_overrides({"profit": None}))
 
 
-@query("answer_confidence", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans"))
+@query("question_answers_by_entity", answers_sql(_ALL, _ASKED_SQL, "compass", by=["segment"], columns=[*_COLUMNS, "compass"]))
+def q_question_answers_by(spark, d):
+    return _answers(_asked(spark, d), _compass(spark, d), COMPASS, ["segment"])
+
+
+@query("question_answers_plain", answers_sql(_ALL))
+def q_question_answers_plain(spark, d):
+    """The conversations' own texts."""
+    return _answers(_questions(spark, d), sales_fact(spark, d), FACT_MAPPING)
+
+
+@query("answer_confidence", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans", _ASKED_SQL))
 def q_answer_confidence(spark, d):
-    return _answers(spark, d).select(*KEYS, "accepted", "confidence")
+    return QN.answer_confidence(_asked(spark, d), K.data_confidence(sales_fact(spark, d)), KEYS)
+
+
+@query("message_rows", QB.brief_sql(f"""
+SELECT conv_id, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS BIGINT) AS seq, role, text AS content FROM conversations
+UNION ALL SELECT conv_id, CAST(0 AS BIGINT), 'system', system_prompt
+FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT {QB.question_prompt_sql(True)} AS system_prompt FROM bt)""", by=[]))
+def q_message_rows(spark, d):
+    """Q8: every message of every conversation, after one system text."""
+    return QN.message_rows(load_table(spark, d, "conversations"), QB.facts(spark, d, by=[]), True)
+
+
+@query("request_rows", """
+SELECT conv_id, seq, CAST(seq - 1 AS BIGINT) AS history_to, text AS question
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS BIGINT) AS seq FROM conversations) WHERE role = 'user'""")
+def q_request_rows(spark, d):
+    """Q8: every user turn as a request with the last message of its history."""
+    return QN.request_rows(load_table(spark, d, "conversations"))
 
 
 @query("prompt_messages", """

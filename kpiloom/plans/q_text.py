@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import PY_SPACE
 from ..operators import brief as B
-from ..operators import templates as TT
 from ..operators import textops as X
 from ..sources.tables import load_table
+from . import expected as TT
 from . import q_brief as QB
 from . import sql as Q
 from .registry import query
@@ -22,12 +22,12 @@ def _strip(x):
 
 
 def _bold(x):
-    return f"replace(regexp_replace({x}, '\\*\\*(.*?)\\*\\*', '<b>\\1</b>', 'g'), '**', '<b>')"
+    return f"replace(regexp_replace({x}, '(?s)\\*\\*(.*?)\\*\\*', '<b>\\1</b>', 'g'), '**', '<b>')"
 
 
 def section_sql(source: str, id_col: str, text_col: str, section: str) -> str:
     """X1 twin: lines with ordinality + windowed start/end positions."""
-    tgt = Q.lit(X.section_target(section))
+    tgt = Q.lit(section.lower())
     return f"""
 xl AS (SELECT {id_col} AS id, o AS i, l FROM {source}, unnest(string_split({text_col}, chr(10))) WITH ORDINALITY AS u(l, o)),
 xf AS (SELECT *, starts_with(l, '#') AS is_head,
@@ -47,13 +47,31 @@ def q_markdown_section(spark, d):
     return X.markdown_section(docs, "text", "Key Findings").select("doc_id", "section")
 
 
-def _brief_md_sql():
-    bodies = QB._bodies_sql(True)
-    return " || chr(10) || chr(10) || ".join(f"'## {t}' || chr(10) || {b}" for t, b in zip(TT.SECTIONS, bodies))
+# Every document as a Markdown report made from its own lines: title, findings as bullets (for even ids once more under a
+# second heading), numbered points, bold words that close, stay open, or run over a carriage return.  NL, CR: line ends.
+_REPORT = """'# Report ' || CAST(doc_id AS {string}) || {nl} || '## Key Findings' || {nl} || '- ' || replace(text, {nl}, {nl} || '- ')
+  || CASE WHEN doc_id % 3 = 0 THEN {nl} || '## Other points' || {nl} || '1. **first**' || {nl} || '2. second ' || {cr} || '**third' || {cr} || 'part**' || {nl}
+          ELSE {nl} || '* **open' || {nl} END
+  || CASE WHEN doc_id % 2 = 0 THEN '## Key Findings again' || {nl} || 'more **bold** text' || {nl} || '### Small' || {nl} || 'end'
+          ELSE '# Major' || {nl} || {nl} || 'end **' END"""
+_REPORTS = f"reports AS (SELECT doc_id, {_REPORT.format(string='VARCHAR', nl='chr(10)', cr='chr(13)')} AS text FROM documents)"
+
+
+def _reports(spark, d):
+    text = F.expr(_REPORT.format(string="string", nl="char(10)", cr="char(13)"))
+    return load_table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query("markdown_section_reports", f"""
+WITH {_REPORTS}, {section_sql('reports', 'doc_id', 'text', 'Key Findings').strip()}
+SELECT d.doc_id, COALESCE(xr.section, '') AS section FROM documents d LEFT JOIN xr ON d.doc_id = xr.id""")
+def q_markdown_section_reports(spark, d):
+    """X1 over documents that have headings: sections with bullets, some in two parts."""
+    return X.markdown_section(_reports(spark, d), "text", "Key Findings").select("doc_id", "section")
 
 
 def _briefs_cte():
-    return f"briefs AS (SELECT bt.*, {_brief_md_sql()} AS brief FROM bt)"
+    return f"briefs AS (SELECT bt.*, {QB.markdown_sql(True)} AS brief FROM bt)"
 
 
 def _brief_section_sql(section, select):
@@ -72,15 +90,24 @@ def q_brief_section_extract(spark, d):
     return X.markdown_section(md, "brief", "Critical Risks").select("segment", "section")
 
 
-@query("summary_or_default", _brief_section_sql(
-    "Executive Summary",
-    f"SELECT b.segment, COALESCE(NULLIF(xr.section, ''), {Q.render(TT.SUMMARY_DEFAULT, True)}) AS summary "
-    "FROM briefs b LEFT JOIN xr ON b.segment = xr.id"))
+# Briefs of segments whose name is longer than 9 characters lose their first heading, so that the default takes over.
+_CUT = "CASE WHEN length(segment) > 9 THEN replace(brief, '## Executive Summary', '## Foreword') ELSE brief END"
+
+
+def _summary_sql():
+    sql = QB.brief_sql("SELECT 1")
+    return (sql[: sql.rindex("SELECT 1")].rstrip() + ",\n" + _briefs_cte() + f",\ncut AS (SELECT * REPLACE ({_CUT} AS brief) FROM briefs),\n"
+            + section_sql("cut", "segment", "brief", "Executive Summary").strip()
+            + f"\nSELECT b.segment, COALESCE(NULLIF(xr.section, ''), {Q.render(TT.SUMMARY_DEFAULT, True)}) AS summary "
+            "FROM cut b LEFT JOIN xr ON b.segment = xr.id")
+
+
+@query("summary_or_default", _summary_sql())
 def q_summary_or_default(spark, d):
     """The brief's Executive Summary section, else a generated sentence."""
     facts = QB.facts(spark, d)
     md = facts.select("segment", B.markdown_column(True).alias("brief"), B.summary_default(True).alias("_default"))
-    sec = X.markdown_section(md, "brief", "Executive Summary")
+    sec = X.markdown_section(md.withColumn("brief", F.expr(_CUT)), "brief", "Executive Summary")
     return sec.select("segment", F.coalesce(F.nullif(F.col("section"), F.lit("")), F.col("_default")).alias("summary"))
 
 
@@ -109,6 +136,13 @@ def q_markdown_blocks(spark, d):
     return X.markdown_blocks(load_table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("markdown_blocks_reports", f"WITH {_REPORTS}, {blocks_sql('reports', 'doc_id', 'text').strip()}\n"
+                                  "SELECT id AS doc_id, line_no, kind, text FROM bo")
+def q_markdown_blocks_reports(spark, d):
+    """X2 over documents that have headings, bullets, numbers and bold words: all four kinds."""
+    return X.markdown_blocks(_reports(spark, d), "doc_id", "text")
+
+
 def _brief_blocks_sql():
     sql = QB.brief_sql("SELECT 1")
     head = sql[: sql.rindex("SELECT 1")].rstrip()
@@ -124,13 +158,13 @@ def q_brief_blocks(spark, d):
 
 def _decorate_sql(x):
     out = x
-    for old, new in X.HEADING_DECORATION.items():
+    for old, new in TT.HEADING_DECORATION.items():
         out = f"replace({out}, {Q.lit(old)}, {Q.lit(new)})"
     return out
 
 
 @query("decorate_headings", (lambda s: s[: s.rindex("SELECT 1")] + "SELECT segment, "
-                             + _decorate_sql(_brief_md_sql()) + " AS brief FROM bt")(QB.brief_sql("SELECT 1")))
+                             + _decorate_sql(QB.markdown_sql(True)) + " AS brief FROM bt")(QB.brief_sql("SELECT 1")))
 def q_decorate_headings(spark, d):
     md = B.brief_markdown(QB.facts(spark, d), QB.BY, True)
     return md.select("segment", X.decorate_headings(F.col("brief")).alias("brief"))

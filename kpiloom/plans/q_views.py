@@ -20,6 +20,29 @@ def _fact(spark, d, profit=True):
     return sales_fact(spark, d, with_profit=profit)
 
 
+# The ranked tables for the whole dataset: key, order, rows, label length, columns.
+_REV, _PROF, _SHARE, _MARGIN = ("CAST(rev AS DOUBLE) AS revenue", "CAST(prof AS DOUBLE) AS profit",
+                                "CAST(rev AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 AS share", f"{Q.group_margin('prof', 'rev')} AS margin")
+WHOLE = {
+    "top10_products_by_profit_all": ("brand", "prof", 10, 20, "product", [_PROF], lambda f, m: V.top_n(f, FACT_MAPPING_BRAND, "product", "profit", 10)),
+    "region_report_table_all": ("nation", "rev", 15, 20, "region", [_REV, _SHARE, _PROF, _MARGIN], lambda f, m: V.region_report_table(f, m)),
+    "product_report_table_all": ("brand", "prof", 15, 20, "product", [_REV, _PROF, _MARGIN], lambda f, m: V.product_report_table(f, FACT_MAPPING_BRAND)),
+}
+
+
+def _register_whole(name, key, order, n, size, role, columns, run):
+    @query(name, Q.with_fact(f"""
+SELECT CAST(rn AS INTEGER) AS rank, k AS {role}, {Q.truncate_label('k', size)} AS label, {', '.join(columns)}
+FROM (SELECT *, SUM(rev) OVER () AS total, ROW_NUMBER() OVER (ORDER BY {order} DESC, k) AS rn
+      FROM (SELECT {key} AS k, SUM(revenue) AS rev, SUM(profit) AS prof FROM f GROUP BY 1)) WHERE rn <= {n}"""))
+    def whole(spark, d):
+        return run(_fact(spark, d), FACT_MAPPING)
+
+
+for _name, _spec in WHOLE.items():
+    _register_whole(_name, *_spec)
+
+
 def _ranked_sql(key, order, n, select, source="f", extra_group=""):
     return f"""
 SELECT {select} FROM (
@@ -41,6 +64,27 @@ def q_region_top8_others(spark, d):
     return V.region_top_others(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY, k=8)
 
 
+# Money as doubles where the largest dwarf the rest: Others must come from the rest alone.
+_STEEP = ("CASE WHEN CAST(substr(nation, 8) AS INT) < 8 THEN CAST(l_extendedprice AS DOUBLE) * 1e12 ELSE 0.25 * (l_linenumber % 4) END")
+
+
+@query("region_top8_others_double", f"""
+WITH f AS (SELECT n_name AS nation, l_extendedprice, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT nation AS k, SUM({_STEEP}) AS rev FROM f GROUP BY 1),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rev DESC, k) AS rn FROM g)
+SELECT CAST(rn AS INTEGER) AS rank, k AS region, {Q.truncate_label('k', 20)} AS label, ROUND(rev / 1e12, 3) AS revenue FROM r WHERE rn <= 8
+UNION ALL SELECT 9, 'Others', 'Others', ROUND(SUM(rev), 3) FROM r WHERE rn > 8""")
+def q_region_top8_double(spark, d):
+    """T1 for the whole dataset on double money."""
+    t = lambda n: load_table(spark, d, n)
+    rows = (t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "nation"))
+    m = FACT_MAPPING_NO_PROFIT.with_overrides({"revenue": "steep"})
+    out = V.region_top_others(rows.withColumn("steep", F.expr(_STEEP)), m, [], 8)
+    return out.withColumn("revenue", F.round(F.when(F.col("rank") <= 8, F.col("revenue") / 1e12).otherwise(F.col("revenue")), 3))
+
+
 @query("top10_products_by_profit", Q.with_fact(_ranked_sql(
     "brand", "prof DESC", 10,
     f"segment, CAST(rn AS INTEGER) AS rank, k AS brand, {Q.truncate_label('k', 20)} AS label, "
@@ -149,6 +193,13 @@ def q_trend_class(spark, d):
                     S.fmt_fixed("pct_change", 1, sign=True).alias("change_text"))
 
 
+@query("trend_class_balances", f"""
+SELECT c_custkey, {Q.trend_class('c_acctbal / 500')} AS trend FROM customer""")
+def q_trend_class_balances(spark, d):
+    """P8 where all three classes occur."""
+    return load_table(spark, d, "customer").select("c_custkey", S.trend_class(F.col("c_acctbal") / 500).alias("trend"))
+
+
 @query("growth_statement", Q.with_fact(
     f"SELECT segment, {Q.growth_statement('n_months', 'pct_change', 'first_month', 'last_month')} AS statement "
     f"FROM {_pct_sql}"))
@@ -174,19 +225,26 @@ def q_strip_non_ascii(spark, d):
     return docs.select("doc_id", S.strip_non_ascii("text").alias("ascii_text"))
 
 
-@query("kpi_cards", Q.with_fact(f"""
-SELECT segment, card_no, card, value, subtext FROM (
-  SELECT segment, UNNEST([
-    {{'card_no': 1, 'card': 'Total Revenue', 'value': {Q.format_metric('total_revenue')}, 'subtext': 'All periods combined'}},
-    {{'card_no': 2, 'card': 'Total Profit', 'value': {Q.format_metric('total_profit')}, 'subtext': 'Net earnings'}},
-    {{'card_no': 3, 'card': 'Profit Margin', 'value': {Q.pct1('profit_margin')},
-      'subtext': 'Margin band: ' || {Q.margin_band('profit_margin')}}},
-    {{'card_no': 4, 'card': 'Health Score', 'value': CAST(health_score AS VARCHAR) || '/100', 'subtext': health_status}},
-    {{'card_no': 5, 'card': 'Top Region', 'value': {Q.truncate_label('top_region', 15)},
-      'subtext': 'Sales: ' || {Q.format_metric('top_region_rev')}}},
-    {{'card_no': 6, 'card': 'Top Category', 'value': {Q.truncate_label('top_product', 15)},
-      'subtext': 'Sales: ' || {Q.format_metric('top_product_rev')}}}
-  ], recursive := true) FROM kf)""", extra_ctes=Q.kpi_facts_ctes(BY)))
+def _cards_sql(hp):
+    na = "'N/A'"
+    cards = [("Total Revenue", Q.format_metric("total_revenue"), "'All periods combined'"),
+             ("Total Profit", Q.format_metric("total_profit") if hp else na, "'Net earnings'"),
+             ("Profit Margin", Q.pct1("profit_margin") if hp else na, f"'Margin band: ' || {Q.margin_band('profit_margin')}"),
+             ("Health Score", "CAST(health_score AS VARCHAR) || '/100'", "health_status"),
+             ("Top Region", Q.truncate_label("top_region", 15), f"'Sales: ' || {Q.format_metric('top_region_rev')}"),
+             ("Top Category", Q.truncate_label("top_product", 15), f"'Sales: ' || {Q.format_metric('top_product_rev')}")]
+    rows = ", ".join(f"{{'card_no': {k}, 'card': '{c}', 'value': {v}, 'subtext': {t}}}" for k, (c, v, t) in enumerate(cards, 1))
+    return Q.with_fact(f"SELECT segment, card_no, card, value, subtext FROM (SELECT segment, UNNEST([{rows}], recursive := true) FROM kf)",
+                       extra_ctes=Q.kpi_facts_ctes(BY, hp))
+
+
+@query("kpi_cards", _cards_sql(True))
 def q_kpi_cards(spark, d):
     facts = kpi_facts(fact_cube(_fact(spark, d), FACT_MAPPING, BY), BY, True)
     return V.kpi_cards(facts, BY)
+
+
+@query("kpi_cards_noprofit", _cards_sql(False))
+def q_kpi_cards_np(spark, d):
+    facts = kpi_facts(fact_cube(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY), BY, False)
+    return V.kpi_cards(facts, BY)

@@ -1,13 +1,15 @@
 """DuckDB oracle SQL builders.
 
-The oracle is written independently of the Spark plans: plain GROUP BYs and
-ROW_NUMBER windows instead of grouping sets and ``min_by`` structs.  Every
-statement starts from the same fact text (``FACT_SQL``), over the driver's
-pre-registered parquet views.
+The statements use plain GROUP BYs and ROW_NUMBER windows instead of grouping
+sets and ``min_by`` structs, and texts from ``expected.py`` instead of the
+operators' templates.  Every statement starts from the same fact text
+(``FACT_SQL``), over the driver's pre-registered parquet views.
 """
 
 from __future__ import annotations
 
+import re
+
 from ..sources.tables import FACT_SQL
 
 INF = "CAST('infinity' AS DOUBLE)"
@@ -173,6 +175,14 @@ KPI_COLS = ("n_rows, total_revenue, total_profit, profit_margin, top_region, top
 
 # --- template rendering (twin of operators.brief.render) ----------------------
 
+def pick(template, has_profit: bool):
+    return (template[0] if has_profit else template[1]) if isinstance(template, tuple) else template
+
+
+def fields_of(text: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -205,7 +215,6 @@ PLACEHOLDERS = {
 
 def render(template, has_profit: bool, base: str | None = None, extra: dict | None = None,
            fields: list | None = None) -> str:
-    from ..operators.brief import fields_of, pick
     text = pick(template, has_profit)
     values = {**PLACEHOLDERS, **(extra or {})}
     out = base if base is not None else lit(text)

@@ -132,6 +132,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     return docs.select(F.col(quoted(id_col)).alias("id"), F.when(anchored, F.flatten(each)).otherwise(none).alias("matches"))
 
 
-def best(matches: Column) -> Column:
+def best(matches) -> Column:
     """(score as a negative number, license) of the highest score; of equal ones the first by name.  Null if there is none."""
     return F.array_min(F.transform(matches, lambda m: F.struct(F.negative(m["dice"]).alias("minus"), m["license"].alias("license"))))

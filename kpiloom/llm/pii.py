@@ -342,4 +342,5 @@ def mask(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             text = pa.array([redact(x, model, threshold) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(b.columns)], schema=b.schema.set(at, pa.field(b.schema.names[at], pa.string())))
 
-    return docs.mapInArrow(work, docs.schema)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any names, dotted ones too
+    return numbered.mapInArrow(work, numbered.schema).toDF(*docs.columns)

@@ -111,12 +111,13 @@ def later_places(found: DataFrame) -> DataFrame:
 
 
 def cut(text: str, ats: list[int], run: int = RUN) -> tuple[str, int]:
-    """(text without the sentences covered by the runs at ``ats``, number of sentences removed)."""
+    """(text without the sentences covered by the runs at ``ats`` and the white space between them, number of sentences removed)."""
     gone = {k for at in ats for k in range(at, at + run)}
     out, end = [], 0
     for k, (s, e) in enumerate(sentences(text)):
         if k in gone:
-            out.append(text[end:s])
+            if k - 1 not in gone:
+                out.append(text[end:s])
             end = e
     return "".join([*out, text[end:]]), len(gone)
 

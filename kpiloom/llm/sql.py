@@ -32,7 +32,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-# Base spans only differ from the operator's by the spans that its method adds; see tests for those.
 
 
 def _mixing() -> str:
@@ -66,3 +65,65 @@ FROM r JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.lang IS NOT DISTIN
 
 
 ORACLE["op8_mixing"] = _mixing()
+
+
+# All pairs of valid vectors; components by following links.
+ORACLE["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, l.b FROM reach JOIN l ON reach.y = l.a),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = x LEFT JOIN n ON vec_id = a
+"""
+
+# Turns in order; digests of the turns themselves; characters of each window's new, system and repeated turns.
+ORACLE["op6_chat_formatting"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(k)),
+e AS (SELECT *, row_number() OVER w AS rank,
+             len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) + 4 AS tokens,
+             12 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g')) + 1
+               + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_,
+             coalesce(max(CASE WHEN rank = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS sys_tokens,
+             coalesce(max(CASE WHEN rank = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id), 0) AS sys_chars,
+             rank = 1 AND role = 'system' AS is_system FROM e),
+s AS (SELECT *, CASE WHEN is_system THEN 0 ELSE before_ - sys_tokens END AS start_, greatest(64, 512 - 128 - sys_tokens) AS room FROM p),
+w AS (SELECT *, 2 * floor(start_ / room) + (floor(CASE WHEN is_system THEN 0 ELSE start_ + tokens - 1 END / room) > floor(start_ / room))::INT AS win FROM s),
+f AS (SELECT conv_id, win, min(rank) AS first_, arg_min(start_, rank) AS first_start, any_value(sys_chars) AS sys_chars FROM w GROUP BY 1, 2),
+h AS (SELECT f.conv_id, sum(w.chars) AS chars FROM f JOIN w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND w.rank BETWEEN f.first_ - 2 AND f.first_ - 1
+      WHERE NOT w.is_system AND f.first_start - w.start_ <= 128 GROUP BY 1),
+y AS (SELECT conv_id, sum(CASE WHEN first_ > 1 THEN sys_chars ELSE 0 END) AS chars FROM f GROUP BY 1),
+d AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank) AS turns,
+             coalesce(string_agg(text, '' ORDER BY rank) FILTER (role = 'assistant'), '') AS loss FROM w GROUP BY 1)
+SELECT d.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(d.chars + y.chars + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars
+FROM d JOIN y ON d.conv_id IS NOT DISTINCT FROM y.conv_id LEFT JOIN h ON d.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
+def _licenses() -> str:
+    """Every distinct unit against every template, without pruning."""
+    from . import licenses
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(k)}, [{', '.join(map(quote, licenses.bigrams_of(v)))}])" for k, v in licenses.TEMPLATES.items())
+    return rf"""
+WITH t(license, b) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text])) AS unit FROM d),
+g AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+      FROM (SELECT r, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u) WHERE len(w) > 1),
+m AS (SELECT r, license, 2 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b))::DOUBLE AS dice FROM g, t
+      WHERE 2 * len(list_intersect(g.b, t.b)) >= 0.8 * (len(g.b) + len(t.b))),
+x AS (SELECT r, count(*) AS n, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+      FROM m GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_matches, license, round(dice, 6) AS dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN x USING (r)
+"""
+
+
+ORACLE["op7_license_scans"] = _licenses()

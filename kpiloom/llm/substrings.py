@@ -1,8 +1,8 @@
 """Substring de-duplication by sliding sentence spans.
 
 Texts are cut into sentences (long sentences into parts of at most
-MAX_SENTENCE words).  Every run of RUN consecutive sentences with at least
-MIN_WORDS words is hashed.  Over all documents, a run that occurs more than
+MAX_SENTENCE words).  Every run of RUN consecutive sentences is hashed; where these
+hold fewer than MIN_WORDS words, as many more sentences as it takes.  Over all documents, a run that occurs more than
 once keeps its first place, by document id, then position; sentences covered
 by any later occurrence are removed from their documents.
 
@@ -63,18 +63,42 @@ def sentence_words(text: str, most: int = MAX_SENTENCE) -> list[list[str]]:
     return out
 
 
-def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, bool]]:
-    """(number of the first sentence, 128-bit hash, whether it is the first such run of the text) of each run."""
+def run_places(sizes: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first, last + 1) of the runs of at least ``run`` sentences and ``min_words`` words: for each sentence the
+    shortest that starts with it and the shortest that ends with it, so that any longer passage is covered to both its ends."""
+    total = [0]
+    for n in sizes:
+        total.append(total[-1] + n)
+    found: set[tuple[int, int]] = set()
+    end = 0
+    for k in range(len(sizes)):
+        end = max(end, k + run)
+        while end <= len(sizes) and total[end] - total[k] < min_words:
+            end += 1
+        if end > len(sizes):
+            break
+        found.add((k, end))
+    start = len(sizes)
+    for k in range(len(sizes), 0, -1):
+        start = min(start, k - run)
+        while start >= 0 and total[k] - total[start] < min_words:
+            start -= 1
+        if start < 0:
+            break
+        found.add((start, k))
+    return sorted(found)
+
+
+def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes, bool]]:
+    """(first sentence, last + 1, 128-bit hash, whether it is the first such run of the text) of each run."""
     words = sentence_words(text)
-    sizes = [len(x) for x in words]
     joined = [" ".join(x) for x in words]
     seen: set[bytes] = set()
     out = []
-    for k in range(len(words) - run + 1):
-        if sum(sizes[k:k + run]) >= min_words:
-            h = xxhash.xxh3_128_digest(" ".join(joined[k:k + run]).encode("utf-8", "replace"))
-            out.append((k, h, h not in seen))
-            seen.add(h)
+    for k, end in run_places([len(x) for x in words], run, min_words):
+        h = xxhash.xxh3_128_digest(" ".join(joined[k:end]).encode("utf-8", "replace"))
+        out.append((k, end, h, h not in seen))
+        seen.add(h)
     return out
 
 
@@ -85,34 +109,34 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, version, at, own, h1, h2): every run of every text; ``own``: the first of its kind in the text."""
+    """(id, version, place, own, h1, h2): every run of every text; ``place``: first sentence * 2^32 + (last + 1); ``own``: the first of its kind in the text."""
     ship(texts.sparkSession)
 
     def work(batches):
         for b in batches:
             found = [runs(x, run, min_words) if x else [] for x in b.column(2).to_pylist()]
             row = pa.array([k for k, x in enumerate(found) for _ in x], pa.int64())
-            hashes = np.frombuffer(b"".join(h for x in found for _, h, _ in x), dtype="<i8").reshape(-1, 2)
+            hashes = np.frombuffer(b"".join(r[2] for x in found for r in x), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(row), b.column(1).take(row), pa.array([r[0] for x in found for r in x], pa.int32()),
-                 pa.array([r[2] for x in found for r in x], pa.bool_()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])],
-                names=["id", "version", "at", "own", "h1", "h2"])
+                [b.column(0).take(row), b.column(1).take(row), pa.array([(r[0] << 32) + r[1] for x in found for r in x], pa.int64()),
+                 pa.array([r[3] for x in found for r in x], pa.bool_()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])],
+                names=["id", "version", "place", "own", "h1", "h2"])
 
-    fields = [texts.schema["id"], texts.schema["version"], T.StructField("at", T.IntegerType()), T.StructField("own", T.BooleanType()),
+    fields = [texts.schema["id"], texts.schema["version"], T.StructField("place", T.LongType()), T.StructField("own", T.BooleanType()),
               T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
     return texts.mapInArrow(work, T.StructType(fields))
 
 
 def later_places(found: DataFrame) -> DataFrame:
-    """(id, version, ats): of each text, the runs whose first place is in another document or earlier in it."""
+    """(id, version, places): of each text, the runs whose first place is in another document or earlier in it."""
     firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = found.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")) | ~F.col("own"))
-    return again.groupBy("id", "version").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    return again.groupBy("id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def cut(text: str, ats: list[int], run: int = RUN) -> tuple[str, int]:
-    """(text without the sentences covered by the runs at ``ats`` and the white space between them, number of sentences removed)."""
-    gone = {k for at in ats for k in range(at, at + run)}
+def cut(text: str, places: list[int]) -> tuple[str, int]:
+    """(text without the sentences covered by the runs at ``places`` and the white space between them, number of sentences removed)."""
+    gone = {k for place in places for k in range(place >> 32, place & 0xFFFF_FFFF)}
     out, end = [], 0
     for k, (s, e) in enumerate(sentences(text)):
         if k in gone:
@@ -130,15 +154,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     their texts if it stays in one (rows with an id come first).  A null text stays null; an
     empty table gives no rows; other columns are not read, whatever their names."""
     texts = _texts(docs, id_col, text_col)
-    gone = later_places(spans(texts, run, min_words)).select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "ats")
+    gone = later_places(spans(texts, run, min_words)).select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "places")
     same = texts["id"].eqNullSafe(gone["g_id"]) & (texts["version"] == gone["g_version"])
-    joined = texts.join(gone, same, "left").select("id", "text", "ats")
+    joined = texts.join(gone, same, "left").select("id", "text", "places")
 
     def work(batches):
         for b in batches:
-            text, ats = b.column(1), b.column(2)
-            at = [k for k, x in enumerate(ats.is_valid().to_pylist()) if x]
-            made = [cut(x, a, run) for x, a in zip(text.take(pa.array(at, pa.int64())).to_pylist(), ats.take(pa.array(at, pa.int64())).to_pylist())]
+            text, places = b.column(1), b.column(2)
+            at = [k for k, x in enumerate(places.is_valid().to_pylist()) if x]
+            some = pa.array(at, pa.int64())
+            made = [cut(x, p) for x, p in zip(text.take(some).to_pylist(), places.take(some).to_pylist())]
             removed = np.zeros(len(text), dtype=np.int64)
             removed[at] = [n for _, n in made]
             if at:

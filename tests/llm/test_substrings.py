@@ -14,28 +14,40 @@ def test_places_and_words_of_sentences_agree(text, most):
     assert [text[s:e].split() for s, e in sub.sentences(text, most)] == sub.sentence_words(text, most)
 
 
+def plain_places(words):
+    """Runs that lose their length or their words when either end goes."""
+    n = len(words)
+    enough = lambda k, end: end - k >= sub.RUN and sum(map(len, words[k:end])) >= sub.MIN_WORDS
+    firsts = [next(((k, e) for e in range(k, n + 1) if enough(k, e)), None) for k in range(n)]
+    lasts = [next(((k, e) for k in range(e, -1, -1) if enough(k, e)), None) for e in range(n + 1)]
+    return sorted({x for x in firsts + lasts if x})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=30))
+def test_places_of_runs(sizes):
+    assert sub.run_places(sizes) == plain_places([["w"] * n for n in sizes])
+
+
 def plain(docs):
     """(id, n_removed, text) of each document, first places by id."""
     seen, out = {}, []
     order = sorted({(r["doc_id"] is None, r["doc_id"] or 0) for r in docs})
     for r in docs:
         words = sub.sentence_words(r["text"] or "")
-        for k in range(len(words) - sub.RUN + 1):
-            run = tuple(map(tuple, words[k:k + sub.RUN]))
-            if sum(map(len, run)) >= sub.MIN_WORDS:
-                flat = tuple(w for x in run for w in x)
-                at = order.index((r["doc_id"] is None, r["doc_id"] or 0))
-                seen[flat] = min(seen.get(flat, at), at)
+        at = order.index((r["doc_id"] is None, r["doc_id"] or 0))
+        for k, end in plain_places(words):
+            flat = tuple(w for x in words[k:end] for w in x)
+            seen[flat] = min(seen.get(flat, at), at)
     for r in docs:
         text, gone, own = r["text"], set(), set()
         words = sub.sentence_words(text or "")
         at = order.index((r["doc_id"] is None, r["doc_id"] or 0))
-        for k in range(len(words) - sub.RUN + 1):
-            flat = tuple(w for x in words[k:k + sub.RUN] for w in x)
-            if len(flat) >= sub.MIN_WORDS:
-                if seen[flat] != at or flat in own:
-                    gone |= set(range(k, k + sub.RUN))
-                own.add(flat)
+        for k, end in plain_places(words):
+            flat = tuple(w for x in words[k:end] for w in x)
+            if seen[flat] != at or flat in own:
+                gone |= set(range(k, end))
+            own.add(flat)
         if text:
             places = sub.sentences(text)
             keep = sorted(set(range(len(places))) - gone)
@@ -72,5 +84,12 @@ def test_one_long_sentence(spark):
     assert got == {1: rows[0][1], 2: "some own words\n", 3: rows[2][1]}
 
 
+def test_sentences_of_one_word(spark):
+    loud = " ".join(f"WORD{k}!!" for k in range(60))
+    rows = [(1, f"own start here\n{loud}\nown end", "en", "a"), (2, f"other begin there\n{loud}\nother finish", "en", "a")]
+    got = {r["id"]: r["text"] for r in sub.dedup(cases.documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "other begin there\n\nother finish"}
+
+
 def test_empty_table(spark):
     assert sub.dedup(cases.documents(spark).limit(0)).collect() == []

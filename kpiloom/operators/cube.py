@@ -28,7 +28,7 @@ def prepare(df: DataFrame, m: Mapping, by: Sequence[str] = (), carry: Sequence[s
     """Project entity keys and role columns under fixed aliases.
 
     A role column missing from ``df`` becomes a NULL column, which the KPI
-    step treats as "role absent" (the reference's defaults).
+    step treats as "role absent" (its defaults).
     """
     def role(name, alias, cast=None):
         if name and name in df.columns:

@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0  # Fixed value: the id that ends a document.
 #: Search limits: nodes of the tree, fillings tried at a node, steps to enumerate them.
 NODES, WIDTH, STEPS = 6000, 4, 1500
-GROUP = 50_000  # pieces ranked by one task, about
+GROUP = 1000  # pieces of one length ranked together, about
 _CHARS = 1_000_000  # text encoded at a time
 
 Filling = tuple[int, ...]  # lengths, largest first
@@ -133,7 +133,7 @@ def _fillings(stock: _Stock, capacity: int, waste: int, width: int, steps: int)
         return True
 
     add([largest], capacity - largest, len(stock.lengths))
-    return sorted(dict.fromkeys(found), key=lambda f: (capacity - sum(f), f[::-1]))[:width]
+    return sorted(dict.fromkeys(found), key=lambda f: capacity - sum(f))[:width]  # of equal waste, the larger pieces first
 
 
 def _dominated(chosen: list[int], gap: int, stock: _Stock) -> bool:
@@ -170,7 +170,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
             if used < most:
                 best, most = list(path), used
             choices = []
-        elif waste < 0 or (len(path) % 64 == 0 and used + lower_bound(stock.counts, capacity) >= most):
+        elif waste < 0:
             choices = []
         else:
             choices = _fillings(stock, capacity, waste, width, steps)
@@ -241,11 +241,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return rows.mapInArrow(work, T.StructType([T.StructField("id", rows.schema["id"].dataType), *PIECE, *ids]))
 
 
-def _ranked(rows: DataFrame, count: int) -> DataFrame:
-    """``rows`` with ``rank`` from 0 within each length, counted in salted groups of about GROUP rows."""
-    salts = max(1, count // GROUP)
+def _ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows`` with ``rank`` from 0 within each length, counted in salted groups of about GROUP rows.
+
+    ``counts`` (pieces of each length) has at most ``capacity`` entries, so the salts of the lengths are broadcast."""
     order = ["id", "piece", "ids_crc32"]
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salts = rows.sparkSession.createDataFrame([(x, 1 + n // GROUP) for x, n in sorted(counts.items())], "length long, salts int")
+    rows = (rows.join(F.broadcast(salts), "length")
+            .withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts")).cast("int")).drop("salts"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("length", "salt").count()
     offsets = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
@@ -274,7 +277,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY, search: dict | None = None)
     """Pieces (any columns, among them id, piece, length, ids_crc32) with ``sequence_id`` and ``offset``."""
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = _slots(complete(counts, capacity, **(search or {})))
-    ranked = _ranked(rows, sum(counts.values()))
+    ranked = _ranked(rows, counts)
 
     def work(batches):
         for b in batches:

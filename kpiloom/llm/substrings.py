@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, ship
+from .common import quoted, save, ship
 
 RUN, MIN_WORDS, MAX_SENTENCE = 3, 15, 24
 
@@ -130,6 +130,7 @@ def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataF
 def later_places(found: DataFrame) -> DataFrame:
     """(id, version, places): of each text, the runs whose first place is in another document or earlier in it."""
     firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = save(firsts, "repeated-runs")  # read back, so that both sides of the join are dealt anew and a hot run can be split
     again = found.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")) | ~F.col("own"))
     return again.groupBy("id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
 

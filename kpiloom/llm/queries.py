@@ -67,7 +67,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier documents (or earlier places) hold."""
-    return substrings.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return substrings.dedup(table(spark, sf_dir, "documents"), passage=substrings.PASSAGE).withColumnRenamed("id", "doc_id")
 
 
 @query

@@ -6,10 +6,17 @@ hold fewer than MIN_WORDS words, as many more sentences as it takes.  Over all d
 once keeps its first place, by document id, then position; sentences covered
 by any later occurrence are removed from their documents.
 
+With ``passage`` set, every window of that many words that has an earlier place goes as
+well, wherever sentences begin or end.  Of each window the least hash of GRAM words marks an
+anchor, the same in all its occurrences; only windows around anchors that occur more than once
+are hashed, which loses none.
+
 Scale: runs are shuffled twice on their 128-bit hash: once to count them and find first
 places (with partial aggregation), once to meet the repeated ones.  The second join has unique
 hashes on one side, so a passage that a third of all documents share is split by adaptive
 skew handling; no list of occurrences is ever gathered.  Texts move once, by document id, to be cut.
+For passages, anchors (about one in sixteen words) go with the runs; windows are shuffled in the same two steps,
+and texts move a second time, to meet their anchors.
 """
 
 from __future__ import annotations
@@ -26,6 +33,9 @@ from pyspark.sql import types as T
 from .common import quoted, save, ship
 
 RUN, MIN_WORDS, MAX_SENTENCE = 3, 15, 24
+PASSAGE = 51  # words; what the registered query finds wherever it starts
+GRAM = 20  # words of an anchor, in passages longer than that
+PART = 200_000  # words hashed at once
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"(?<=[.!?])\s+")
@@ -102,14 +112,100 @@ def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[in
     return out
 
 
+class _WordHashes(dict):
+    """128 bits for each word."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_128_digest(word.encode("utf-8", "replace"))
+        return h
+
+
+def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
+    """``op`` over every ``width`` neighbours, by doubling (the last step overlaps)."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        a = op(a[:-step], a[step:])
+        done += step
+    return a
+
+
+def _blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _parts(texts: list[str | None], passage: int):
+    """(numbers of texts, 128-bit word hashes, text of each word, whether a passage of one text starts at a word) of texts of some PART words."""
+    hashes, numbers, words, sizes = _WordHashes(), [], [], []
+
+    def part():
+        h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype="<u8").reshape(-1, 2)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        return np.array(numbers), h, of, of[:-passage + 1] == of[passage - 1:]
+
+    for k, text in enumerate(texts):
+        own = text.split() if text else []
+        if len(own) >= passage:
+            numbers.append(k)
+            sizes.append(len(own))
+            words += own
+            if len(words) >= PART:
+                yield part()
+                numbers, words, sizes = [], [], []
+    if words:
+        yield part()
+
+
+def _gram(passage: int) -> int:
+    return min(GRAM, passage)
+
+
+def anchors(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, hash) of the anchors: in each window of ``passage`` words, the places of the least hash of GRAM words."""
+    gram = _gram(passage)
+    width, out = passage - gram + 1, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for numbers, h, of, whole in _parts(texts, passage):
+        grams = _slide(h[:, 0], gram, _blend) | np.uint64(1)
+        least = np.where(whole, _slide(grams, width, np.minimum), np.uint64(0))
+        pad = np.zeros(width - 1, np.uint64)
+        at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == grams)
+        start = np.searchsorted(of, of[at])
+        out.append((numbers[of[at]], at - start, grams[at].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def windows(texts: list[str | None], near: list[list[int]], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, 128-bit hash, whether it is, or overlaps, the first such window of the text) of each window
+    of ``passage`` words that holds one of the anchors at the words ``near`` of its text."""
+    gram = _gram(passage)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool))]
+    for numbers, h, of, whole in _parts(texts, passage):
+        starts = np.searchsorted(of, np.arange(len(numbers)))
+        at = np.array([s + w for s, k in zip(starts.tolist(), numbers.tolist()) for w in near[k]], np.int64)
+        open_ = np.zeros(len(whole) + 1, np.int64)
+        np.add.at(open_, np.maximum(at + gram - passage, 0), 1)
+        np.add.at(open_, np.minimum(at + 1, len(whole)), -1)
+        at = np.flatnonzero((np.cumsum(open_)[:-1] > 0) & whole)
+        own = np.stack([_slide(h[:, k], passage, _blend)[at] for k in (0, 1)], axis=1)
+        _, first, same = np.unique(own[:, 0] + of[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        out.append((numbers[of[at]], at - starts[of[at]], own.view(np.int64), at - at[first[same]] < passage))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, version, text): ``version`` tells texts of rows with the same id apart."""
     text = F.col(quoted(text_col))
     return docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
-def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, version, place, own, h1, h2): every run of every text; ``place``: first sentence * 2^32 + (last + 1); ``own``: the first of its kind in the text."""
+def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
+    """(id, version, place, own, h1, h2): every run of every text; ``place``: first sentence * 2^32 + (last + 1); ``own``: the first of its kind in the text.
+
+    With ``passage``, its anchors too; their place is -1 - word."""
     ship(texts.sparkSession)
 
     def work(batches):
@@ -120,51 +216,101 @@ def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(row), b.column(1).take(row), pa.array([(r[0] << 32) + r[1] for x in found for r in x], pa.int64()),
                  pa.array([r[3] for x in found for r in x], pa.bool_()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])],
-                names=["id", "version", "place", "own", "h1", "h2"])
+                names=_SPAN)
+            if passage:
+                text, word, h = anchors(b.column(2).to_pylist(), passage)
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(row), b.column(1).take(row), pa.array(-1 - word), pa.array(np.ones(len(word), bool)),
+                     pa.array(h), pa.array(np.zeros(len(h), np.int64))], names=_SPAN)
 
-    fields = [texts.schema["id"], texts.schema["version"], T.StructField("place", T.LongType()), T.StructField("own", T.BooleanType()),
-              T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
-    return texts.mapInArrow(work, T.StructType(fields))
+    return texts.mapInArrow(work, _span_type(texts))
 
 
-def later_places(found: DataFrame) -> DataFrame:
-    """(id, version, places): of each text, the runs whose first place is in another document or earlier in it."""
+def passage_spans(marked: DataFrame, passage: int) -> DataFrame:
+    """(id, version, place, own, h1, h2) of the windows around the anchors of ``marked`` (id, version, text, places); ``place``: -1 - first word."""
+    ship(marked.sparkSession)
+
+    def work(batches):
+        for b in batches:
+            text, word, h, own = windows(b.column(2).to_pylist(), [[-1 - p for p in x] for x in b.column(3).to_pylist()], passage)
+            row = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(1).take(row), pa.array(-1 - word), pa.array(own),
+                 pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=_SPAN)
+
+    return marked.mapInArrow(work, _span_type(marked))
+
+
+_SPAN = ["id", "version", "place", "own", "h1", "h2"]
+
+
+def _span_type(texts: DataFrame) -> T.StructType:
+    return T.StructType([texts.schema["id"], texts.schema["version"], T.StructField("place", T.LongType()), T.StructField("own", T.BooleanType()),
+                         T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+
+
+def later_places(found: DataFrame, anchored: bool = False) -> DataFrame:
+    """(id, version, places): of each text, the runs or windows whose first place is in another document or earlier in it.
+
+    ``anchored``: places below 0 are anchors, and stay wherever there is more than one."""
     firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = save(firsts, "repeated-runs")  # read back, so that both sides of the join are dealt anew and a hot run can be split
-    again = found.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")) | ~F.col("own"))
+    later = ~F.col("id").eqNullSafe(F.col("first")) | ~F.col("own")
+    again = found.join(firsts, ["h1", "h2"]).where(later | (F.col("place") < 0) if anchored else later)
     return again.groupBy("id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def cut(text: str, places: list[int]) -> tuple[str, int]:
-    """(text without the sentences covered by the runs at ``places`` and the white space between them, number of sentences removed)."""
-    gone = {k for place in places for k in range(place >> 32, place & 0xFFFF_FFFF)}
-    out, end = [], 0
-    for k, (s, e) in enumerate(sentences(text)):
-        if k in gone:
-            if k - 1 not in gone:
-                out.append(text[end:s])
-            end = e
-    return "".join([*out, text[end:]]), len(gone)
+def cut(text: str, places: list[int], passage: int = PASSAGE) -> tuple[str, int]:
+    """(text without the sentences covered by the runs, and the words by the windows (below 0), at ``places`` and the
+    white space between them, number of sentences of which something is removed)."""
+    gone = {k for place in places if place >= 0 for k in range(place >> 32, place & 0xFFFF_FFFF)}
+    words = {k for place in places if place < 0 for k in range(-1 - place, -1 - place + passage)}
+    out, end, n, k, before = [], 0, 0, 0, False
+    for number, (s, e) in enumerate(sentences(text)):
+        some = False
+        for m in _WORD.finditer(text, s, e):
+            cuts = number in gone or k in words
+            if cuts:
+                if not before:
+                    out.append(text[end:m.start()])
+                end = m.end()
+            some, before, k = some or cuts, cuts, k + 1
+        n += some
+    return "".join([*out, text[end:]]), n
+
+
+def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    places = places.select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "places")
+    return texts.join(places, texts["id"].eqNullSafe(places["g_id"]) & (texts["version"] == places["g_version"]), how)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, n_removed, text) for every row of ``docs``: its text without repeated passages.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
+          passage: int | None = None) -> DataFrame:
+    """(id, n_removed, text) for every row of ``docs``: its text without repeated passages; ``n_removed``: the
+    sentences of which something is removed.
 
     First places go by id, so of two copies the one with the smaller id keeps its
     text.  Rows with the same id are one document, as are rows without an id: a passage stays in each of
     their texts if it stays in one (rows with an id come first).  A null text stays null; an
     empty table gives no rows; other columns are not read, whatever their names."""
     texts = _texts(docs, id_col, text_col)
-    gone = later_places(spans(texts, run, min_words)).select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "places")
-    same = texts["id"].eqNullSafe(gone["g_id"]) & (texts["version"] == gone["g_version"])
-    joined = texts.join(gone, same, "left").select("id", "text", "places")
+    gone = later_places(spans(texts, run, min_words, passage), passage is not None)
+    if passage:
+        gone = save(gone, "run-places")  # for the anchors and, with the windows, for the cuts
+        anchored = gone.select("id", "version", F.filter("places", lambda p: p < 0).alias("places")).where("size(places) > 0")
+        marked = _with_places(texts, anchored, "inner").select("id", "version", "text", "places")
+        found = save(passage_spans(marked, passage), "passage-windows")
+        runs_ = gone.select("id", "version", F.filter("places", lambda p: p >= 0).alias("places")).where("size(places) > 0")
+        gone = runs_.unionByName(later_places(found)).groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places"))
+    joined = _with_places(texts, gone, "left").select("id", "text", "places")
 
     def work(batches):
         for b in batches:
             text, places = b.column(1), b.column(2)
             at = [k for k, x in enumerate(places.is_valid().to_pylist()) if x]
             some = pa.array(at, pa.int64())
-            made = [cut(x, p) for x, p in zip(text.take(some).to_pylist(), places.take(some).to_pylist())]
+            made = [cut(x, p, passage or PASSAGE) for x, p in zip(text.take(some).to_pylist(), places.take(some).to_pylist())]
             removed = np.zeros(len(text), dtype=np.int64)
             removed[at] = [n for _, n in made]
             if at:

@@ -93,3 +93,49 @@ def test_sentences_of_one_word(spark):
 
 def test_empty_table(spark):
     assert sub.dedup(cases.documents(spark).limit(0)).collect() == []
+
+
+def test_passages_that_start_inside_a_sentence(spark):
+    rows, want = [], {}
+    for n in range(51, 151, 9):
+        passage = [f"p{n}x{k}" for k in range(n)]
+        for copy in range(3):
+            own = [f"o{n}c{copy}x{k}" for k in range(90)]
+            head = 5 + 11 * copy + n % 7
+            rows.append((10 * n + copy, " ".join(own[:head] + passage + own[head:]), "en", "a"))
+            want[10 * n + copy] = (own[:head] + passage + own[head:]) if copy == 0 else own
+    rows.append((1, "", "en", "a"))
+    want[1] = []
+    rows.append((2, None, "en", "a"))
+    got = {r["id"]: r["text"] for r in sub.dedup(cases.documents(spark, rows), passage=sub.PASSAGE).collect()}
+    assert got.pop(2) is None
+    assert {k: x.split() for k, x in got.items()} == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=80), max_size=6), st.integers(2, 12))
+def test_windows_around_repeated_anchors_are_all_repeated_windows(texts, passage):
+    text, word, h = sub.anchors(texts, passage)
+    counts = {x: h.tolist().count(x) for x in h.tolist()}
+    near = [[] for _ in texts]
+    for t, w, x in zip(text.tolist(), word.tolist(), h.tolist()):
+        if counts[x] > 1:
+            near[t].append(w)
+    words = [x.split() for x in texts]
+    every = [(t, k, tuple(w[k:k + passage])) for t, w in enumerate(words) for k in range(len(w) - passage + 1)]
+    seen = {}
+    for t, k, x in every:
+        seen.setdefault(x, []).append((t, k))
+    at, first, hashes, own = sub.windows(texts, near, passage)
+    made = {(t, k): (bytes(x), o) for t, k, x, o in zip(at.tolist(), first.tolist(), hashes, own.tolist())}
+    by_hash = {}
+    for t, k, x in every:
+        if len(seen[x]) > 1:
+            assert made[t, k][1] == (k - min(b for a, b in seen[x] if a == t) < passage)
+            by_hash.setdefault(made[t, k][0], set()).add(x)
+    assert all(len(x) == 1 for x in by_hash.values()) and len(by_hash) == sum(len(x) > 1 for x in seen.values())
+
+
+def test_a_period_stays_once(spark):
+    rows = [(1, " ".join(f"w{k % 7}" for k in range(300)), "en", "a")]
+    assert sub.dedup(cases.documents(spark, rows), min_words=1000, passage=51).first()["text"].split() == rows[0][1].split()[:56]

@@ -4,7 +4,9 @@ Documents are counted in cells of source, language and topic.  Raking scales the
 cells' token weights to the target of each source, then of each language, then of
 each topic, round after round.  A cell's keeping probability is its raked
 weight for each token, scaled so that the expected tokens meet the budget, and
-never above 1; a document is kept if a number drawn from its id is below that.
+never above 1; a document is kept if a number drawn from its id is below that.  Cells that reach 1
+lose part of their target to the others; with ``repeat``, p is the expected number of copies instead, documents
+come as often as that, and all targets are met.
 
 Scale: one partial aggregation makes the cells; all rounds work on the cells alone, as
 aggregations and joins.  Documents meet their cell's probability in one join, whose cell side is
@@ -94,8 +96,8 @@ def _scale(cells: DataFrame, budget: float) -> float:
 
 
 def probabilities(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
-                  rounds: int = ROUNDS, budget_share: float = BUDGET_SHARE) -> DataFrame:
-    """``cells_of`` rows -> (source, lang, topic, tokens, p).
+                  rounds: int = ROUNDS, budget_share: float = BUDGET_SHARE, repeat: bool = False) -> DataFrame:
+    """``cells_of`` rows -> (source, lang, topic, tokens, p); with ``repeat``, p can be above 1.
 
     ``targets`` gives shares for named values of a dimension (others keep their present share)."""
     cells = save(cells, "mix-cells")
@@ -106,12 +108,20 @@ def probabilities(cells: DataFrame, targets: dict[str, dict[str, float]] | None
     for _ in range(rounds):
         cells = save(_rake(cells), "mix-round")
     cells = save(cells.withColumn("f", F.col("w") / F.col("tokens")).select(*DIMS, "tokens", "f"), "mix-raked")
+    if repeat:
+        weight = cells.agg(F.sum(F.col("f") * F.col("tokens"))).first()[0]
+        return cells.select(*DIMS, "tokens", (F.col("f") * F.lit(budget_share * float(total) / weight)).alias("p"))
     if budget_share >= 1:
         return cells.select(*DIMS, "tokens", F.lit(1.0).alias("p"))
     scale = _scale(cells, budget_share * float(total))
     return cells.select(*DIMS, "tokens", F.least(F.lit(1.0), F.col("f") * F.lit(scale)).alias("p"))
 
 
+def copies(id_: Column, p: Column) -> Column:
+    """How often a document comes: the whole part of p, and once more if its draw is below the rest."""
+    return F.floor(p) + (draw(id_) < p - F.floor(p)).cast("long")
+
+
 def _facts(docs: DataFrame, text_col: str, source_col: str, lang_col: str, names) -> list[Column]:
     text = whole_text(text_col)
     values = {"source": F.col(quoted(source_col)).cast("string"), "lang": F.col(quoted(lang_col)).cast("string"), "topic": topic(text), "tokens": n_tokens(text)}
@@ -120,7 +130,7 @@ def _facts(docs: DataFrame, text_col: str, source_col: str, lang_col: str, names
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
         **options) -> DataFrame:
-    """(id, source, lang, topic, tokens, p, kept) for every row of ``docs``.
+    """(id, source, lang, topic, tokens, p, kept) for every row of ``docs``; with ``repeat``, also copies.
 
     Null sources and languages are values of their own; a null or empty text is
     one token of prose; rows with the same id share one draw; an empty table
@@ -128,13 +138,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = save(docs.select(F.col(quoted(id_col)).alias("id"), *_facts(docs, text_col, source_col, lang_col, (*DIMS, "tokens"))), "mix-rows")
     p = probabilities(cells_of(rows), **options).select(*[F.col(d).alias("c_" + d) for d in DIMS], "p")
     same = [rows[d].eqNullSafe(p["c_" + d]) for d in DIMS]
-    return (rows.join(p, same[0] & same[1] & same[2], "left").select("id", *DIMS, "tokens", "p")
-            .withColumn("kept", draw(F.col("id")) < F.col("p")))
+    out = (rows.join(p, same[0] & same[1] & same[2], "left").select("id", *DIMS, "tokens", "p")
+           .withColumn("kept", draw(F.col("id")) < F.col("p")))
+    return out.withColumn("copies", copies(F.col("id"), F.col("p"))) if options.get("repeat") else out
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
            **options) -> DataFrame:
-    """The documents that ``mix`` keeps, with the columns of ``docs``.
+    """The documents that ``mix`` keeps, with the columns of ``docs``; with ``repeat``, a row for each copy.
 
     Texts are read twice (to count cells, to filter) and never shuffled while the cells can be broadcast."""
     p = save(probabilities(cells_of(docs.select(*_facts(docs, text_col, source_col, lang_col, (*DIMS, "tokens")))), **options), "mix-probabilities")
@@ -146,4 +157,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         equal = rows[c][d].eqNullSafe(cells[c + "_key"][d])
         same = equal if same is None else same & equal
     kept = rows.join(cells, same, "left").where(draw(rows[quoted(id_col)]) < F.col(c + "_p"))
+    if options.get("repeat"):
+        n = copies(rows[quoted(id_col)], F.col(c + "_p")).cast("int")
+        return kept.select(*[rows[quoted(x)] for x in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias(c + "_n")).drop(c + "_n")
     return kept.select(*[rows[quoted(x)] for x in docs.columns])

@@ -113,6 +113,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *mixing.DIMS, "tokens", F.round("p", 6).alias("p"), "kept")
 
 
+@query
+def op8_mixing_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' cells, expected copies and copies; the expected tokens meet the tempered targets."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"), repeat=True)
+    return rows.select(F.col("id").alias("doc_id"), *mixing.DIMS, "tokens", F.round("p", 6).alias("p"), "copies")
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' fingerprints and components (3-word shingles, 2 bits)."""

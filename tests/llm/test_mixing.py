@@ -60,3 +60,35 @@ def test_everything_stays_when_the_budget_allows(spark):
 def test_empty_table(spark):
     docs = cases.documents(spark).limit(0)
     assert mixing.mix(docs).collect() == [] and mixing.sample(docs).collect() == []
+
+
+def test_copies_meet_all_targets_where_cells_are_scarce(spark):
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(1, 1000, (6, 3, 4)).astype(float)
+    tokens[0] *= 50
+    cells = [(f"s{i}", f"l{j}", f"t{k}", int(tokens[i, j, k])) for i in range(6) for j in range(3) for k in range(4)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    rows = mixing.probabilities(df, repeat=True, rounds=20).collect()
+    assert max(r["p"] for r in rows) > 1
+    total = tokens.sum()
+    assert abs(sum(r["p"] * r["tokens"] for r in rows) / total - mixing.BUDGET_SHARE) < 1e-9
+    for axis, dim in enumerate(mixing.DIMS):
+        want = np.power(tokens.sum(axis=tuple(a for a in range(3) if a != axis)) / total, mixing.ALPHA)
+        got = np.zeros(len(want))
+        for r in rows:
+            got[int(r[dim][1])] += r["p"] * r["tokens"]
+        assert np.allclose(got / got.sum(), want / want.sum(), rtol=1e-6), dim
+
+
+def test_copies_and_sample_agree(spark):
+    docs = cases.documents(spark, [(k, cases.PROSE + ("!!" if k % 40 == 0 else ""), "en", "a") for k in range(400)])
+    rows = mixing.mix(docs, repeat=True, targets={"topic": {"promotion": 0.5, "prose": 0.5}}, budget_share=0.5).collect()
+    for r in rows:
+        u = int(hashlib.md5(f"mix-1:{r['id']}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        assert r["copies"] == int(r["p"]) + (u < r["p"] - int(r["p"]))
+    rare = [r for r in rows if r["topic"] == "promotion"]
+    assert len(rare) == 10 and all(r["copies"] >= 9 for r in rare)
+    got = mixing.sample(docs, repeat=True, targets={"topic": {"promotion": 0.5, "prose": 0.5}}, budget_share=0.5)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["id"] for r in rows for _ in range(r["copies"]))
+    assert mixing.sample(docs.limit(0), repeat=True).collect() == []

@@ -183,6 +183,13 @@ def q_region_answers(spark, d):
     return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region"), K.totals(fact, COMPASS), True, KEYS)
 
 
+@query("region_answers_plain", answers_sql(_REGION, _PLAIN, "compass"))
+def q_region_answers_plain(spark, d):
+    """Q4 over the conversations' own, whole texts."""
+    fact = _compass(spark, d)
+    return QN.region_answers(_questions(spark, d), K.segment_performance(fact, COMPASS, "region"), K.totals(fact, COMPASS), True, KEYS)
+
+
 @query("region_answers_by_segment", answers_sql(_REGION, _ASKED_SQL, "compass", by=["segment"]))
 def q_region_answers_by(spark, d):
     """Q4 for questions that are about one segment each."""
@@ -216,6 +223,12 @@ def q_answer_confidence(spark, d):
     return QN.answer_confidence(_asked(spark, d), K.data_confidence(sales_fact(spark, d)), KEYS)
 
 
+@query("answer_confidence_plain", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans"))
+def q_answer_confidence_plain(spark, d):
+    """Q7 over the conversations' own, whole texts."""
+    return QN.answer_confidence(_questions(spark, d), K.data_confidence(sales_fact(spark, d)), KEYS)
+
+
 @query("message_rows", QB.brief_sql(f"""
 SELECT conv_id, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS BIGINT) AS seq, role, text AS content FROM conversations
 UNION ALL SELECT conv_id, CAST(0 AS BIGINT), 'system', system_prompt

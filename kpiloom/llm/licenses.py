@@ -9,6 +9,10 @@ template's size, which prunes templates before any bigram is compared; and it
 needs that share of the template's own bigrams, so a document that holds none of a
 template's anchor words (words whose bigrams leave less than that share) has no match.  Neither bound loses a match.
 
+With ``windows``, runs of words inside a text are units too, so that other words before and after a notice, or line
+feeds in it, don't hide it.  Of all windows within the size bounds the best begins and ends with a bigram of the template,
+so only those are compared.
+
 Scale: everything happens inside the row; nothing is shuffled.
 """
 
@@ -56,6 +60,32 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# More notices, one-line forms and titles of the full texts; for scans inside texts.
+NOTICES = {
+    **TEMPLATES,
+    "agpl-3.0": "GNU Affero General Public License version 3",
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "bsd-notice": "Licensed under the BSD License.",
+    "bsd-2-clause": "BSD 2-Clause License",
+    "bsd-3-clause": "BSD 3-Clause License",
+    "cc-by-4.0-text": "Creative Commons Attribution 4.0 International",
+    "cc-by-nc-4.0-text": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0-text": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "cc0-1.0": "CC0 1.0 Universal",
+    "gpl-2.0-notice": "GNU General Public License version 2",
+    "gpl-3.0-notice": "GNU General Public License version 3",
+    "lgpl-2.1": "GNU Lesser General Public License version 2.1",
+    "lgpl-3.0": "GNU Lesser General Public License version 3",
+    "mit-notice": "Licensed under the MIT License.",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
+    "mpl-2.0": "Mozilla Public License Version 2.0",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+}
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -116,10 +146,40 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
 
 
+def _window_scores(text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """(license, dice) of the templates that a window of ``text`` matches, at its best."""
+    own = {name: bigrams_of(t) for name, t in sorted(templates.items())}
+    all_ = sorted({g for x in own.values() for g in x})
+
+    def best_of(name: str, hits: Column, grams: Column) -> Column:
+        low, high = size_bounds(len(own[name]), threshold)
+
+        def dice(a: Column, b: Column, within: Column) -> Column:
+            size = F.size(F.array_distinct(F.slice(grams, a["i"] + 1, b["i"] - a["i"] + 1)))
+            shared = F.size(F.array_distinct(F.transform(F.filter(within, lambda x: x["i"] <= b["i"]), lambda x: x["g"])))
+            return 2 * shared / (size + len(own[name]))
+
+        def from_(a: Column, k: Column) -> Column:  # fewer than ``low`` hits can't match
+            near = F.filter(F.slice(hits, k + 1, high), lambda x: x["i"] < a["i"] + high)
+            return let(near, lambda w: F.array_max(F.transform(F.slice(w, low, high), lambda b: dice(a, b, w))))
+
+        score = F.when(F.size(hits) >= low, F.array_max(F.transform(hits, from_)))
+        return F.struct(F.lit(name).alias("license"), F.coalesce(score, F.lit(0.0)).alias("dice"))
+
+    def scores(grams: Column) -> Column:
+        hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].isin(all_))
+        of = lambda name, h: let(F.filter(h, lambda x: x["g"].isin(own[name])), lambda y: best_of(name, y, grams))
+        found = lambda h: F.array(*[of(name, h) for name in own])
+        return F.filter(let(hits, found), lambda m: m["dice"] >= threshold)
+
+    pairs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    return let(let(_words(text), pairs), scores)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """(id, matches: array of license, dice) for every row of ``docs``: one entry for each distinct unit and
-    template that match.
+    template that match.  With ``windows``, also one for each template that no unit, but a window of the text matches.
 
     A null or empty text has no matches, nor has a unit of fewer than two words;
     repeated rows and null ids give a row each; an empty table gives no rows;
@@ -129,7 +189,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     anchored = F.arrays_overlap(_words(text), F.array(*map(F.lit, anchors(templates, threshold))).cast("array<string>"))
     none = F.array().cast("array<struct<license:string,dice:double>>")
     each = F.transform(_units(text), lambda u: let(_bigrams(u), lambda g: _scores(g, templates, threshold)))
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.when(anchored, F.flatten(each)).otherwise(none).alias("matches"))
+    matches = F.flatten(each)
+    if windows:
+        inside = lambda m: F.concat(m, F.filter(_window_scores(text, templates, threshold),
+                                                lambda w: ~F.exists(m, lambda x: x["license"] == w["license"])))
+        matches = let(matches, inside)
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.when(anchored, matches).otherwise(none).alias("matches"))
 
 
 def best(matches) -> Column:

@@ -96,16 +96,25 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.char_length(joined("loss")).cast("long").alias("loss_chars"), digest(joined("loss")).alias("loss_sha256"), "formatted_chars")
 
 
-@query
-def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' best license match, and all licenses matched."""
-    rows = licenses.scan(table(spark, sf_dir, "documents"))
+def license_columns(rows: DataFrame) -> DataFrame:
     top = licenses.best(F.col("matches"))
     return rows.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), top["license"].alias("license"),
                        F.round(-top["minus"], 6).alias("dice"),
                        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"))
 
 
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' best license match, and all licenses matched."""
+    return license_columns(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with notices inside lines and over several, and more licenses."""
+    return license_columns(licenses.scan(table(spark, sf_dir, "documents"), templates=licenses.NOTICES, windows=True))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' cells, keeping probabilities and draws for the tempered targets."""

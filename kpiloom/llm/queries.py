@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, mixing, packing, pii, quality, secret_scan, simhash, substrings
+from . import chat, embeddings, licenses, mixing, packing, pii, quality, repair, secret_scan, simhash, substrings
 from .common import hex64, save
 from .sql import ORACLE  # noqa: F401
 
@@ -144,3 +144,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     return rows.select(F.col("id").alias("doc_id"), *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
                        digest(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, robbed of sentence ends, repeated or given to the user, by a checksum of their place."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.encode(F.concat(name("conv_id"), F.lit(":"), name("turn")), "UTF-8")) % 20
+    rows = rows.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), kind.alias("kind")).where("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: their faults, the cheapest repair's cost and audit, and the repaired text's digest."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.reports(damaged(rows)).drop("conv")
+    every = rows.select("conv_id").distinct().withColumn("id_key", repair.key_of(F.col("conv_id")))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return every.join(found, F.col("id_key") == F.col("key"), "left").select(
+        "conv_id", *[number(c) for c in ["gaps", *repair.FAULTS, "illegal", "cost"]], text("audit").alias("audit"),
+        digest(text("repaired")).alias("repaired_sha256"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, mixing, packing, pii, quality, repair, secret_scan, simhash, substrings
+from . import alignment, chat, embeddings, licenses, mixing, packing, pii, quality, repair, secret_scan, simhash, substrings
 from .common import hex64, save
 from .sql import ORACLE  # noqa: F401
 
@@ -146,6 +146,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' tokens in two vocabularies, aligned: groups, links, and how common the links are."""
+    return alignment.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with rows dropped, emptied, robbed of sentence ends, repeated or given to the user, by a checksum of their place."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, embeddings, licenses, mixing, packing, pii, quality, repair, secret_scan, simhash, substrings
+from . import alignment, chat, embeddings, licenses, mixing, neighbours, packing, pii, quality, repair, secret_scan, simhash, substrings
 from .common import hex64, save
 from .sql import ORACLE  # noqa: F401
 
@@ -152,6 +152,13 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector, by inner product."""
+    rows = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with rows dropped, emptied, robbed of sentence ends, repeated or given to the user, by a checksum of their place."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))

@@ -4,9 +4,8 @@ Byte offsets at which a token of A and a token of B both end cut a text into gro
 token of B in it.  Groups come by divide and conquer: of an interval, a common end near the middle is found by bisecting B's ends for A's ends, going
 outwards from the middle, and both halves are searched on; an interval without a common end inside is a group.
 
-Texts are first cut before each single space that a visible character follows: no token of either vocabulary crosses such a
-cut (see ``Pair``), so these are common ends at the top of the recursion, and the groups of the pieces between them are
-kept in a bounded cache.
+Texts are first cut where no token of either vocabulary can lie across (see ``Pair``): these are common ends at the top of the
+recursion, and the groups of the pieces between them are kept in a bounded cache.
 
 Scale: texts are encoded once, in one narrow pass that writes each document's distinct id pairs.  How many documents hold a pair is counted with partial
 sums.  Counts come back in two ways: those of the most frequent pairs (at most HEAD of them, found from a histogram of the
@@ -20,7 +19,8 @@ import math
 import os
 import re
 from bisect import bisect_left
-from itertools import chain
+from collections import ChainMap
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,14 @@ from .common import quoted, save, ship
 from .tokens import vocabulary
 
 HEAD = 100_000  # pairs whose counts are sent to all tasks, at most
-CACHE_PIECES, CACHE_CHARS = 200_000, 48  # pieces kept in a worker's cache, and the longest one kept
+CACHE_PIECES, CACHE_CHARS = 200_000, 48  # pieces in each of a worker's two caches (of late, and before), and the longest one kept
 DOCS = 256  # encoded at once
 SHIFT = 32  # an id pair is one long: A's id, then B's in the lower bits
 
+#: Marks before which a text may be cut after a letter, if no entry of B holds a letter and the mark after it.
+MARKS = ",.;:!?#%&*$"
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
+_SPACES = re.compile(r"\s\s|\s\Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _PAIRS: dict[tuple, "Pair"] = {}
@@ -46,36 +49,39 @@ def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     out, stack = [], [(0, len(a_ends), 0, len(b_ends))] if a_ends else []
     while stack:
         a0, a1, b0, b1 = stack.pop()
-        middle, cut = (a0 + a1 - 1) // 2, None
-        for step in range(a1 - a0):
-            for at in (middle - step, middle + step):
+        cut = None
+        if a1 - a0 > 1 and b1 - b0 > 1:
+            middle = (a0 + a1 - 1) // 2
+            for step in range(a1 - a0 - 1):  # middle, one before it, one behind it, two before it ...
+                at = middle + (step + 1) // 2 * (1 if step % 2 == 0 else -1)
                 if a0 <= at < a1 - 1:
                     j = bisect_left(b_ends, a_ends[at], b0, b1 - 1)
                     if j < b1 - 1 and b_ends[j] == a_ends[at]:
                         cut = at + 1, j + 1
                         break
-            if cut:
-                break
         if cut:
-            stack += [(cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1])]
+            stack.append((cut[0], a1, cut[1], b1))
+            stack.append((a0, cut[0], b0, cut[1]))
         else:
             out.append((a1, b1))
     return out
 
 
-def group_links(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Distinct id pairs of a group, and how many occurrence pairs are of each."""
-    if len(a) == 1 and len(b) == 1:
-        return [a[0] << SHIFT | b[0]], [1]
+def group_links(a: list[int], b: list[int]) -> tuple[list[int], list[int] | None]:
+    """Id pairs of a group: one for each pair of occurrences, or, in large groups, the distinct ones and how many occurrences are of each."""
+    if len(a) * len(b) <= 256:
+        return [x << SHIFT | y for x in a for y in b], None
     (x, n), (y, m) = (np.unique(np.array(v, dtype=np.int64), return_counts=True) for v in (a, b))
     return ((x[:, None] << SHIFT) | y).reshape(-1).tolist(), (n[:, None] * m).reshape(-1).tolist()
 
 
 class Pair:
-    """Two vocabularies: A byte-level with a pre-tokenizer that takes at most one space before a word, B with U+2581 for spaces.
+    """Two vocabularies: A byte-level, whose pre-tokenizer parts letters, digits, other marks and white space, with one space at most before a word; B
+    with U+2581 for spaces, a space put before the text, and bytes for characters that it lacks.
 
-    A starts a token at a space before a visible character.  B's merges never join a mark for a space to
-    something else before it, since no entry of B holds one there (checked on loading; without that nothing is cut)."""
+    ``cut`` parts a text where no token of either can lie across: before a space that a visible character follows and no space precedes, and, where no two
+    white spaces meet, around line feeds and between a letter and MARKS at the end of a word.  Entries of B are checked on loading: none may hold both sides of
+    such a place, else that kind of place is left out.  Pieces without a space before them are encoded behind a line feed, whose ids go again."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,81 +91,129 @@ class Pair:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.merges = self.a.model
         self.b = SentencePieceProcessor(model_file=b_path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         # every byte occurs in the UTF-8 of some character below; its sign in the vocabulary is at the same place
         signs: dict[str, int] = {}
         for char in chain(map(chr, range(0x800)), (chr(k << 12 | 0x800) for k in range(16) if k != 13), (chr(k << 18 | 0x10000) for k in range(4)), "\U00100000"):
             signs.update(zip(level.pre_tokenize_str(char)[0][0], char.encode("utf-8")))
-        self.a_len = np.zeros(self.a.get_vocab_size(), dtype=np.int64)
-        self.a_bytes: list[bytes] = [b""] * len(self.a_len)
+        self.a_bytes: list[bytes] = [b""] * self.a.get_vocab_size()
         for token, k in self.a.get_vocab().items():
             self.a_bytes[k] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode("utf-8")
+        self.latin = {k: level.pre_tokenize_str(chr(k))[0][0] for k in (32, *range(128, 256))}
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes: list[bytes] = []
-        for k in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(k)
+        for k, piece in enumerate(pieces):
             byte = _BYTE.fullmatch(piece) if self.b.is_byte(k) else None
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode("utf-8"))
-        self.cuttable = not any(re.search("[^▁]▁", self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(pieces))))
+        self.by_space = not any(re.search("[^▁]▁", x) for x in pieces)
+        self.by_line = not any("\n" in x for x in pieces)
+        self.marks = "".join(m for m in MARKS if not any(re.search(r"[^\W\d_]" + re.escape(m), x) for x in pieces))
         self.cache: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text that starts with a space."""
+        if not self.by_space or _SPACES.search(text):
+            return _CUT.split(text) if self.by_space else [text]
+        out = []
+        for piece in text[1:].split(" "):
+            piece = " " + piece
+            if not self.by_line:
+                out.append(piece)
+                continue
+            for k, part in enumerate(piece.split("\n")) if "\n" in piece else ((0, piece),):
+                if k:
+                    out.append("\n")
+                word = part.rstrip(self.marks)
+                if word != part and word[-1:].isalpha():  # the marks go apart; what B puts before them goes with the guard
+                    out.append(word)
+                    part = part[len(word):]
+                out.append(part)
+        return out
+
+    def _text(self, a: list[int], b: list[int]) -> str:
+        return f"{','.join([self.a_text[k] for k in a])}|{','.join([self.b_text[k] for k in b])}"
 
     def _align(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(A's tokens, B's tokens, groups, links, the groups as text, pairs, times) of a text that starts with a space; None where bytes differ."""
+        """(A's tokens, B's tokens, groups, links, the groups as text, pairs, times) of a text with its leading space; None where bytes differ."""
         a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
         raw = text.encode("utf-8")
         if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
             return None
-        if len(a) == 1 == len(b):
-            return 1, 1, 1, 1, f"{a[0]}|{b[0]}", [a[0] << SHIFT | b[0]], [1]
-        a_ends, b_ends = (np.cumsum([len(p) for p in parts]).tolist() for parts in (a_parts, b_parts))
+        if len(a) * len(b) <= 256 and (len(a) == 1 or len(b) == 1):  # nothing to divide
+            return len(a), len(b), 1, len(a) * len(b), self._text(a, b), tuple([x << SHIFT | y for x in a for y in b]), None
         a0 = b0 = links = 0
-        texts, pairs, times = [], [], []
-        cuts = groups(a_ends, b_ends)
+        texts, pairs, times = [], [], None
+        cuts = groups(list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts))))
         for a1, b1 in cuts:
             own_a, own_b = a[a0:a1], b[b0:b1]
             links += len(own_a) * len(own_b)
-            texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            found = group_links(own_a, own_b)
-            pairs += found[0]
-            times += found[1]
+            texts.append(self._text(own_a, own_b))
+            found, many = group_links(own_a, own_b)
+            if many and times is None:
+                times = [1] * len(pairs)
+            pairs += found
+            if times is not None:
+                times += many or [1] * len(found)
             a0, b0 = a1, b1
-        return len(a), len(b), len(cuts), links, ";".join(texts), pairs, times
+        return len(a), len(b), len(cuts), links, ";".join(texts), tuple(pairs), times
 
     def whole(self, text: str) -> tuple | None:
         """The alignment of a text (without the space before it), encoded in one piece."""
         return self._align(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
     def _learn(self, pieces: list[str]) -> dict[str, tuple | None]:
-        a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return {p: self._align(p, x.ids, y) for p, x, y in zip(pieces, a, b)}
+        # B puts a space before what it encodes: the piece's own, or one that goes again together with the guard
+        b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
+        b = [y if p[0] == " " else y[2:] for p, y in zip(pieces, b)]
+        merge, latin = self.merges.tokenize, self.latin
+        a = {}
+        for p in pieces:  # single words of Latin letters go straight to the merges
+            word = p[1:] if p[0] == " " else p
+            if word.isalpha():
+                if p.isascii():
+                    a[p] = [t.id for t in merge(latin[32] + word if p[0] == " " else word)]
+                elif max(word) <= "\xff":
+                    a[p] = [t.id for t in merge(p.translate(latin))]
+        rest = [p for p in pieces if p not in a]
+        a.update(zip(rest, (x.ids for x in self.a.encode_batch_fast(rest, add_special_tokens=False))))
+        return {p: self._align(p, a[p], y) for p, y in zip(pieces, b)}
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """The alignments of texts; None for texts without tokens.  The last two values are sorted arrays, each pair once."""
-        cut = [(_CUT.split(" " + t) if self.cuttable else [" " + t]) if t else [] for t in texts]
+        cut = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        known = self.cache
-        new = self._learn(list(set(chain.from_iterable(cut)).difference(known)))
+            self.cache, self.older = {}, self.cache
+        known, older = self.cache, self.older
+        missing = set(chain.from_iterable(cut)).difference(known)
+        known.update((p, older[p]) for p in missing.intersection(older))
+        new = self._learn(list(missing.difference(older)))
+        table = ChainMap(new, known) if any(len(p) > CACHE_CHARS for p in new) else known
+        known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
         out = []
         for text, pieces in zip(texts, cut):
-            found = [known[p] if p in known else new[p] for p in pieces]
+            found = [table[p] for p in pieces]
             if None in found:
                 whole = self.whole(text) if len(found) > 1 else None
                 found = [whole] if whole else []
             out.append(_joined(found) if found else None)
-        known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
         return out
 
 
 def _joined(found: list[tuple]) -> tuple:
     n_a, n_b, n_groups, n_links, texts, pairs, times = zip(*found)
-    pairs = np.fromiter(chain.from_iterable(pairs), dtype=np.int64)
-    times = np.fromiter(chain.from_iterable(times), dtype=np.int64)
-    order = np.argsort(pairs, kind="stable")
-    pairs = pairs[order]
-    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-    return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(texts), pairs[first], np.add.reduceat(times[order], first)
+    counts = sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(texts)
+    flat = np.fromiter(chain.from_iterable(pairs), dtype=np.int64)
+    if not any(times):
+        return *counts, *np.unique(flat, return_counts=True)
+    weights = np.fromiter(chain.from_iterable(t or repeat(1, len(p)) for p, t in zip(pairs, times)), dtype=np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    return *counts, flat[first], np.add.reduceat(weights[order], first)
 
 
 def pair_of(a_path: str, b_path: str) -> Pair:

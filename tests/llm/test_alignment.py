@@ -96,7 +96,7 @@ def test_divide_and_conquer_finds_all_common_ends():
 def test_cut_texts_give_what_whole_texts_give():
     rng = Random(2)
     tool = alignment.Pair(*PATHS)
-    assert tool.cuttable
+    assert tool.by_line and tool.cut(" one two; three\nFour") == [" one", " two", ";", " three", "\n", "Four"]
     parts = [" ", "  ", "\n", "\n\n", "\t", " the", "the", "don't", " 's", "é", "日本語", "　", " ", "​", "😀", "▁", "<s>", "<0x41>", "<|endoftext|>",
              "123", " 4", "...", "\x00", "\x1c", "\x85", "\r\n", "ﬁ", "é", "ünd", "--", "Word"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)] + [None, "", " ", "▁", "a▁b c"]

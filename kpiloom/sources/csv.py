@@ -1,28 +1,37 @@
-"""CSV scan with pandas-like NA tokens and per-column number inference.
+"""CSV scan with pandas-like NA tokens, column types from all values, and a ledger of bad rows.
 
-Everything is read as text first.  NA tokens become NULL; then one
-aggregation decides, per column, whether every non-NULL value is a number
-(→ bigint when all are integers, else double).  Files are split between tasks
-unless ``multi_line`` says that quoted values may hold line feeds.  Repeated header names get
+Records (``records.py``) may hold quoted line feeds and are read by as many tasks as the files have splits.  A record with
+too many values, or with a quote that is never closed, is bad: it goes to the ledger with its reason, and by default the
+load fails with a message, as one bad row makes the file unreadable.  A record with too few values is filled up with NULL and noted too.
+
+NA tokens become NULL; then one aggregation finds each column's type on the lattice null < bool < bigint < decimal(38,0) < double < string:
+counts of the values that each type can hold, and the smallest value that speaks against it as a witness.  Repeated header names get
 pandas-style suffixes (``x, x.1, x.2``).
 """
 
 from __future__ import annotations
 
-import csv as _csv
-import io
-from typing import Iterable
+from typing import Iterable, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import named
+from ..session import write_and_read
+from .records import FIELDS, INNER, ends_inside, records_of
+
 # ---------------------------------------------------------------------------
-# Text read as missing (pandas read_csv defaults).
+# Text read as missing (pandas read_csv defaults), and what the types look like.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+BOOLS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\s*$"
+MAX_DIGITS = 38
 # ---------------------------------------------------------------------------
 
+TOO_MANY, TOO_FEW, UNCLOSED = "too many values", "too few values", "quote not closed"
+
 
 def pandas_style_names(names: Iterable[str]) -> list[str]:
     seen: dict[str, int] = {}
@@ -46,36 +55,110 @@ def pandas_style_names(names: Iterable[str]) -> list[str]:
 DEFAULT_SETTING = "spark.kpiloom.defaultDataset"
 
 
-def load_csv(spark: SparkSession, path: str | None = None, na_values: Iterable[str] = NA_TOKENS,
-             infer_numbers: bool = True, multi_line: bool = False) -> DataFrame:
+class CsvTable(NamedTuple):
+    """Rows with typed columns; the ledger (file, number, reason, n_values, kept, record); a row of type evidence for each column."""
+    rows: DataFrame
+    ledger: DataFrame
+    types: DataFrame
+
+
+def values_of(record: Column) -> Column:
+    """The values of a record as an array, quotes taken off."""
+    def plain(raw):
+        inner = F.replace(F.regexp_extract(raw, rf'\A"({INNER})', 1), F.lit('""'), F.lit('"'))
+        tail = F.regexp_extract(raw, rf'(?s)\A"{INNER}"(.*)\z', 1)
+        return F.when(F.startswith(raw, F.lit('"')), F.concat(inner, tail)).otherwise(raw)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELDS), 1), plain)
+
+
+def _header(records: DataFrame) -> list[str] | None:
+    """The header, which must be the same in all files."""
+    found = records.where("number = 1").select(values_of(F.col("record")).alias("h")).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"the files have different headers: {found[0][0]} and {found[1][0]}")
+    return list(found[0][0]) if found else None
+
+
+def read_csv(spark: SparkSession, path: str | None = None, na_values: Iterable[str] = NA_TOKENS, infer_types: bool = True) -> CsvTable:
+    """The good rows of CSV files, the ledger of the others, and why each column has its type."""
     path = path or spark.conf.get(DEFAULT_SETTING, None)
     if not path:
         raise ValueError(f"give a path, or name a default dataset in {DEFAULT_SETTING}")
-    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
-              .option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE"))
-    raw = reader.csv(path)
-    header_line = spark.read.text(path).first()
-    if header_line is not None:
-        header = next(_csv.reader(io.StringIO(header_line[0])), None)
-        if header and len(header) == len(raw.columns) and len(set(header)) != len(header):
-            raw = raw.toDF(*pandas_style_names(header))
-    na = [v for v in na_values if v != ""]
-    cleaned = raw.select(*[F.when(F.col(f"`{c}`").isin(na), None).otherwise(F.col(f"`{c}`")).alias(c)
-                           for c in raw.columns])
-    if not infer_numbers or not cleaned.columns:
-        return cleaned
-    aggs = []
-    for i, c in enumerate(cleaned.columns):
-        v = F.col(f"`{c}`")
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.count(F.when(v.try_cast("double").isNull() & v.isNotNull(), 1)).alias(f"bad{i}"),
-                 F.count(F.when(~v.rlike(INT_PATTERN) & v.isNotNull(), 1)).alias(f"frac{i}")]
-    stats = cleaned.agg(*aggs).first()
-    cols = []
-    for i, c in enumerate(cleaned.columns):
-        v = F.col(f"`{c}`")
-        if stats[f"n{i}"] > 0 and stats[f"bad{i}"] == 0:
-            cols.append((v.try_cast("bigint") if stats[f"frac{i}"] == 0 else v.try_cast("double")).alias(c))
-        else:
-            cols.append(v.alias(c))
-    return cleaned.select(*cols)
+    records = records_of(spark, path)
+    header = _header(records)
+    if header is None:
+        raise ValueError(f"no columns to parse in {path}")
+    names, n = pandas_style_names(header), len(header)
+    parsed = records.where("number > 1").withColumn("v", values_of(F.col("record")))
+    reason = (F.when(F.contains("record", F.lit('"')) & ends_inside(F.col("record")), UNCLOSED).when(F.size("v") > n, TOO_MANY)
+              .when(F.size("v") < n, TOO_FEW))
+    parsed = write_and_read(parsed.withColumn("reason", reason).withColumn("kept", reason.isNull() | (reason == TOO_FEW))
+                            .select("file", "number", "record", "v", "reason", "kept"), "csv-parsed")
+    ledger = parsed.where("reason IS NOT NULL").select("file", "number", "reason", F.size("v").alias("n_values"), "kept", "record")
+    na = [v for v in na_values]
+    value = lambda i: F.get(F.col("v"), F.lit(i))
+    rows = parsed.where("kept").select(*[F.when(~value(i).isin(na), value(i)).alias(c) for i, c in enumerate(names)])
+    types = column_types(rows)
+    if infer_types:
+        found = {r["column"]: r["type"] for r in types.collect()}
+        rows = rows.select(*[cast_text(named(c), found[c]).alias(c) for c in names])
+    return CsvTable(rows, ledger, types)
+
+
+def cast_text(v: Column, kind: str) -> Column:
+    if kind == "string":
+        return v
+    if kind == "boolean":
+        return F.lower(F.trim(v)).cast("boolean")
+    # Java's own suffixes and other spellings never get here: the type was found by patterns
+    return F.when(F.lower(F.trim(v)).rlike("inf"), F.when(F.startswith(F.trim(v), F.lit("-")), float("-inf")).otherwise(float("inf"))) \
+        .otherwise(F.when(~F.lower(v).rlike("inf"), v).try_cast("double")) if kind == "double" else F.trim(v).try_cast(kind)
+
+
+def column_types(rows: DataFrame) -> DataFrame:
+    """(column, type, n_values, n_bool, n_long, n_integer, n_number, not_long, not_integer, not_number): one row for each text column.
+
+    Counts of the values that fit each type, and the smallest value that does not as a witness.  They add up over parts of a table, so types of a
+    growing dataset follow from the types of its parts (``lattice_type``)."""
+    stats = []
+    for i, c in enumerate(rows.columns):
+        v = named(c)
+        integer = v.rlike(INT_PATTERN) & (F.length(F.regexp_replace(v, r"[^0-9]|^\s*[+-]?0+(?=[0-9])", "")) <= MAX_DIGITS)
+        long = v.rlike(INT_PATTERN) & F.trim(v).try_cast("bigint").isNotNull()
+        number = v.rlike(NUMBER_PATTERN)
+        stats.append(F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("n_values"), F.count(F.when(v.isin(BOOLS), 1)).alias("n_bool"), F.count(F.when(long, 1)).alias("n_long"),
+            F.count(F.when(integer, 1)).alias("n_integer"), F.count(F.when(number, 1)).alias("n_number"), F.min(F.when(~long, v)).alias("not_long"),
+            F.min(F.when(~integer, v)).alias("not_integer"), F.min(F.when(~number, v)).alias("not_number")).alias(f"c{i}"))
+    one = rows.agg(*stats)
+    out = one.select(F.explode(F.array(*[f"c{i}" for i in range(len(rows.columns))])).alias("c")).select("c.*")
+    return out.select("column", lattice_type().alias("type"), *[c for c in out.columns if c != "column"])
+
+
+def merged_types(parts: DataFrame) -> DataFrame:
+    """Rows of ``column_types`` of several parts of a table as one row for each column."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("n_values", "n_bool", "n_long", "n_integer", "n_number")]
+    both = parts.groupBy("column").agg(*sums, *[F.min(c).alias(c) for c in ("not_long", "not_integer", "not_number")])
+    return both.select("column", lattice_type().alias("type"), *[c for c in both.columns if c != "column"])
+
+
+def lattice_type() -> Column:
+    """The least type that holds all values; a column without values is double, as in pandas."""
+    n = F.col("n_values")
+    return (F.when(n == 0, "double").when(F.col("n_bool") == n, "boolean").when(F.col("n_long") == n, "bigint")
+            .when(F.col("n_integer") == n, f"decimal({MAX_DIGITS},0)").when(F.col("n_number") == n, "double").otherwise("string"))
+
+
+def load_csv(spark: SparkSession, path: str | None = None, na_values: Iterable[str] = NA_TOKENS,
+             infer_numbers: bool = True, on_bad: str = "fail") -> DataFrame:
+    """The rows of CSV files.  ``on_bad``: 'fail' raises on bad rows, with the first of them; 'skip' leaves them out (``read_csv`` has the ledger)."""
+    table = read_csv(spark, path, na_values, infer_numbers)
+    if on_bad == "fail":
+        bad = table.ledger.where("NOT kept")
+        first = bad.orderBy("file", "number").limit(1).collect()
+        if first:
+            r = first[0]
+            raise ValueError(f"{bad.count()} bad rows; the first, a record of {r['file']}: {r['reason']} "
+                             f"({r['n_values']}, expected {len(table.rows.columns)}): {r['record'][:200]}")
+    return table.rows

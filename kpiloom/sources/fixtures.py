@@ -69,3 +69,33 @@ SELECT o_orderkey AS row_id,
   CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'O' THEN strftime(o_orderdate, '%m/%d/%Y')
        ELSE strftime(o_orderdate, '%d/%m/%Y') END AS d
 FROM orders"""
+
+
+#: Column and value of a messy CSV record over ``lineitem``, as SQL of either engine; n is the line number.
+MESSY = {
+    "id": "CAST(l_orderkey * 8 + l_linenumber AS {text})", "code": "CAST(l_linenumber AS {text}) || substr('dfDFL', CAST(1 + l_orderkey % 5 AS INT), 1)",
+    "hex": "'0x' || CAST(l_linenumber AS {text})", "flag": "CASE l_linestatus WHEN 'O' THEN 'True' ELSE 'FALSE' END",
+    "big": "CASE WHEN l_linenumber = 2 THEN 'N/A' ELSE '1000000000000' || CAST(100000000 + l_orderkey AS {text}) END",
+    "whole": "CASE WHEN l_linenumber = 3 THEN 'null' ELSE '-' || CAST(l_partkey AS {text}) END",
+    "amount": "CASE l_linenumber WHEN 1 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS {text}) WHEN 2 THEN ' 12 ' WHEN 3 THEN '1e3' WHEN 4 THEN '.5' "
+              "WHEN 5 THEN '<NA>' ELSE CAST(l_suppkey AS {text}) END",
+    "none": "CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '#N/A' END",
+    "note": "CASE l_linenumber WHEN 1 THEN 'say \"' || l_returnflag || '\", then' || chr(10) || 'stop' WHEN 2 THEN chr(10) || '\"' WHEN 3 THEN 'a' || chr(13) || chr(10) || ',b' "
+            "WHEN 4 THEN 'None' ELSE ' plain ' || l_returnflag END",
+    "id.1": "l_returnflag",
+}
+
+
+def messy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of CSV files over ``lineitem``: quoted line feeds, NA tokens, a repeated header; records of line 6 lack the last two values, those of line 7 have one too many."""
+    names = list(MESSY)
+    cells = load_table(spark, sf_dir, "lineitem").select("l_linenumber", *[F.expr(v.format(text="string")).alias(f"c{i}") for i, v in enumerate(MESSY.values())])
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = names.index("note")
+    head = [F.col(f"c{i}") for i in range(note)]
+    tail = [quoted(F.col(f"c{note}")), F.col(f"c{note + 1}")]
+    n = F.col("l_linenumber")
+    record = F.when(n == 6, F.concat_ws(",", *head)).when(n == 7, F.concat_ws(",", *head, *tail, F.lit("extra"))).otherwise(F.concat_ws(",", *head, *tail))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = ",".join("id" if c == "id.1" else c for c in names)
+    return cells.select(F.when(first, F.concat(F.lit(header + "\n"), record)).otherwise(record).alias("value"))

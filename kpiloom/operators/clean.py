@@ -4,7 +4,7 @@
   are dropped; profit is not core.  No core column at all → empty result.
 * C3 dates are parsed with one format, a list of formats (first hit wins) or, by
   default, ``'auto'``: the candidate with the most parses over the whole column,
-  ties by list order.  Values that don't parse drop their row.  Integer date
+  ties by list order; ``'shapes'`` reads each value by its shape (``dates.py``).  Values that don't parse drop their row.  Integer date
   columns: 4 digits are a year, 8 digits ``yyyyMMdd``; any other integer doesn't parse.
 * C4/C5 text money keeps only digits, '.' and '-', then ``try_cast`` to
   double; numeric columns are kept (NaN counts as missing).  A NULL after
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import named
 from ..mapping import Mapping
+from .dates import induce, parse_column
 
 # ---------------------------------------------------------------------------
 # Candidate date formats for 'auto', in preference order.
@@ -68,6 +69,8 @@ def to_timestamp_col(df: DataFrame, column: str, date_format="auto") -> Column:
         return c.cast("timestamp_ntz")
     if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType)):
         return integer_dates(c)
+    if date_format == "shapes":
+        return parse_column(c, induce(df, column))
     if date_format in (None, "auto"):
         date_format = choose_date_format(df, column)
     return parse_dates(c.cast("string"), [date_format] if isinstance(date_format, str) else list(date_format))

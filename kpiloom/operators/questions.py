@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import write_and_read
 from .brief import question_prompts, render
 from .ranks import running_before
 
@@ -247,6 +248,7 @@ def _with_regions(rows: DataFrame, region_facts: DataFrame, has_profit: bool, by
         F.col("revenue").alias("reg_rev"), margin.alias("reg_margin"))
     if not by:
         return rows.join(F.broadcast(rf), rows["ref_region"] == rf["_reg"], "left").drop("_reg")
+    rf = write_and_read(rf, "region-facts")  # read back, so that both sides are dealt anew and a hot (entity, region) can be split
     # questions without a region meet nothing; their key is spread so that they don't pile up in one task
     spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("question"), F.lit(997)).cast("string"))
     rows = rows.withColumn("_key", F.coalesce("ref_region", spread))

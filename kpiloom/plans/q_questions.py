@@ -1,7 +1,7 @@
 """Registered queries: question gate, intent, answers, prompts (Q1-Q8).
 
-The questions are the user turns of ``conversations``.  Their own texts name no region and hardly any topic, so the
-``asked_`` forms put a business question in front of them, chosen by conversation and turn, and the
+The questions are the user turns of ``conversations``, whole texts.  They name no region and hardly any topic, so where a query is not a
+``_plain`` one, a planted business question, chosen by conversation and turn, stands as a row of its own beside each of them, and the
 sales fact's regions get names that questions can hit."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..operators import questions as QN
 from ..operators.brief import brief_facts
 from ..operators.cube import fact_cube
 from ..operators.kpis import confidence_from_cube, region_facts_from_cube
-from ..session import materialize
+from ..session import write_and_read
 from ..sources.tables import FACT_MAPPING, load_table, sales_fact
 from . import expected as TT
 from . import q_brief as QB
@@ -23,15 +23,14 @@ from .registry import query
 
 INDUSTRY = "SaaS"
 KEYS = ["conv_id", "turn"]
+ASKED_KEYS = [*KEYS, "planted"]
 
-# One question for every intent, regions that exist and one that doesn't, questions off the subject, and the plain text.
+# One question for every intent, regions that exist and one that doesn't, and questions off the subject.
 ASKED = ["Why did sales drop in March? ", "Which product performs the worst? ", "What are the major business risks? ",
          "Where should we invest next? ", "Suggest three strategic sales initiatives. ", "Is business health good? ", "Build a SWOT for us. ",
          "Summarize this dataset for the CEO. ", "How is the southeast market doing? ", "Show the north market please. ",
-         "Revenue of RJ please. ", "Tell me a joke. ", "List all figures about quality. ", ""]
-_ASKED = "CASE (conv_id * 3 + turn) % 14 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END"
-# Half of the questions lose their own text, whose letters would hit keywords by chance.
-_QUESTION = f"{_ASKED} || CASE WHEN (conv_id + turn) % 2 = 0 THEN '' ELSE substr(text, 1, 40) END"
+         "Revenue of RJ please. ", "Tell me a joke. ", "List all figures about quality. "]
+_ASKED = f"CASE (conv_id * 3 + turn) % {len(ASKED)} " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END"
 _COMPASS = ("CASE CAST(substr(nation, 8) AS INT) % 6 WHEN 0 THEN 'North' WHEN 1 THEN 'South' WHEN 2 THEN 'East' WHEN 3 THEN 'West' "
             "WHEN 4 THEN 'SP' ELSE nation END")
 COMPASS = FACT_MAPPING.with_overrides({"region": "compass"})
@@ -43,10 +42,11 @@ def _questions(spark, d):
 
 
 def _asked(spark, d):
-    """The derived questions; each is also about one of the five segments."""
+    """The conversations' own questions and the planted ones; each is also about one of the five segments."""
     c = load_table(spark, d, "conversations").where("role = 'user'")
+    both = F.explode(F.array(F.struct(F.lit(False).alias("planted"), F.col("text").alias("question")), F.struct(F.lit(True).alias("planted"), F.expr(_ASKED).alias("question"))))
     segment = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("conv_id") % 5 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.expr(_QUESTION).alias("question"), segment.alias("segment"))
+    return c.select("conv_id", "turn", segment.alias("segment"), both.alias("q")).select("conv_id", "turn", "q.planted", "q.question", "segment")
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -56,14 +56,14 @@ def _compass(spark, d, profit=True):
     return sales_fact(spark, d, with_profit=profit).withColumn("compass", F.expr(_COMPASS))
 
 
-def _answers(questions, fact, mapping, by=()):
+def _answers(questions, fact, mapping, by=(), keys=ASKED_KEYS):
     """One scan of the fact: brief facts, region facts and K2 all come from
-    the same cube, checkpointed once (one row per region, product and month)
+    the same cube, written once (one row per region, product and month)
     because all three are used."""
-    cube = materialize(fact_cube(fact, mapping, by, count_missing=True))
+    cube = write_and_read(fact_cube(fact, mapping, by, count_missing=True), "question-cube")
     facts = brief_facts(fact, mapping, by, industry=INDUSTRY, cube=cube)
     conf = confidence_from_cube(cube, len([c for c in fact.columns if c not in by]), by)
-    return QN.answer_questions(questions, facts, region_facts_from_cube(cube, by), mapping.has_profit(fact), conf, KEYS, by=by)
+    return QN.answer_questions(questions, facts, region_facts_from_cube(cube, by), mapping.has_profit(fact), conf, keys, by=by)
 
 
 # --- SQL twin --------------------------------------------------------------------
@@ -103,9 +103,10 @@ def _fields_sql(hp=True):
     return outs
 
 
-_PLAIN = "SELECT conv_id, turn, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user'"
-_ASKED_SQL = (f"SELECT *, lower(question) AS ql FROM (SELECT conv_id, turn, {_QUESTION} AS question, "
-              f"[{', '.join(Q.lit(x) for x in SEGMENTS)}][conv_id % 5 + 1] AS segment FROM conversations WHERE role = 'user')")
+_PLAIN = "SELECT conv_id, turn, false AS planted, text AS question, lower(text) AS ql FROM conversations WHERE role = 'user'"
+_SEGMENT_SQL = f"[{', '.join(Q.lit(x) for x in SEGMENTS)}][conv_id % 5 + 1] AS segment"
+_ASKED_SQL = (f"SELECT *, lower(question) AS ql FROM (SELECT conv_id, turn, false AS planted, text AS question, {_SEGMENT_SQL} FROM conversations WHERE role = 'user' "
+              f"UNION ALL SELECT conv_id, turn, true, {_ASKED}, {_SEGMENT_SQL} FROM conversations WHERE role = 'user')")
 
 
 def answers_sql(select: str, questions: str = _PLAIN, region: str = "nation", profit: bool = True, by=(), columns=_COLUMNS) -> str:
@@ -123,10 +124,10 @@ rf AS (SELECT {keys}{region} AS _reg, CAST(SUM(revenue) AS DOUBLE) AS reg_rev, {
 qq AS ({questions}),
 qc AS (SELECT *, {_GATE} AS accepted, {_INTENT} AS intent FROM qq),
 qr AS (SELECT *, CASE WHEN intent = 'region' THEN {_REF} END AS ref_region FROM qc),
-qj AS (SELECT qr.conv_id, qr.turn, qr.question, qr.accepted, qr.intent, qr.ref_region, bf.*, conf.data_confidence, rf._reg, rf.reg_rev, rf.reg_margin
+qj AS (SELECT qr.conv_id, qr.turn, qr.planted, qr.question, qr.accepted, qr.intent, qr.ref_region, bf.*, conf.data_confidence, rf._reg, rf.reg_rev, rf.reg_margin
        FROM qr JOIN bf ON TRUE{on('qr', 'bf')} JOIN conf ON TRUE{on('qr', 'conf')} LEFT JOIN rf ON qr.ref_region = rf._reg{on('qr', 'rf')}),
 qk AS (SELECT *, reg_rev / total_revenue * 100.0 AS reg_share FROM qj),
-ans AS (SELECT conv_id, turn, accepted, intent, ref_region, reg_rev IS NOT NULL AS region_found,
+ans AS (SELECT conv_id, turn, planted, accepted, intent, ref_region, reg_rev IS NOT NULL AS region_found,
    {', '.join(f'CASE WHEN accepted THEN {f} END AS {n}' for f, n in zip(fields, names))},
    CASE WHEN accepted THEN {md} ELSE {Q.lit(TT.REFUSAL)} END AS reply,
    CAST(CASE WHEN accepted THEN data_confidence ELSE {TT.REFUSAL_CONFIDENCE} END AS INTEGER) AS confidence,
@@ -136,6 +137,7 @@ ans AS (SELECT conv_id, turn, accepted, intent, ref_region, reg_rev IS NOT NULL
 
 
 _ALL = "SELECT * EXCLUDE (revenue, margin, share) FROM ans"
+_ALL_PLAIN = "SELECT * EXCLUDE (planted, revenue, margin, share) FROM ans"
 
 
 # --- queries ---------------------------------------------------------------------
@@ -166,24 +168,25 @@ def q_question_region(spark, d):
 
 
 @query("asked_gate_intent", f"""
-SELECT conv_id, turn, {_GATE} AS accepted, {_INTENT} AS intent, CASE WHEN {_INTENT} = 'region' THEN {_REF} END AS ref_region
+SELECT conv_id, turn, planted, {_GATE} AS accepted, {_INTENT} AS intent, CASE WHEN {_INTENT} = 'region' THEN {_REF} END AS ref_region
 FROM ({_ASKED_SQL})""")
 def q_asked_gate_intent(spark, d):
     """Q1-Q3 over questions of every intent."""
-    return QN.classify(_asked(spark, d)).select(*KEYS, "accepted", "intent", "ref_region")
+    return QN.classify(_asked(spark, d)).select(*ASKED_KEYS, "accepted", "intent", "ref_region")
 
 
-_REGION = "SELECT conv_id, turn, ref_region, region_found, revenue, margin, share FROM ans WHERE intent = 'region'"
+_REGION_PLAIN = "SELECT conv_id, turn, ref_region, region_found, revenue, margin, share FROM ans WHERE intent = 'region'"
+_REGION = _REGION_PLAIN.replace("turn,", "turn, planted,")
 
 
 @query("region_answers", answers_sql(_REGION, _ASKED_SQL, "compass"))
 def q_region_answers(spark, d):
     """Q4: regions found and not found."""
     fact = _compass(spark, d)
-    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region"), K.totals(fact, COMPASS), True, KEYS)
+    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region"), K.totals(fact, COMPASS), True, ASKED_KEYS)
 
 
-@query("region_answers_plain", answers_sql(_REGION, _PLAIN, "compass"))
+@query("region_answers_plain", answers_sql(_REGION_PLAIN, _PLAIN, "compass"))
 def q_region_answers_plain(spark, d):
     """Q4 over the conversations' own, whole texts."""
     fact = _compass(spark, d)
@@ -194,7 +197,7 @@ def q_region_answers_plain(spark, d):
 def q_region_answers_by(spark, d):
     """Q4 for questions that are about one segment each."""
     fact, by = _compass(spark, d), ["segment"]
-    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region", by), K.totals(fact, COMPASS, by), True, KEYS, by)
+    return QN.region_answers(_asked(spark, d), K.segment_performance(fact, COMPASS, "region", by), K.totals(fact, COMPASS, by), True, ASKED_KEYS, by)
 
 
 @query("question_answers", answers_sql(_ALL, _ASKED_SQL, "compass", columns=[*_COLUMNS, "compass"]))
@@ -212,15 +215,15 @@ def q_question_answers_by(spark, d):
     return _answers(_asked(spark, d), _compass(spark, d), COMPASS, ["segment"])
 
 
-@query("question_answers_plain", answers_sql(_ALL))
+@query("question_answers_plain", answers_sql(_ALL_PLAIN))
 def q_question_answers_plain(spark, d):
     """The conversations' own texts."""
-    return _answers(_questions(spark, d), sales_fact(spark, d), FACT_MAPPING)
+    return _answers(_questions(spark, d), sales_fact(spark, d), FACT_MAPPING, keys=KEYS)
 
 
-@query("answer_confidence", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans", _ASKED_SQL))
+@query("answer_confidence", answers_sql("SELECT conv_id, turn, planted, accepted, confidence FROM ans", _ASKED_SQL))
 def q_answer_confidence(spark, d):
-    return QN.answer_confidence(_asked(spark, d), K.data_confidence(sales_fact(spark, d)), KEYS)
+    return QN.answer_confidence(_asked(spark, d), K.data_confidence(sales_fact(spark, d)), ASKED_KEYS)
 
 
 @query("answer_confidence_plain", answers_sql("SELECT conv_id, turn, accepted, confidence FROM ans"))

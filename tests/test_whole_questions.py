@@ -36,7 +36,18 @@ def test_late_keywords_are_accepted(spark, late):
     assert got == {(k, turn): x for k, x in enumerate((True, False, True, True)) for turn in (0, 1)}
 
 
-@pytest.mark.parametrize("name", ["region_answers_plain", "answer_confidence_plain"])
+def test_late_keywords_beside_the_planted_questions(spark, late):
+    """Own texts are read whole in the derived forms too."""
+    regions = {(r["conv_id"], r["turn"]): r["region_found"] for r in QUERIES["region_answers"](spark, late).where("NOT planted").collect()}
+    assert regions[0, 0] and regions[0, 1]
+    asked = QUERIES["asked_gate_intent"](spark, late)
+    assert asked.where("planted").count() == asked.where("NOT planted").count() == 8
+    got = {(r["conv_id"], r["turn"]): r["accepted"] for r in asked.where("NOT planted").collect()}
+    assert got == {(k, turn): x for k, x in enumerate((True, False, True, True)) for turn in (0, 1)}
+
+
+@pytest.mark.parametrize("name", ["region_answers_plain", "answer_confidence_plain", "region_answers", "region_answers_by_segment", "question_answers",
+                                  "question_answers_noprofit", "question_answers_by_entity", "answer_confidence", "asked_gate_intent"])
 def test_late_texts_match_the_sql(spark, late, name):
     con = duck_of(late)
     r = compare(spark, con, name, QUERIES[name], ORACLE[name], late)

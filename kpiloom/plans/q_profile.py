@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
-from ..sources.tables import sales_fact
+from ..operators.heavy import profile_texts
+from ..sources.tables import load_table, sales_fact
 from . import sql as Q
 from .registry import query
 
@@ -89,3 +90,14 @@ _LONG = " UNION ALL ".join([
 @query("profile_long", Q.with_fact(_LONG))
 def q_profile_long(spark, d):
     return P.profile_long(sales_fact(spark, d), NUMERIC, CATEGORICAL, DATES)
+
+
+TEXTS = ["text", "lang", "source"]
+
+
+@query("profile_texts", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", CAST(SUM(cnt) AS BIGINT) AS count, COUNT(*) AS "unique", arg_min(value, (-cnt, value)) AS top, MAX(cnt) AS freq
+FROM (SELECT {c} AS value, COUNT(*) AS cnt FROM documents WHERE {c} IS NOT NULL GROUP BY 1)""" for c in TEXTS))
+def q_profile_texts(spark, d):
+    """D3 over whole texts, which don't move: summaries, candidates, and hashes."""
+    return profile_texts(load_table(spark, d, "documents"), TEXTS)

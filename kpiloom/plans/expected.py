@@ -303,3 +303,19 @@ HEADING_DECORATION = {
     "## Strategic Recommendations": "### ● Strategic Recommendations",
     "## Expected Business Impact": "### ■ Expected Business Impact",
 }
+
+# ---------------------------------------------------------------------------
+# Words that give columns their roles, and the places that stand in for them.
+ROLE_KEYWORDS = {
+    "revenue": ["revenue", "sales", "grand total", "turnover", "payment_value", "price", "amount", "total"],
+    "profit": ["profit", "margin", "net income", "earnings", "gain", "net"],
+    "date": ["purchase_timestamp", "order_date", "date", "month", "year", "timestamp", "time", "period"],
+    "region": ["customer_state", "region", "country", "state", "city", "territory", "location", "zone"],
+    "product": ["product_category_name", "product", "category", "item", "sku", "segment", "type"],
+}
+REVENUE_EXCLUDE = ["id", "date", "year", "code"]
+DATE_HINTS = ["date", "time", "timestamp", "day", "year"]
+REGION_HINTS = ["state", "country", "city", "region", "location"]
+PRODUCT_HINTS = ["cat", "prod", "name", "item", "sku"]
+POSITION_FALLBACK = {"revenue": 4, "region": 2, "product": 3, "date": 1}
+# ---------------------------------------------------------------------------

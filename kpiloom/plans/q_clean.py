@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..mapping import DATE_HINTS, POSITION_FALLBACK, PRODUCT_HINTS, REGION_HINTS, REVENUE_EXCLUDE, ROLE_KEYWORDS, Mapping
-from ..mapping import catalog_of, detect_columns, detect_columns_catalog
+from ..mapping import Mapping, catalog_of, detect_columns, detect_columns_catalog
 from ..operators import brief as B
 from ..operators import clean as C
 from ..operators import views as V
@@ -17,6 +16,7 @@ from ..sources.sinks import read_briefs, read_table, write_briefs, write_table
 from ..sources.tables import FACT_MAPPING, TABLES, load_table, sales_fact, tables
 from . import q_brief as QB
 from . import sql as Q
+from .expected import DATE_HINTS, POSITION_FALLBACK, PRODUCT_HINTS, REGION_HINTS, REVENUE_EXCLUDE, ROLE_KEYWORDS
 from .registry import query
 
 MONEY = r"TRY_CAST(regexp_replace({c}, '[^0-9.\-]', '', 'g') AS DOUBLE)"
@@ -99,6 +99,26 @@ for _kind, (_spark, _, _date) in _KINDS.items():
     _register_kind(_kind, _spark, _date)
 
 
+# Which core columns a mapping names: none of them in the table, one, all.
+_CORES = {"none": Mapping(date="when", region="where", product="what", revenue="how_much"), "region": Mapping(date="when", region="region", product="what", revenue="how_much"), "all": DIRTY_MAPPING}
+
+
+@query("clean_without_core", f"""
+SELECT 'none' AS core, 'complete' AS step, CAST(0 AS BIGINT) AS n_rows UNION ALL SELECT 'none', 'cleaned', CAST(0 AS BIGINT)
+UNION ALL SELECT 'region', 'complete', COUNT(*) FROM ({DIRTY_SQL}) WHERE region IS NOT NULL
+UNION ALL SELECT 'region', 'cleaned', COUNT(*) FROM ({DIRTY_SQL}) WHERE region IS NOT NULL
+UNION ALL SELECT 'all', 'cleaned', COUNT(*) FROM ({CLEAN_SQL})
+UNION ALL SELECT 'all', 'complete', COUNT(*) FROM ({DIRTY_SQL}) WHERE sold_on IS NOT NULL AND region IS NOT NULL AND product IS NOT NULL AND revenue IS NOT NULL""")
+def q_clean_without_core(spark, d):
+    """Without any core column nothing is left; with some of them only those count."""
+    df, out = dirty_sales(spark, d), None
+    for name, m in _CORES.items():
+        for step, kept in (("complete", C.drop_null_core(df, m)), ("cleaned", C.clean_dataset(df, m, "yyyy-MM-dd"))):
+            row = kept.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("core"), F.lit(step).alias("step"), "n_rows")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("cleaning_report", _dirty(f"""
 SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (why = 1) AS null_core, COUNT(*) FILTER (why = 2) AS bad_date,
        COUNT(*) FILTER (why = 3) AS bad_revenue, COUNT(*) FILTER (why = 4) AS bad_profit, COUNT(*) FILTER (why = 0) AS n_kept

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import exact as E
 from ..functions import scalars as S
 from ..operators import views as V
 from ..operators.kpis import kpi_facts
@@ -248,3 +249,20 @@ def q_kpi_cards(spark, d):
 def q_kpi_cards_np(spark, d):
     facts = kpi_facts(fact_cube(_fact(spark, d, False), FACT_MAPPING_NO_PROFIT, BY), BY, False)
     return V.kpi_cards(facts, BY)
+
+
+# --- P6, P7 on the binary value ---------------------------------------------------
+_SHORT = """CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs({x}) >= 1000000 THEN format('{{:.2f}}', abs({x}) / 1000000.0::DOUBLE) || 'M'
+ WHEN abs({x}) >= 1000 THEN format('{{:.1f}}', abs({x}) / 1000.0::DOUBLE) || 'K' ELSE format('{{:,.0f}}', abs({x})) END"""
+_EXACT = {"price": "o_totalprice", "loss": "-o_totalprice * 37.5", "eighth": "CAST(o_orderkey AS DOUBLE) / 8.0", "cents": "o_totalprice / 1000.0"}
+
+
+@query("format_metric_exact", "SELECT o_orderkey, " + ", ".join(
+    f"""{_SHORT.format(x=c)} AS {c}_short, '$' || format('{{:,.2f}}', {c}) AS {c}_money, format('{{:+.1f}}', {c}) || '%' AS {c}_percent, format('{{:.1f}}', {c}) AS {c}_text"""
+    for c in _EXACT) + " FROM (SELECT o_orderkey, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _EXACT.items()) + " FROM orders)")
+def q_format_metric_exact(spark, d):
+    """Numbers as text from their binary value, ties to even: eighths end in a tie at every second place."""
+    o = load_table(spark, d, "orders").select("o_orderkey", *[F.expr(x).cast("double").alias(c) for c, x in _EXACT.items()])
+    return o.select("o_orderkey", *[e for c in _EXACT for e in (
+        E.format_metric_exact(c).alias(f"{c}_short"), E.money_exact(c).alias(f"{c}_money"), E.percent_exact(c, True).alias(f"{c}_percent"),
+        E.fixed_exact(c, 1).alias(f"{c}_text"))])

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_kpis, q_views, q_clean, q_csv, q_dates, q_profile, q_brief, q_questions, q_text  # noqa: F401
+    from . import q_kpis, q_views, q_clean, q_csv, q_dates, q_refresh, q_profile, q_brief, q_questions, q_text  # noqa: F401

@@ -12,6 +12,7 @@ from ..operators import views as V
 from ..session import scratch_path
 from ..sources.csv import load_csv
 from ..sources.fixtures import DIRTY_MAPPING, DIRTY_SQL, MIXED_SQL, dirty_sales, mixed_dates
+from ..sources.manifest import read_whole, write_whole
 from ..sources.sinks import read_briefs, read_table, write_briefs, write_table
 from ..sources.tables import FACT_MAPPING, TABLES, load_table, sales_fact, tables
 from . import q_brief as QB
@@ -167,13 +168,16 @@ def q_load_csv(spark, d):
     return load_csv(spark, path)
 
 
-@query("sink_roundtrip", Q.with_fact(f"""
+_REPORT_SQL = Q.with_fact(f"""
 SELECT segment, CAST(rn AS INTEGER) AS rank, k AS region, {Q.truncate_label('k', 20)} AS label,
        CAST(rev AS DOUBLE) AS revenue, share, CAST(prof AS DOUBLE) AS profit, {Q.group_margin('prof', 'rev')} AS margin
 FROM (SELECT *, CAST(rev AS DOUBLE) / CAST(SUM(rev) OVER (PARTITION BY segment) AS DOUBLE) * 100.0 AS share,
              ROW_NUMBER() OVER (PARTITION BY segment ORDER BY rev DESC, k) AS rn
       FROM (SELECT segment, nation AS k, SUM(revenue) AS rev, SUM(profit) AS prof FROM f GROUP BY 1, 2))
-WHERE rn <= 15"""))
+WHERE rn <= 15""")
+
+
+@query("sink_roundtrip", _REPORT_SQL)
 def q_sink_roundtrip(spark, d):
     """Report table written partitioned by entity to the shared folder and read back."""
     table = V.region_report_table(sales_fact(spark, d), FACT_MAPPING, ["segment"])
@@ -182,6 +186,15 @@ def q_sink_roundtrip(spark, d):
                                           "profit", "margin")
 
 
+@query("sink_manifest", _REPORT_SQL)
+def q_sink_manifest(spark, d):
+    """The same table through a manifest, which the reader holds the files against."""
+    table = V.region_report_table(sales_fact(spark, d), FACT_MAPPING, ["segment"])
+    path = scratch_path(spark, "region-report")
+    write_whole(table, path, ["segment", "rank"])
+    return read_whole(spark, path).select("segment", "rank", "region", "label", "revenue", "share", "profit", "margin")
+
+
 @query("preview", f"SELECT * FROM ({CLEAN_SQL}) ORDER BY row_id LIMIT 20")
 def q_preview(spark, d):
     """First rows of the cleaned table in an explicit order (a top-k by key)."""

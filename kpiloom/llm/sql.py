@@ -127,3 +127,56 @@ SELECT doc_id, coalesce(n, 0) AS n_matches, license, round(dice, 6) AS dice, coa
 
 
 ORACLE["op7_license_scans"] = _licenses()
+
+
+def _repair() -> str:
+    """The damage by a CRC of its own, a cost DP backwards over the rows that carries the least audit of each state, then the audit's letters one by one."""
+    add = lambda c, letter, v: f"lpad(CAST(CAST(substr({v}, 1, 6) AS INTEGER) + {c} AS VARCHAR), 6, '0') || '{letter}' || substr({v}, 7)"
+    keep = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def consumed(s):
+        kept = " ".join(f"WHEN lower(code) = '{i}' THEN {add('more', 'K', f'v{to}')}" for i, to in keep[s])
+        return f"least({add(3, 'D', f'v{s}')}, CASE WHEN code <> 'x' THEN {add('2 + more', 'R', f'v{after[s]}')} END, CASE {kept} END) AS b{s}"
+
+    def inserted(s):
+        one = after[s]
+        return f"least(b{s}, {add(2, 'I', f'b{one}')}, {add(4, 'II', f'b{after[one]}')}) AS v{s}"
+
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             UNNEST(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM d),
+q AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+             substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before_ FROM p),
+f AS (SELECT *, CASE WHEN last_ = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last_ NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM q),
+r AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS code, (fault = 'truncated')::INTEGER AS more FROM f),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (before_ || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+dp AS (SELECT conv_id, n + 1 AS pos, '000000' AS v0, '000004II' AS v1, '000002I' AS v2, '000000' AS v3 FROM c
+       UNION ALL SELECT conv_id, pos, {', '.join(inserted(s) for s in range(4))} FROM (
+         SELECT r.conv_id, r.pos, {', '.join(consumed(s) for s in range(4))} FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos - 1)),
+best AS (SELECT conv_id, CAST(substr(v0, 1, 6) AS BIGINT) AS cost, substr(v0, 7) AS audit FROM dp WHERE pos = 1),
+l AS (SELECT conv_id, UNNEST(range(1, length(audit) + 1)) AS i, audit FROM best),
+e AS (SELECT conv_id, i, substr(audit, i, 1) AS edit, length(regexp_replace(substr(audit, 1, i), 'I', '', 'g')) AS pos,
+             length(regexp_replace(substr(audit, 1, i - 1), 'D', '', 'g')) AS made FROM l),
+g AS (SELECT e.*, r.role, r.text, r.initial FROM e LEFT JOIN r ON e.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos WHERE edit <> 'D'),
+t AS (SELECT *, bool_or(made = 0 AND edit = 'K' AND initial = 's') OVER (PARTITION BY conv_id) AS led FROM g),
+w AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (made - led::INTEGER) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS repaired
+      FROM t GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN w ON o.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators.heavy import profile_texts
+from ..operators.sketches import profile_sketched, ranks_of, sketch_parts
+from ..session import write_and_read
 from ..sources.tables import load_table, sales_fact
 from . import sql as Q
 from .registry import query
@@ -101,3 +103,16 @@ FROM (SELECT {c} AS value, COUNT(*) AS cnt FROM documents WHERE {c} IS NOT NULL
 def q_profile_texts(spark, d):
     """D3 over whole texts, which don't move: summaries, candidates, and hashes."""
     return profile_texts(load_table(spark, d, "documents"), TEXTS)
+
+
+@query("profile_sketched", Q.with_fact(" UNION ALL ".join(f"""
+SELECT '{c}' AS "column", UNNEST(['p25', 'p50', 'p75']) AS stat, n AS count, true AS within, lo AS min, hi AS max, mean FROM (
+  SELECT COUNT({c}) AS n, CAST(MIN({c}) AS DOUBLE) AS lo, CAST(MAX({c}) AS DOUBLE) AS hi, ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean FROM f)""" for c in NUMERIC)))
+def q_profile_sketched(spark, d):
+    """D2 from sketches of each month, merged: whether the exact ranks of the quartiles are within the stated error."""
+    fact = sales_fact(spark, d)
+    parts = write_and_read(sketch_parts(fact, NUMERIC, [F.date_format("order_date", "yyyy-MM").alias("month")]), "sketches")
+    profile = write_and_read(profile_sketched(parts), "sketched-profile")
+    ranks = ranks_of(fact, profile, NUMERIC)
+    exact = profile.select(F.col("column").alias("_c"), "min", "max", F.round("mean", 4).alias("mean"))
+    return ranks.join(exact, F.col("column") == F.col("_c")).select("column", "stat", "count", "within", "min", "max", "mean")

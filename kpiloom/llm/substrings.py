@@ -9,7 +9,8 @@ by any later occurrence are removed from their documents.
 With ``passage`` set, every window of that many words that has an earlier place goes as
 well, wherever sentences begin or end.  Of each window the least hash of GRAM words marks an
 anchor, the same in all its occurrences; only windows around anchors that occur more than once
-are hashed, which loses none.
+are hashed, which loses none.  Left out are the windows inside stretches of runs that stand side by side in one
+document with a smaller id too: the runs remove their words, and the other document holds the windows.
 
 Scale: runs are shuffled twice on their 128-bit hash: once to count them and find first
 places (with partial aggregation), once to meet the repeated ones.  The second join has unique
@@ -22,6 +23,7 @@ and texts move a second time, to meet their anchors.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,14 +102,15 @@ def run_places(sizes: list[int], run: int = RUN, min_words: int = MIN_WORDS) ->
 
 
 def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes, bool]]:
-    """(first sentence, last + 1, 128-bit hash, whether it is the first such run of the text) of each run."""
+    """(first word, last + 1, 128-bit hash, whether it is the first such run of the text) of each run."""
     words = sentence_words(text)
     joined = [" ".join(x) for x in words]
+    at = [0, *accumulate(len(x) for x in words)]
     seen: set[bytes] = set()
     out = []
     for k, end in run_places([len(x) for x in words], run, min_words):
         h = xxhash.xxh3_128_digest(" ".join(joined[k:end]).encode("utf-8", "replace"))
-        out.append((k, end, h, h not in seen))
+        out.append((at[k], at[end], h, h not in seen))
         seen.add(h)
     return out
 
@@ -178,9 +181,25 @@ def anchors(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def windows(texts: list[str | None], near: list[list[int]], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(found: list[tuple[int, int | None]], passage: int = PASSAGE) -> list[tuple[int, int]]:
+    """(first word, last + 1) of each stretch of ``passage`` words or more that runs with the same key cover without a gap; ``found``: (place, key)."""
+    out, last = [], {}
+    for place, key in sorted(x for x in found if x[0] >= 0 and x[1] is not None):
+        start, end = place >> 32, place & 0xFFFF_FFFF
+        span = last.get(key)
+        if span and start <= span[1]:
+            span[1] = max(span[1], end)
+        else:
+            last[key] = span = [start, end]
+            out.append(span)
+    return [(s, e) for s, e in out if e - s >= passage]
+
+
+def windows(texts: list[str | None], near: list[list[int]], passage: int = PASSAGE,
+            known: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, 128-bit hash, whether it is, or overlaps, the first such window of the text) of each window
-    of ``passage`` words that holds one of the anchors at the words ``near`` of its text."""
+    of ``passage`` words that holds one of the anchors at the words ``near`` of its text and does not lie within
+    one of the stretches ``known`` (first word, last + 1)."""
     gram = _gram(passage)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool))]
     for numbers, h, of, whole in _parts(texts, passage):
@@ -189,7 +208,11 @@ def windows(texts: list[str | None], near: list[list[int]], passage: int = PASSA
         open_ = np.zeros(len(whole) + 1, np.int64)
         np.add.at(open_, np.maximum(at + gram - passage, 0), 1)
         np.add.at(open_, np.minimum(at + 1, len(whole)), -1)
-        at = np.flatnonzero((np.cumsum(open_)[:-1] > 0) & whole)
+        wanted = (np.cumsum(open_)[:-1] > 0) & whole
+        for s, k in zip(starts.tolist(), numbers.tolist()):
+            for first, end in known[k] if known else ():
+                wanted[s + first:s + end - passage + 1] = False
+        at = np.flatnonzero(wanted)
         own = np.stack([_slide(h[:, k], passage, _blend)[at] for k in (0, 1)], axis=1)
         _, first, same = np.unique(own[:, 0] + of[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         out.append((numbers[of[at]], at - starts[of[at]], own.view(np.int64), at - at[first[same]] < passage))
@@ -203,7 +226,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
-    """(id, version, place, own, h1, h2): every run of every text; ``place``: first sentence * 2^32 + (last + 1); ``own``: the first of its kind in the text.
+    """(id, version, place, own, h1, h2): every run of every text; ``place``: first word * 2^32 + (last + 1); ``own``: the first of its kind in the text.
 
     With ``passage``, its anchors too; their place is -1 - word."""
     ship(texts.sparkSession)
@@ -228,12 +251,15 @@ def spans(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, passage:
 
 
 def passage_spans(marked: DataFrame, passage: int) -> DataFrame:
-    """(id, version, place, own, h1, h2) of the windows around the anchors of ``marked`` (id, version, text, places); ``place``: -1 - first word."""
+    """(id, version, place, own, h1, h2) of the windows around the anchors of ``marked`` (id, version, text, found), but
+    for those within known stretches; ``found``: places and keys of ``later_places``; ``place``: -1 - first word."""
     ship(marked.sparkSession)
 
     def work(batches):
         for b in batches:
-            text, word, h, own = windows(b.column(2).to_pylist(), [[-1 - p for p in x] for x in b.column(3).to_pylist()], passage)
+            found = [[(x["place"], x["key"]) for x in row] for row in b.column(3).to_pylist()]
+            near = [[-1 - p for p, _ in x if p < 0] for x in found]
+            text, word, h, own = windows(b.column(2).to_pylist(), near, passage, [stretches(x, passage) for x in found])
             row = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(row), b.column(1).take(row), pa.array(-1 - word), pa.array(own),
@@ -251,26 +277,37 @@ def _span_type(texts: DataFrame) -> T.StructType:
 
 
 def later_places(found: DataFrame, anchored: bool = False) -> DataFrame:
-    """(id, version, places): of each text, the runs or windows whose first place is in another document or earlier in it.
-
-    ``anchored``: places below 0 are anchors, and stay wherever there is more than one."""
-    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """(id, version, found): of each text, the runs or windows whose first place is in another document or earlier in it.
+
+    ``found``: (place, key), sorted.  With ``anchored``, places below 0 are anchors, and stay wherever there is more than one;
+    a run that a document with a smaller id holds too has a key, the same for all runs that stand there at the same distance
+    (in words) from here.  Which of several texts or places with that id is taken doesn't matter: each holds the run."""
+    where = F.shiftleft(F.col("version"), 32).bitwiseOR(F.shiftright("place", 32))
+    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"),
+                                           *([F.min_by(where, "id").alias("at")] if anchored else []))
+    firsts = firsts.where("n > 1").drop("n")
     firsts = save(firsts, "repeated-runs")  # read back, so that both sides of the join are dealt anew and a hot run can be split
-    later = ~F.col("id").eqNullSafe(F.col("first")) | ~F.col("own")
-    again = found.join(firsts, ["h1", "h2"]).where(later | (F.col("place") < 0) if anchored else later)
-    return again.groupBy("id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    other = ~F.col("id").eqNullSafe(F.col("first"))
+    later = other | ~F.col("own")
+    key = F.lit(None).cast("long")
+    if anchored:
+        shift = F.col("at").bitwiseAND(0xFFFF_FFFF) - F.shiftright("place", 32)
+        key = F.when((F.col("place") >= 0) & F.col("id").isNotNull() & other, F.xxhash64("first", F.shiftright("at", 32), shift))
+        later = later | (F.col("place") < 0)
+    again = found.join(firsts, ["h1", "h2"]).where(later)
+    return again.groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("place", key.alias("key")))).alias("found"))
 
 
 def cut(text: str, places: list[int], passage: int = PASSAGE) -> tuple[str, int]:
     """(text without the sentences covered by the runs, and the words by the windows (below 0), at ``places`` and the
     white space between them, number of sentences of which something is removed)."""
-    gone = {k for place in places if place >= 0 for k in range(place >> 32, place & 0xFFFF_FFFF)}
-    words = {k for place in places if place < 0 for k in range(-1 - place, -1 - place + passage)}
+    words = {k for place in places if place >= 0 for k in range(place >> 32, place & 0xFFFF_FFFF)}
+    words |= {k for place in places if place < 0 for k in range(-1 - place, -1 - place + passage)}
     out, end, n, k, before = [], 0, 0, 0, False
-    for number, (s, e) in enumerate(sentences(text)):
+    for s, e in sentences(text):
         some = False
         for m in _WORD.finditer(text, s, e):
-            cuts = number in gone or k in words
+            cuts = k in words
             if cuts:
                 if not before:
                     out.append(text[end:m.start()])
@@ -281,7 +318,7 @@ def cut(text: str, places: list[int], passage: int = PASSAGE) -> tuple[str, int]
 
 
 def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    places = places.select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "places")
+    places = places.withColumnsRenamed({"id": "g_id", "version": "g_version"})
     return texts.join(places, texts["id"].eqNullSafe(places["g_id"]) & (texts["version"] == places["g_version"]), how)
 
 
@@ -298,11 +335,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     gone = later_places(spans(texts, run, min_words, passage), passage is not None)
     if passage:
         gone = save(gone, "run-places")  # for the anchors and, with the windows, for the cuts
-        anchored = gone.select("id", "version", F.filter("places", lambda p: p < 0).alias("places")).where("size(places) > 0")
-        marked = _with_places(texts, anchored, "inner").select("id", "version", "text", "places")
-        found = save(passage_spans(marked, passage), "passage-windows")
-        runs_ = gone.select("id", "version", F.filter("places", lambda p: p >= 0).alias("places")).where("size(places) > 0")
-        gone = runs_.unionByName(later_places(found)).groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places"))
+        anchored = gone.where(F.exists("found", lambda x: x["place"] < 0))
+        marked = _with_places(texts, anchored, "inner").select("id", "version", "text", "found")
+        windows_ = later_places(save(passage_spans(marked, passage), "passage-windows"))
+        runs_ = gone.select("id", "version", F.filter("found", lambda x: x["place"] >= 0).alias("found")).where("size(found) > 0")
+        gone = runs_.unionByName(windows_).groupBy("id", "version").agg(F.flatten(F.collect_list("found")).alias("found"))
+    gone = gone.select("id", "version", F.col("found.place").alias("places"))
     joined = _with_places(texts, gone, "left").select("id", "text", "places")
 
     def work(batches):

@@ -1,5 +1,7 @@
 """Sliding spans against one pass over all documents."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +141,54 @@ def test_windows_around_repeated_anchors_are_all_repeated_windows(texts, passage
 def test_a_period_stays_once(spark):
     rows = [(1, " ".join(f"w{k % 7}" for k in range(300)), "en", "a")]
     assert sub.dedup(cases.documents(spark, rows), min_words=1000, passage=51).first()["text"].split() == rows[0][1].split()[:56]
+
+
+def plain_words(docs, passage):
+    """(id, words left) of each document: runs and windows go by first places, a window with what overlaps its first place in a text."""
+    rank = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    order, first, rows = sorted({rank(r) for r in docs}), {}, []
+    for r in docs:
+        sizes = sub.sentence_words(r["text"] or "")
+        words = [w for x in sizes for w in x]
+        ends = [0]
+        for x in sizes:
+            ends.append(ends[-1] + len(x))
+        spans = [(ends[k], ends[e], "run") for k, e in plain_places(sizes)] + [(k, k + passage, "window") for k in range(len(words) - passage + 1)]
+        found = [(s, e, kind, (kind, *words[s:e])) for s, e, kind in spans]
+        at = order.index(rank(r))
+        for *_, x in found:
+            first[x] = min(first.get(x, at), at)
+        rows.append((r["doc_id"], at, words, found))
+    out = []
+    for key, at, words, found in rows:
+        own, gone = {}, set()
+        for s, e, kind, x in found:
+            near = s - own.setdefault(x, s) < (passage if kind == "window" else 1)
+            if first[x] != at or not near:
+                gone |= set(range(s, e))
+        out.append((key, [w for k, w in enumerate(words) if k not in gone]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("of", ["awkward", "shuffled", "table"])
+def test_runs_and_passages_against_brute_force(spark, of):
+    if of == "table":
+        docs = cases.table(spark, "documents")
+    else:
+        rows = [r for r in cases.AWKWARD if len(r[1] or "") < 10_000]
+        if of == "shuffled":  # passages of other sentences, in orders of their own, with ids that repeat or are null
+            dice = random.Random(7)
+            parts = [" ".join(f"s{k}w{j}" for j in range(9 + k % 8)) + "." for k in range(40)]
+            for n in range(60):
+                start, size = dice.randrange(30), dice.randrange(3, 11)
+                text = [*parts[start:start + size], *(dice.choice(parts) for _ in range(3)), *parts[start:start + size - 1]]
+                rows.append((dice.choice([None, n, n // 2]), " ".join(text)[dice.randrange(40):], "en", "a"))
+        docs = cases.documents(spark, rows)
+    got = [(r["id"], (r["text"] or "").split()) for r in sub.dedup(docs, passage=sub.PASSAGE).collect()]
+    assert sorted(got, key=repr) == plain_words(docs.collect(), sub.PASSAGE)
+
+
+def test_stretches():
+    at = lambda s, e: (s << 32) + e
+    found = [(at(0, 30), 5), (at(10, 40), 5), (at(40, 60), 5), (at(10, 45), None), (at(61, 130), 5), (at(40, 80), 6), (-9, None)]
+    assert sub.stretches(found, 51) == [(0, 60), (61, 130)]

@@ -23,6 +23,7 @@ and texts move a second time, to meet their anchors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from itertools import accumulate
 
 import numpy as np
@@ -40,7 +41,6 @@ GRAM = 20  # words of an anchor, in passages longer than that
 PART = 200_000  # words hashed at once
 
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def sentences(text: str, most: int = MAX_SENTENCE) -> list[tuple[int, int]]:
@@ -69,18 +69,23 @@ def sentence_words(text: str, most: int = MAX_SENTENCE) -> list[list[str]]:
     """The words of each of ``sentences(text)``."""
     out = []
     for line in text.split("\n"):
-        for sentence in _END.split(line):
-            words = sentence.split()
-            out += [words[k:k + most] for k in range(0, len(words), most)]
+        words = line.split()
+        start = 0
+        for end in [k for k, w in enumerate(words, 1) if w[-1] in ".!?" or k == len(words)]:
+            if end - start <= most:
+                out.append(words[start:end])
+            else:
+                out += [words[k:min(k + most, end)] for k in range(start, end, most)]
+            start = end
     return out
 
 
 def run_places(sizes: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """(first, last + 1) of the runs of at least ``run`` sentences and ``min_words`` words: for each sentence the
     shortest that starts with it and the shortest that ends with it, so that any longer passage is covered to both its ends."""
-    total = [0]
-    for n in sizes:
-        total.append(total[-1] + n)
+    total = [0, *accumulate(sizes)]
+    if all(b - a >= min_words for a, b in zip(total, total[run:])):
+        return [(k, k + run) for k in range(len(sizes) - run + 1)]
     found: set[tuple[int, int]] = set()
     end = 0
     for k in range(len(sizes)):
@@ -109,22 +114,12 @@ def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[in
     seen: set[bytes] = set()
     out = []
     for k, end in run_places([len(x) for x in words], run, min_words):
-        h = xxhash.xxh3_128_digest(" ".join(joined[k:end]).encode("utf-8", "replace"))
+        h = xxhash.xxh3_128_digest(" ".join(joined[k:end]))
         out.append((at[k], at[end], h, h not in seen))
         seen.add(h)
     return out
 
 
-class _WordHashes(dict):
-    """128 bits for each word."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_128_digest(word.encode("utf-8", "replace"))
-        return h
-
-
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     """``op`` over every ``width`` neighbours, by doubling (the last step overlaps)."""
     done = 1
@@ -143,10 +138,10 @@ def _blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _parts(texts: list[str | None], passage: int):
     """(numbers of texts, 128-bit word hashes, text of each word, whether a passage of one text starts at a word) of texts of some PART words."""
-    hashes, numbers, words, sizes = _WordHashes(), [], [], []
+    numbers, words, sizes = [], [], []
 
     def part():
-        h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype="<u8").reshape(-1, 2)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
         of = np.repeat(np.arange(len(sizes)), sizes)
         return np.array(numbers), h, of, of[:-passage + 1] == of[passage - 1:]
 
@@ -257,9 +252,15 @@ def passage_spans(marked: DataFrame, passage: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            found = [[(x["place"], x["key"]) for x in row] for row in b.column(3).to_pylist()]
-            near = [[-1 - p for p, _ in x if p < 0] for x in found]
-            text, word, h, own = windows(b.column(2).to_pylist(), near, passage, [stretches(x, passage) for x in found])
+            place, key = b.column(3).flatten().flatten()
+            keys, ends = key.to_pylist(), b.column(3).value_lengths().to_numpy().cumsum().tolist()
+            places = place.to_pylist()
+            near, known = [], []
+            for start, end in zip([0, *ends], ends):
+                runs_from = bisect_left(places, 0, start, end)  # sorted: anchors, then runs
+                near.append([-1 - p for p in places[start:runs_from]])
+                known.append(stretches(list(zip(places[runs_from:end], keys[runs_from:end])), passage))
+            text, word, h, own = windows(b.column(2).to_pylist(), near, passage, known)
             row = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(row), b.column(1).take(row), pa.array(-1 - word), pa.array(own),
@@ -301,20 +302,25 @@ def later_places(found: DataFrame, anchored: bool = False) -> DataFrame:
 def cut(text: str, places: list[int], passage: int = PASSAGE) -> tuple[str, int]:
     """(text without the sentences covered by the runs, and the words by the windows (below 0), at ``places`` and the
     white space between them, number of sentences of which something is removed)."""
-    words = {k for place in places if place >= 0 for k in range(place >> 32, place & 0xFFFF_FFFF)}
-    words |= {k for place in places if place < 0 for k in range(-1 - place, -1 - place + passage)}
-    out, end, n, k, before = [], 0, 0, 0, False
-    for s, e in sentences(text):
-        some = False
-        for m in _WORD.finditer(text, s, e):
-            cuts = k in words
-            if cuts:
-                if not before:
-                    out.append(text[end:m.start()])
-                end = m.end()
-            some, before, k = some or cuts, cuts, k + 1
-        n += some
-    return "".join([*out, text[end:]]), n
+    if not places:
+        return text, 0
+    at = np.array(places, np.int64)
+    first = np.where(at < 0, -1 - at, at >> 32)
+    end = np.where(at < 0, passage - 1 - at, at & 0xFFFF_FFFF)
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))  # what overlaps or abuts goes as one
+    first, end = first[new], end[np.append(new[1:], len(end)) - 1]
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, kept = [], 0
+    for a, b in zip(first.tolist(), end.tolist()):
+        out.append(text[kept:words[a][0]])
+        kept = words[b - 1][1]
+    starts = np.cumsum([0] + [len(x) for x in sentence_words(text)])
+    touched = np.zeros(len(starts), np.int64)
+    np.add.at(touched, np.searchsorted(starts, first, side="right") - 1, 1)
+    np.add.at(touched, np.searchsorted(starts, end), -1)
+    return "".join([*out, text[kept:]]), int((np.cumsum(touched) > 0).sum())
 
 
 def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:

@@ -16,7 +16,7 @@ of all pieces share is spread over many tasks.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from itertools import combinations
 
 import numpy as np
@@ -83,56 +83,81 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Best-fit decreasing, sequence by sequence, equal sequences at once."""
-    stock, out = _Stock(counts), []
-    while stock.lengths:
-        filling, gap, used = [], capacity, {}
-        while (at := bisect_right(stock.lengths, gap)) > 0:
-            while at and used.get(stock.lengths[at - 1], 0) >= stock.counts[stock.lengths[at - 1]]:
-                at -= 1
-            if not at:
-                break
-            x = stock.lengths[at - 1]
-            n = min(stock.counts[x] - used.get(x, 0), gap // x)
-            filling += [x] * n
-            used[x] = used.get(x, 0) + n
-            gap -= n * x
-        times = stock.times(tuple(filling))
-        stock.take(tuple(filling), times)
-        out.append((tuple(filling), times))
-    return out
+    """Best-fit decreasing: each piece, largest first, goes into the fullest open sequence that it fits.
+
+    Open sequences are kept by gap; equal ones take equal pieces at once."""
+    gaps: list[int] = []  # sorted, each once
+    classes: dict[int, list[tuple[Filling, int]]] = {}
+
+    def put(gap: int, filling: Filling, times: int) -> None:
+        if times:
+            if gap not in classes:
+                classes[gap] = []
+                insort(gaps, gap)
+            classes[gap].append((filling, times))
+
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            at = bisect_left(gaps, x)
+            if at < len(gaps):
+                gap = gaps[at]
+                filling, times = classes[gap].pop()
+                if not classes[gap]:
+                    del classes[gap], gaps[at]
+            else:
+                gap, filling, times = capacity, (), n
+            most = gap // x  # with one piece more, a sequence is the fullest still, as long as it fits another
+            full = min(times, n // most)
+            put(gap - most * x, filling + (x,) * most, full)
+            n -= full * most
+            some = n if full < times else 0
+            if some:
+                put(gap - some * x, filling + (x,) * some, 1)
+                n = 0
+            if filling:
+                put(gap, filling, times - full - (some > 0))
+    return [c for gap in gaps for c in classes[gap]]
 
 
 def _fillings(stock: _Stock, capacity: int, waste: int, width: int, steps: int) -> list[Filling]:
     """Undominated fillings around the largest piece that waste at most ``waste``, least waste first."""
-    largest = stock.lengths[-1]
+    lengths = stock.lengths
     found: list[Filling] = []
-    left = [steps]
-
-    def add(chosen: list[int], gap: int, top: int) -> bool:
-        """Choose on below index ``top``; True ends the search."""
-        left[0] -= 1
-        if left[0] < 0 or (gap == 0 and _keep(chosen)):
-            return left[0] < 0 or len(found) >= width
-        at = min(top, bisect_right(stock.lengths, gap))
-        fits = False
-        for k in range(at - 1, -1, -1):
-            x = stock.lengths[k]
-            if chosen.count(x) >= stock.counts[x]:
-                continue
-            fits = True
-            if add([*chosen, x], gap - x, k + 1):
-                return True
-        if not fits and 0 < gap <= waste:
-            _keep(chosen)
-        return False
+    chosen = [lengths[-1]]
+    levels: list[list] = []  # for each chosen piece: index of the length tried last, gap, whether any length did fit
+    gap, top = capacity - chosen[0], len(lengths)
 
-    def _keep(chosen: list[int]) -> bool:
+    def keep() -> None:
         if not _dominated(chosen, capacity - sum(chosen), stock):
             found.append(tuple(chosen))
-        return True
 
-    add([largest], capacity - largest, len(stock.lengths))
+    while steps > 0:
+        steps -= 1
+        if gap:
+            levels.append([min(top, bisect_right(lengths, gap)), gap, False])
+        else:
+            keep()
+            if len(found) >= width:
+                break
+            chosen.pop()
+        while levels:
+            level = levels[-1]
+            level[0] -= 1
+            while level[0] >= 0 and chosen.count(lengths[level[0]]) >= stock.counts[lengths[level[0]]]:
+                level[0] -= 1
+            if level[0] >= 0:
+                level[2] = True
+                break
+            if not level[2] and level[1] <= waste:
+                keep()
+            levels.pop()
+            chosen.pop()
+        if not levels:
+            break
+        x = lengths[level[0]]
+        chosen.append(x)
+        gap, top = level[1] - x, level[0] + 1
     return sorted(dict.fromkeys(found), key=lambda f: capacity - sum(f))[:width]  # of equal waste, the larger pieces first
 
 

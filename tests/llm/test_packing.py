@@ -1,9 +1,11 @@
 """Packing: the search against an exhaustive one, places against the whole tokenizer."""
 
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -105,3 +107,28 @@ def test_ranks_in_many_salted_groups(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pack(cases.documents(spark).limit(0)).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60), st.integers(30, 60))
+def test_incumbent_is_textbook_best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps[gaps.index(min(fits))] -= x
+        else:
+            gaps.append(capacity - x)
+    found = packing._best_fit({x: lengths.count(x) for x in set(lengths)}, capacity)
+    assert sorted(x for f, n in found for x in f * n) == sorted(lengths)
+    assert sorted(capacity - sum(f) for f, n in found for _ in range(n)) == sorted(gaps)
+
+
+@pytest.mark.parametrize("counts", [{2: 3000}, {2: 100_000}, {1: 5000}, {1621: 28, 1485: 11, 3: 4832, 2: 8988}])
+def test_sequences_of_very_many_pieces(counts):
+    found = packing.complete(counts)
+    placed = Counter()
+    for f, n in found:
+        assert sum(f) <= packing.CAPACITY
+        placed.update({x: f.count(x) * n for x in set(f)})
+    assert placed == counts and sum(n for _, n in found) == packing.lower_bound(counts, packing.CAPACITY)

@@ -40,27 +40,58 @@ SHAPES = {
     "14 digits": (r"([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})", "ymdhie"),
     "year": (r"([0-9]{4})", "y"),
 }
-_UNTIMED = {"14 digits", "year"}
+_UNTIMED = ("14 digits", "year")  # the last shapes
 _TIMES = "hiefpo"  # hour, minute, second, fraction, a or p, offset
 ORDERS = ("ymd", "ydm", "dmy", "mdy")
 DEFAULT_ORDER, PIVOT = "mdy", 69
 # ---------------------------------------------------------------------------
 
 
-def _pattern(shape: str) -> str:
-    return rf"\A{SHAPES[shape][0]}{'' if shape in _UNTIMED else _TIME}\z"
+_EVERY = ["s", "a", "b", "c", "y", "m", "d", "n", *_TIMES]
+_CUT = "\x01"
 
 
-def _parts(text: Column) -> Column:
-    """(shape, s, a, b, c, y, m, d, n, h, i, e, f, p, o) of a value as strings; null where it has no shape."""
-    every = ["s", "a", "b", "c", "y", "m", "d", "n", *_TIMES]
+def _grammar() -> tuple[str, str]:
+    """One pattern of all shapes, tried in their order, and what a match is replaced by: each shape's first group (only one is not empty), then the roles of
+    ``_EVERY``, each from whichever group has it."""
+    firsts, groups, n = [], {r: "" for r in _EVERY}, 0
 
-    def of(shape):
-        roles = SHAPES[shape][1] + ("" if shape in _UNTIMED else _TIMES)
-        groups = {r: F.regexp_extract(text, _pattern(shape), k + 1) for k, r in enumerate(roles)}
-        return F.struct(F.lit(shape).alias("shape"), *[F.nullif(groups[r], F.lit("")).alias(r) if r in groups else F.lit(None).cast("string").alias(r) for r in every])
+    def take(roles):
+        nonlocal n
+        for r in roles:
+            n += 1
+            groups[r] += f"${n}"
 
-    return reduce(lambda rest, s: F.when(text.rlike(_pattern(s)), of(s)).otherwise(rest), reversed(SHAPES), F.lit(None))
+    timed = [s for s in SHAPES if s not in _UNTIMED]
+    for s in timed:
+        firsts.append(f"${n + 1}")
+        take(SHAPES[s][1])
+    take(_TIMES)
+    for s in _UNTIMED:
+        firsts.append(f"${n + 1}")
+        take(SHAPES[s][1])
+    pattern = rf"\A(?:(?:{'|'.join(SHAPES[s][0] for s in timed)}){_TIME}|{'|'.join(SHAPES[s][0] for s in _UNTIMED)})\z"
+    return pattern, _CUT.join([*firsts, *groups.values()])
+
+
+_PATTERN, _ROLES = _grammar()
+
+
+def _groups(text: Column) -> Column:
+    """The groups of a value, from one match; a single element (or null) where it has no shape."""
+    return F.when(~F.contains(text, F.lit(_CUT)), F.split(F.regexp_replace(text, F.lit(_PATTERN), F.lit(_ROLES)), _CUT))
+
+
+def _parts(g: Column) -> Column:
+    """(shape, s, a, b, c, y, m, d, n, h, i, e, f, p, o) of a value's groups as strings; null where it has no shape."""
+    shape = reduce(lambda rest, k: F.when(F.get(g, F.lit(k[0])) != "", k[1]).otherwise(rest), reversed(list(enumerate(SHAPES))), F.lit(None).cast("string"))
+    roles = [F.nullif(F.get(g, F.lit(len(SHAPES) + k)), F.lit("")).alias(r) for k, r in enumerate(_EVERY)]
+    return F.when(F.size(g) > 1, F.struct(shape.alias("shape"), *roles))
+
+
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _text(c: Column) -> Column:
@@ -73,15 +104,17 @@ def _time(p: Column) -> Column:
                  F.when(p["p"].isNotNull(), " am").otherwise(""), F.when(p["o"].isNotNull(), " zone").otherwise("")))
 
 
-def date_shapes(df: DataFrame, column: str) -> DataFrame:
-    """(shape, separator, time, n, lo_a, hi_a, lo_b, hi_b, lo_c, hi_c, digits_a): the column's shapes, most frequent first; shape null: no date.
+def date_shapes(df: DataFrame, columns: str | list[str]) -> DataFrame:
+    """(column, shape, separator, time, n, lo_a, hi_a, lo_b, hi_b, lo_c, hi_c, digits_a, digits_c): the columns' shapes; shape null: no date.
 
-    Counted before they are shuffled; there are at most some hundred."""
+    One pass serves all columns.  Counted before they are shuffled; a column has at most some hundred."""
+    names = [columns] if isinstance(columns, str) else list(columns)
     p = F.col("_p")
-    parts = df.where(named(column).isNotNull()).select(F.element_at(F.transform(F.array(_text(named(column))), _parts), 1).alias("_p"))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text(named(c)).alias("_text")) for c in names])))
+    parts = cells.where("_text IS NOT NULL").select("column", _once(_once(F.col("_text"), _groups), _parts).alias("_p"))
     number = lambda c: p[c].cast("int")
     ranges = [g(number(c)).alias(f"{n}_{c}") for c in "abc" for n, g in (("lo", F.min), ("hi", F.max))]
-    return parts.groupBy(p["shape"].alias("shape"), p["s"].alias("separator"), F.when(p["shape"].isNotNull(), _time(p)).otherwise("").alias("time")).agg(
+    return parts.groupBy("column", p["shape"].alias("shape"), p["s"].alias("separator"), F.when(p["shape"].isNotNull(), _time(p)).otherwise("").alias("time")).agg(
         F.count("*").alias("n"), *ranges, F.max(F.length(p["a"])).alias("digits_a"), F.max(F.length(p["c"])).alias("digits_c"))
 
 
@@ -102,7 +135,16 @@ def _orders_of(r) -> list[str]:
 
 def induce(df: DataFrame, column: str) -> list[dict]:
     """For each shape of the column: shape, separator, time, n, order ('' where it needs none, None where no order fits), ambiguous."""
-    rows = date_shapes(df, column).collect()  # of a fixed grammar
+    return induce_all(df, [column])[column]
+
+
+def induce_all(df: DataFrame, columns: list[str]) -> dict[str, list[dict]]:
+    """``induce`` for each of the columns, from one pass over all of them."""
+    rows = date_shapes(df, columns).collect()  # of a fixed grammar
+    return {c: _plan([r for r in rows if r["column"] == c]) for c in columns}
+
+
+def _plan(rows: list) -> list[dict]:
     out, sure = [], {}
     for r in rows:
         if r["shape"] == "number":
@@ -131,31 +173,44 @@ def induce(df: DataFrame, column: str) -> list[dict]:
 def parse_column(c: Column, plan: list[dict]) -> Column:
     """Text dates as timestamp_ntz by an induced plan; NULL where a value is no date."""
     orders = {(x["separator"], x["time"]): x["order"] for x in plan if x["shape"] == "number"}
-    return F.element_at(F.transform(F.transform(F.array(_text(c)), _parts), lambda p: _value(p, orders)), 1)
+    ordered = lambda p: F.when(p["shape"].isNotNull(), F.struct(p.alias("p"), _order(p, orders).alias("order")))
+    return _once(_once(_once(_once(_once(_once(_text(c), _groups), _parts), ordered), _fields), _first_day), _moment)
+
+
+def _order(p: Column, orders: dict) -> Column:
+    known = lambda time: F.coalesce(*[F.when((p["s"] == s) & (time == t), o) for (s, t), o in orders.items() if o], F.lit(None).cast("string"))
+    return F.when(p["shape"] == "number", _once(_time(p), known))
 
 
-def _value(p: Column, orders: dict) -> Column:
-    time = _time(p)
+def _fields(x: Column) -> Column:
+    """The numbers of a date: year as written, and whether in two digits, month, day, the time's parts, and the offset in minutes."""
+    p, order = x["p"], x["order"]
     number = lambda c: p[c].cast("int")
-    known = [F.when((p["s"] == s) & (time == t), o) for (s, t), o in orders.items() if o]
-    order = F.coalesce(*known) if known else F.lit(None).cast("string")
-    pick = lambda role: F.coalesce(*[F.when(F.substr(order, F.lit(k + 1), F.lit(1)) == role, number(c)) for k, c in enumerate("abc")], number(role))
+    pick = lambda role: F.coalesce(F.get(F.array(*[number(c) for c in "abc"]), F.instr(order, role) - 1), number(role))
     named_month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substr(p["n"], F.lit(1), F.lit(3))).cast("int")
-    open_ = F.when(p["shape"] == "number", order.isNotNull()).otherwise(p["shape"].isNotNull())
-    year = pick("y")
     two = F.coalesce(F.length(F.coalesce(F.when(F.startswith(order, F.lit("y")), p["a"]).otherwise(p["c"]), p["y"])) <= 2, F.lit(False))
-    year = F.when(two, year + F.when(year >= PIVOT, 1900).otherwise(2000)).otherwise(year)
-    month, day = F.coalesce(pick("m"), F.when(p["n"].isNotNull(), named_month), F.lit(1)), F.coalesce(pick("d"), F.lit(1))
-    hour, minute, second = (F.coalesce(number(c), F.lit(0)) for c in "hie")
-    half = F.when(p["p"].isNull(), hour).when(~hour.between(1, 12), None).otherwise(hour % 12 + F.when(p["p"] == "p", 12).otherwise(0))
-    micros = F.coalesce(F.substr(F.rpad(p["f"], 9, "0"), F.lit(1), F.lit(6)).cast("int"), F.lit(0))
-    good = open_ & year.between(1, 9999) & (half <= 23) & (minute <= 59) & (second <= 59)
-    first = F.try_make_timestamp_ntz(year, F.when(good, month), F.lit(1), half, minute, (second + micros / F.lit(1000000)).cast("decimal(16,6)"))
-    at = F.when(day.between(1, F.dayofmonth(F.last_day(first))), first + F.make_dt_interval(day - 1))
     sign = F.when(F.startswith(p["o"], F.lit("-")), -1).otherwise(1)
-    digits = F.regexp_replace(p["o"], "[^0-9]", "")
-    shift = F.when(digits != "", sign * (F.substr(digits, F.lit(1), F.lit(2)).cast("int") * 60 + F.substr(digits, F.lit(3), F.lit(2)).cast("int")))
-    return at - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(shift, F.lit(0)))
+    offset = lambda digits: F.when(digits != "", sign * (F.substr(digits, F.lit(1), F.lit(2)).cast("int") * 60 + F.substr(digits, F.lit(3), F.lit(2)).cast("int")))
+    return F.when((p["shape"] != "number") | order.isNotNull(), F.struct(
+        pick("y").alias("year"), two.alias("two"), F.coalesce(pick("m"), F.when(p["n"].isNotNull(), named_month), F.lit(1)).alias("month"),
+        F.coalesce(pick("d"), F.lit(1)).alias("day"), *[F.coalesce(number(c), F.lit(0)).alias(c) for c in "hie"], p["p"].alias("p"),
+        F.coalesce(F.substr(F.rpad(p["f"], 9, "0"), F.lit(1), F.lit(6)).cast("int"), F.lit(0)).alias("micros"),
+        F.when(p["o"].isNotNull(), _once(F.regexp_replace(p["o"], "[^0-9]", ""), offset)).alias("shift")))
+
+
+def _first_day(x: Column) -> Column:
+    """(first, day, shift): the first of the month at the time of day, null where a part is out of range."""
+    year = F.when(x["two"], x["year"] + F.when(x["year"] >= PIVOT, 1900).otherwise(2000)).otherwise(x["year"])
+    half = F.when(x["p"].isNull(), x["h"]).when(~x["h"].between(1, 12), None).otherwise(x["h"] % 12 + F.when(x["p"] == "p", 12).otherwise(0))
+    at = lambda t: F.try_make_timestamp_ntz(
+        t["year"], F.when(t["year"].between(1, 9999) & (t["half"] <= 23) & (x["i"] <= 59) & (x["e"] <= 59), x["month"]), F.lit(1), t["half"], x["i"],
+        (x["e"] + x["micros"] / F.lit(1000000)).cast("decimal(16,6)"))
+    return F.struct(_once(F.struct(year.alias("year"), half.alias("half")), at).alias("first"), x["day"].alias("day"), x["shift"].alias("shift"))
+
+
+def _moment(x: Column) -> Column:
+    at = F.when(x["day"].between(1, F.dayofmonth(F.last_day(x["first"]))), x["first"] + F.make_dt_interval(x["day"] - 1))
+    return F.when(x["shift"].isNull(), at).otherwise(at - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(x["shift"], F.lit(0))))
 
 
 def parse_induced(df: DataFrame, column: str, into: str | None = None, plan: list[dict] | None = None) -> DataFrame:
@@ -166,5 +221,6 @@ def parse_induced(df: DataFrame, column: str, into: str | None = None, plan: lis
 def date_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, shape, separator, time, n, order, ambiguous) for each shape of each column."""
     spark = df.sparkSession
-    rows = [(c, x["shape"], x["separator"], x["time"], x["n"], x["order"], x["ambiguous"]) for c in columns for x in induce(df, c)]
+    plans = induce_all(df, columns)
+    rows = [(c, x["shape"], x["separator"], x["time"], x["n"], x["order"], x["ambiguous"]) for c in columns for x in plans[c]]
     return spark.createDataFrame(rows, "`column` string, shape string, separator string, `time` string, n long, `order` string, ambiguous boolean")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators.dates import date_report, parse_induced
+from ..operators.dates import date_report, induce_all, parse_induced
 from ..sources.tables import load_table
 from .registry import query
 
@@ -43,7 +43,8 @@ def printed(spark, d):
 def q_dates_by_shape(spark, d):
     """Sixteen text columns, each in a format of its own that is found from its values, as timestamps."""
     df = printed(spark, d)
-    return reduce(lambda x, c: parse_induced(x, c), _FORMATS, df)
+    plans = induce_all(df, list(_FORMATS))
+    return reduce(lambda x, c: parse_induced(x, c, plan=plans[c]), _FORMATS, df)
 
 
 @query("date_shape_report", " UNION ALL ".join(

@@ -6,7 +6,7 @@ from random import Random
 from pyspark.sql import functions as F
 
 from kpiloom.operators.clean import clean_dataset
-from kpiloom.operators.dates import date_report, induce, parse_column, parse_induced
+from kpiloom.operators.dates import date_report, induce, induce_all, parse_column, parse_induced
 from kpiloom.mapping import Mapping
 
 #: How to print a date, and what of it is lost.
@@ -62,3 +62,11 @@ def test_in_the_cleaning(spark):
     m = Mapping(date="d", region="r", product="p", revenue="rev")
     assert sorted(r["d"].day for r in clean_dataset(df, m, "shapes").collect()) == [3, 14]
     assert date_report(df, ["d"]).where("shape IS NULL").first()["n"] == 1
+
+
+def test_columns_are_induced_together_and_values_matched_once(spark):
+    df = spark.createDataFrame([("01/02/2020", "3 Jan 2020 10:00", "x\x01"), ("13/02/2020", None, "2020-01")], "a string, b string, c string")
+    plans = induce_all(df, ["a", "b", "c"])
+    assert plans == {c: induce(df, c) for c in "abc"} and [x["shape"] for x in plans["b"]] == ["day month-name year"]
+    plan = df.select(parse_column(F.col("a"), plans["a"]).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("jan(?:uary)?") <= 5  # one pattern, which names the months in five shapes

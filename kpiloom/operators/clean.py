@@ -16,6 +16,7 @@ text-or-number decision is per COLUMN (its type), not per row.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,42 @@ def _type(df: DataFrame, name: str) -> T.DataType:
 def parse_dates(c, formats: Sequence[str]) -> Column:
     """Text → timestamp_ntz; first format that parses wins."""
     cc = named(c) if isinstance(c, str) else c
-    return F.coalesce(*[F.try_to_timestamp(cc, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    return F.coalesce(*[_try_format(cc, f) for f in formats]).cast("timestamp_ntz")
+
+
+#: What the parts of a format can match at most.
+_WIDEST = {"yyyy": r"[+-]?[0-9]{4,}", "MMM": r"\D+", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}"}
+
+
+def _outline(fmt: str) -> str | None:
+    """A pattern that every text in the format matches; None where the format has other parts than ``_WIDEST``."""
+    out = ""
+    for m in re.finditer(r"'([^']+)'|([A-Za-z])\2*|.", fmt):
+        part = m[0]
+        if m[1]:
+            out += re.escape(m[1])
+        elif part.isalpha():
+            if part not in _WIDEST:
+                return None
+            out += _WIDEST[part]
+        elif part in "-/:. ,":
+            out += re.escape(part)
+        else:
+            return None
+    return rf"(?i)\A{out}\z"
+
+
+def _try_format(text: Column, fmt: str) -> Column:
+    """``try_to_timestamp``, asked only about texts that may have the format: a failing parse costs an exception."""
+    outline = _outline(fmt)
+    parsed = F.try_to_timestamp(text, F.lit(fmt))
+    return F.when(text.rlike(outline), parsed) if outline else parsed
 
 
 def choose_date_format(df: DataFrame, column: str, candidates: Sequence[str] = DATE_FORMATS) -> str:
     """One aggregation counting parses per candidate; the most hits wins."""
     text = named(column).cast("string")
-    aggs = [F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"c{i}")
+    aggs = [F.count(_try_format(text, f)).alias(f"c{i}")
             for i, f in enumerate(candidates)]
     row = df.agg(*aggs).first()
     counts = [row[f"c{i}"] for i in range(len(candidates))]
@@ -87,7 +117,8 @@ def to_amount_col(df: DataFrame, column: str) -> Column:
     dtype = _type(df, column)
     c = named(column)
     if isinstance(dtype, T.StringType):
-        return strip_currency(c).try_cast("double")
+        text = strip_currency(c)
+        return F.when(text != "", text).try_cast("double")  # a failing cast costs an exception
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, T.DecimalType):

@@ -7,6 +7,7 @@ from random import Random
 import pytest
 
 from kpiloom.sources.csv import load_csv, merged_types, column_types, read_csv, values_of
+from kpiloom.sources import records
 from kpiloom.sources.records import records_of
 from pyspark.sql import functions as F
 
@@ -106,3 +107,12 @@ def test_type_evidence_adds_up(spark):
     parts = column_types(df.where("b = 'x'")).unionByName(column_types(df.where("b <> 'x' OR b IS NULL")))
     assert {r["column"]: r for r in merged_types(parts).collect()} == whole
     assert (whole["a"]["type"], whole["a"]["not_long"], whole["b"]["type"]) == ("decimal(38,0)", "99999999999999999999", "string")
+
+
+def test_splits_are_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "PART_BITS", 2)
+    rows = [["k", "v"]] + [[str(k), "a\nb\n\nc" if k % 3 else "x,\"y\""] for k in range(40)] + [["40", "\n" * 30]]
+    (tmp_path / "f.csv").write_text(written(rows, "\n", Random(4)))
+    found = records_of(spark, str(tmp_path))
+    assert sorted(found.select("number").toPandas()["number"]) == list(range(1, 43))
+    assert sorted(list(r["v"]) for r in found.where("number > 1").select(values_of(F.col("record")).alias("v")).collect()) == sorted(rows[1:])

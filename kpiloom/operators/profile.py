@@ -121,15 +121,19 @@ def profile_long(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
 
     Numbers are shown with ``digits`` decimals.  One pass over ``df`` serves all columns."""
     counts = value_counts(df, numeric, categorical, dates, by)
-    number = lambda c: F.format_string(f"%.{digits}f", F.round(F.col(c), digits))
     plain = lambda c: F.col(c).cast("string")
     parts = []
-    if numeric:
-        parts.append((_numbers(counts, numeric, by), {"count": plain, **dict.fromkeys(("mean", "std", "min", *QUANTILES, "max"), number)}))
+    if numeric or dates:
+        # numbers and dates are placed together, which shuffles and reads the counts once
+        kinds = F.array(*[F.when(F.col("column").isin(list(names)), F.lit(kind)) for kind, names in (("n", numeric), ("d", dates))])
+        placed = _numbers(counts, list(dict.fromkeys([*numeric, *dates])), by).withColumn("_kind", F.explode(F.array_compact(kinds)))
+        of = lambda kind, c: F.when(F.col("_kind") == kind, F.col(c))
+        number = lambda c: F.format_string(f"%.{digits}f", F.round(of("n", c), digits))
+        either = lambda c: F.when(F.col("_kind") == "d", _ts_text(of("d", c))).otherwise(number(c))
+        placed = placed.withColumn("std", of("n", "std"))
+        parts.append((placed, {"count": plain, "std": number, **dict.fromkeys(("mean", "min", *QUANTILES, "max"), either)}))
     if categorical:
         parts.append((_categories(counts, categorical, by), dict.fromkeys(("count", "unique", "top", "freq"), plain)))
-    if dates:
-        parts.append((_date_texts(_numbers(counts, dates, by), by), dict.fromkeys(("count", "mean", "min", *QUANTILES, "max"), plain)))
     out = None
     for table, shown in parts:
         cell = lambda s: F.when(F.col(s).isNotNull(), shown[s](s)) if s in shown else F.lit(None).cast("string")  # noqa: B023,E731

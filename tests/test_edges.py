@@ -195,6 +195,20 @@ def test_profile_of_missing_values_and_ties(spark):
     assert len(cells) == 33 and cells["x", "top"] == "nan" and cells["s", "freq"] == "4" and cells["y", "std"] == "nan" and cells["x", "p50"] == "1.5000"
 
 
+def test_long_profile_places_numbers_and_dates_at_once(spark, monkeypatch):
+    import kpiloom.operators.profile as P
+
+    calls = []
+    monkeypatch.setattr(P, "running_before", lambda *a, **k: calls.append(1) or running_before(*a, **k))
+    df = spark.sql("""SELECT * FROM VALUES ('a', 1.0D, 'x', TIMESTAMP '2024-01-01 00:00:00'), ('a', 3.0D, 'x', TIMESTAMP '2024-01-03 00:00:00'),
+                      (NULL, double('infinity'), 'y', NULL) AS t(k, n, s, d)""")
+    got = {(r["k"], r["column"], r["stat"]): r["value"] for r in profile_long(df, ["n"], ["s"], ["d"], by=["k"]).collect()}
+    assert len(calls) == 1 and len(got) == 66
+    assert got["a", "n", "p50"] == "2.0000" and got["a", "n", "std"] == "1.4142" and got["a", "s", "top"] == "x"
+    assert got["a", "d", "p25"] == "2024-01-01 12:00:00" and got["a", "d", "mean"] == "2024-01-02 00:00:00" and got["a", "d", "std"] == "nan"
+    assert got[None, "d", "count"] == "0" and got[None, "d", "max"] == "nan" and got[None, "n", "max"] == "Infinity"
+
+
 def test_driver_and_catalog_detection_agree(spark):
     from pyspark.sql import types as T
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship  # noqa: F401
 
 # Fixed value: the white space that separates words (space, tab, LF, VT, FF, CR).
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -53,24 +49,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package (once for each application), as ``--py-files`` would."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(package)
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-py-"), f"{name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(package):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, package)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)

@@ -4,7 +4,8 @@ One aggregation counts the column's shapes (which parts a value has, in which or
 numeric part takes in them.  The ranges settle which part is the day, the month or the year: a part above 31, or of four digits, is
 a year, one above 12 a day.  Shapes that leave the order open borrow it from the column's other shapes with the same separators, then from all
 others; what is still open reads month first and is reported as ambiguous.  Values are then parsed in one
-narrow pass, each by its own shape.
+narrow pass, each by its own shape.  Tasks match the grammar against outlines (a text with 0 for each digit), once for all texts of an outline, and read the
+digits of these texts together.
 
 Shapes are a fixed grammar, so the histogram is small whatever the column holds.  Read are: year-month-day and its orders with ``-``, ``/``, ``.`` or blanks, two-digit
 years (69-99 are 1969-1999), months by English name, year and month alone, 8 or 14 digits, 4-digit years; weekdays, ordinals
@@ -13,12 +14,15 @@ years (69-99 are 1969-1999), months by English name, year and month alone, 8 or
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import named
+from ..session import ship
 
 # ---------------------------------------------------------------------------
 # The words of dates and the grammar of their shapes (texts are in lower case and trimmed).
@@ -47,61 +51,120 @@ DEFAULT_ORDER, PIVOT = "mdy", 69
 # ---------------------------------------------------------------------------
 
 
-_EVERY = ["s", "a", "b", "c", "y", "m", "d", "n", *_TIMES]
-_CUT = "\x01"
+_PATTERN = re.compile((rf"(?:(?:{'|'.join(SHAPES[s][0] for s in SHAPES if s not in _UNTIMED)}){_TIME}|{'|'.join(SHAPES[s][0] for s in _UNTIMED)})").encode())
+#: The shapes in the order of their groups in the pattern, None for the time; and the role of each group.
+_ORDERED = [*(s for s in SHAPES if s not in _UNTIMED), None, *_UNTIMED]
+_GROUPS = [(shape, role) for shape in _ORDERED for role in (SHAPES[shape][1] if shape else _TIMES)]
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+OUTLINES, LONGEST = 4096, 64  # outlines that a task keeps, and bytes of one
+
+
+class _Form(NamedTuple):
+    """What all texts of one outline (digits as 0) share: their shape, and where the digits of each role are."""
+    shape: str | None
+    separator: str | None
+    time: str
+    at: dict[str, tuple[int, int]]
+    month: int | None
+    half: str | None
+    sign: int
+    offset: list[int] | None
+
+
+_NONE = _Form(None, None, "", {}, None, None, 1, None)
+
+
+def _form(outline: bytes) -> _Form:
+    m = _PATTERN.fullmatch(outline)
+    if not m:
+        return _NONE
+    shape = next(s for k, (s, _) in enumerate(_GROUPS, 1) if s and m.start(k) >= 0)
+    spans = {role: m.span(k) for k, (s, role) in enumerate(_GROUPS, 1) if m.start(k) >= 0}
+    text = lambda role: outline[slice(*spans[role])].decode() if role in spans else None
+    zone, name = text("o"), text("n")
+    time = "" if "h" not in spans or shape == "14 digits" else "H:M" + ":S" * ("e" in spans) + ".F" * ("f" in spans) + " am" * ("p" in spans) + " zone" * ("o" in spans)
+    places = [k for k in range(*spans["o"]) if outline[k:k + 1].isdigit()] if zone else []
+    return _Form(shape, text("s"), time, {r: at for r, at in spans.items() if r not in "snpo"}, MONTHS.index(name[:3]) + 1 if name else None, text("p"),
+                 -1 if zone and zone[0] == "-" else 1, places or None)
+
+
+def _forms(texts, known: dict):
+    """(form, rows, bytes) for each outline of the texts: which texts have it, and their bytes in one row each; nulls are left out.
+
+    Only outlines are matched against the grammar, as it does not tell one digit from another; ``known`` keeps the forms of a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+    texts = pa.concat_arrays([texts.drop_null()]).cast(pa.binary())
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], "int32", len(texts) + 1, texts.offset * 4)
+    data = (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if offsets[-1] else b""
+    outlines = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.translate(_DIGITS))]).dictionary_encode()
+    codes, data = outlines.indices.to_numpy(), np.frombuffer(data, "uint8")
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(len(outlines.dictionary) + 1))
+    none = []
+    for k, outline in enumerate(outlines.dictionary.to_pylist()):
+        if (form := known.get(outline)) is None:
+            form = _form(outline)
+            if len(outline) <= LONGEST:
+                if len(known) >= OUTLINES:
+                    known.clear()
+                known[outline] = form
+        some = order[cuts[k]:cuts[k + 1]]
+        if form.shape is None:
+            none.append(some)
+        else:
+            yield form, rows[some], data[offsets[some][:, None] + np.arange(len(outline))]
+    if none:
+        yield _NONE, rows[np.concatenate(none)], None
+
+
+def _number(digits, at):
+    """The numbers that stand at places of texts of one length."""
+    import numpy as np
+
+    out = np.zeros(len(digits), "int64")
+    for k in at:
+        out = out * 10 + (digits[:, k] - 48)
+    return out
 
 
-def _grammar() -> tuple[str, str]:
-    """One pattern of all shapes, tried in their order, and what a match is replaced by: each shape's first group (only one is not empty), then the roles of
-    ``_EVERY``, each from whichever group has it."""
-    firsts, groups, n = [], {r: "" for r in _EVERY}, 0
-
-    def take(roles):
-        nonlocal n
-        for r in roles:
-            n += 1
-            groups[r] += f"${n}"
-
-    timed = [s for s in SHAPES if s not in _UNTIMED]
-    for s in timed:
-        firsts.append(f"${n + 1}")
-        take(SHAPES[s][1])
-    take(_TIMES)
-    for s in _UNTIMED:
-        firsts.append(f"${n + 1}")
-        take(SHAPES[s][1])
-    pattern = rf"\A(?:(?:{'|'.join(SHAPES[s][0] for s in timed)}){_TIME}|{'|'.join(SHAPES[s][0] for s in _UNTIMED)})\z"
-    return pattern, _CUT.join([*firsts, *groups.values()])
-
-
-_PATTERN, _ROLES = _grammar()
-
-
-def _groups(text: Column) -> Column:
-    """The groups of a value, from one match; a single element (or null) where it has no shape."""
-    return F.when(~F.contains(text, F.lit(_CUT)), F.split(F.regexp_replace(text, F.lit(_PATTERN), F.lit(_ROLES)), _CUT))
-
+def _text(c: Column) -> Column:
+    return F.lower(F.trim(c.cast("string")))
 
-def _parts(g: Column) -> Column:
-    """(shape, s, a, b, c, y, m, d, n, h, i, e, f, p, o) of a value's groups as strings; null where it has no shape."""
-    shape = reduce(lambda rest, k: F.when(F.get(g, F.lit(k[0])) != "", k[1]).otherwise(rest), reversed(list(enumerate(SHAPES))), F.lit(None).cast("string"))
-    roles = [F.nullif(F.get(g, F.lit(len(SHAPES) + k)), F.lit("")).alias(r) for k, r in enumerate(_EVERY)]
-    return F.when(F.size(g) > 1, F.struct(shape.alias("shape"), *roles))
 
+_SHAPE = ("column string, shape string, separator string, `time` string, n long, lo_a int, hi_a int, lo_b int, hi_b int, lo_c int, hi_c int, "
+          "digits_a int, digits_c int")
 
-def _once(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
 
+def _count(names: list[str]):
+    """The shapes of a task's values, with the range that each numeric part takes."""
+    def work(batches):
+        import pyarrow as pa
 
-def _text(c: Column) -> Column:
-    return F.lower(F.trim(c.cast("string")))
+        known: dict = {}
+        held: dict = {}
+        for b in batches:
+            for i, name in enumerate(names):
+                for form, rows, digits in _forms(b.column(i), known):
+                    key = (name, form.shape, form.separator, form.time)
+                    now = [len(rows)]
+                    for c in "abc":
+                        number = _number(digits, range(*form.at[c])) if c in form.at else None
+                        now += [None, None] if number is None else [int(number.min()), int(number.max())]
+                    now += [form.at[c][1] - form.at[c][0] if c in form.at else None for c in "ac"]
+                    was = held.get(key)
+                    held[key] = now if was is None else [f(x, y) if x is not None else None for f, x, y in zip(_ADDED, was, now)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((*k, *v) for k, v in held.items())), [pa.string()] * 4 + [pa.int64()] + [pa.int32()] * 8)],
+                                             names=["column", "shape", "separator", "time", "n", "lo_a", "hi_a", "lo_b", "hi_b", "lo_c", "hi_c", "digits_a", "digits_c"])
+    return work
 
 
-def _time(p: Column) -> Column:
-    return F.when(p["h"].isNull() | (p["shape"] == "14 digits"), "").otherwise(
-        F.concat(F.lit("H:M"), F.when(p["e"].isNotNull(), ":S").otherwise(""), F.when(p["f"].isNotNull(), ".F").otherwise(""),
-                 F.when(p["p"].isNotNull(), " am").otherwise(""), F.when(p["o"].isNotNull(), " zone").otherwise("")))
+_ADDED = (int.__add__, min, max, min, max, min, max, max, max)
 
 
 def date_shapes(df: DataFrame, columns: str | list[str]) -> DataFrame:
@@ -109,13 +172,12 @@ def date_shapes(df: DataFrame, columns: str | list[str]) -> DataFrame:
 
     One pass serves all columns.  Counted before they are shuffled; a column has at most some hundred."""
     names = [columns] if isinstance(columns, str) else list(columns)
-    p = F.col("_p")
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text(named(c)).alias("_text")) for c in names])))
-    parts = cells.where("_text IS NOT NULL").select("column", _once(_once(F.col("_text"), _groups), _parts).alias("_p"))
-    number = lambda c: p[c].cast("int")
-    ranges = [g(number(c)).alias(f"{n}_{c}") for c in "abc" for n, g in (("lo", F.min), ("hi", F.max))]
-    return parts.groupBy("column", p["shape"].alias("shape"), p["s"].alias("separator"), F.when(p["shape"].isNotNull(), _time(p)).otherwise("").alias("time")).agg(
-        F.count("*").alias("n"), *ranges, F.max(F.length(p["a"])).alias("digits_a"), F.max(F.length(p["c"])).alias("digits_c"))
+    ship(df.sparkSession)
+    parts = df.select(*[_text(named(c)).alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(_count(names), _SHAPE)
+    low, high = [[g(c).alias(c) for c in some] for g, some in ((F.min, ["lo_a", "lo_b", "lo_c"]), (F.max, ["hi_a", "hi_b", "hi_c"]))]
+    ranges = [c for pair in zip(low, high) for c in pair]
+    return parts.groupBy("column", "shape", "separator", "time").agg(
+        F.sum("n").alias("n"), *ranges, F.max("digits_a").alias("digits_a"), F.max("digits_c").alias("digits_c"))
 
 
 def _orders_of(r) -> list[str]:
@@ -172,45 +234,55 @@ def _plan(rows: list) -> list[dict]:
 
 def parse_column(c: Column, plan: list[dict]) -> Column:
     """Text dates as timestamp_ntz by an induced plan; NULL where a value is no date."""
-    orders = {(x["separator"], x["time"]): x["order"] for x in plan if x["shape"] == "number"}
-    ordered = lambda p: F.when(p["shape"].isNotNull(), F.struct(p.alias("p"), _order(p, orders).alias("order")))
-    return _once(_once(_once(_once(_once(_once(_text(c), _groups), _parts), ordered), _fields), _first_day), _moment)
-
-
-def _order(p: Column, orders: dict) -> Column:
-    known = lambda time: F.coalesce(*[F.when((p["s"] == s) & (time == t), o) for (s, t), o in orders.items() if o], F.lit(None).cast("string"))
-    return F.when(p["shape"] == "number", _once(_time(p), known))
-
-
-def _fields(x: Column) -> Column:
-    """The numbers of a date: year as written, and whether in two digits, month, day, the time's parts, and the offset in minutes."""
-    p, order = x["p"], x["order"]
-    number = lambda c: p[c].cast("int")
-    pick = lambda role: F.coalesce(F.get(F.array(*[number(c) for c in "abc"]), F.instr(order, role) - 1), number(role))
-    named_month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substr(p["n"], F.lit(1), F.lit(3))).cast("int")
-    two = F.coalesce(F.length(F.coalesce(F.when(F.startswith(order, F.lit("y")), p["a"]).otherwise(p["c"]), p["y"])) <= 2, F.lit(False))
-    sign = F.when(F.startswith(p["o"], F.lit("-")), -1).otherwise(1)
-    offset = lambda digits: F.when(digits != "", sign * (F.substr(digits, F.lit(1), F.lit(2)).cast("int") * 60 + F.substr(digits, F.lit(3), F.lit(2)).cast("int")))
-    return F.when((p["shape"] != "number") | order.isNotNull(), F.struct(
-        pick("y").alias("year"), two.alias("two"), F.coalesce(pick("m"), F.when(p["n"].isNotNull(), named_month), F.lit(1)).alias("month"),
-        F.coalesce(pick("d"), F.lit(1)).alias("day"), *[F.coalesce(number(c), F.lit(0)).alias(c) for c in "hie"], p["p"].alias("p"),
-        F.coalesce(F.substr(F.rpad(p["f"], 9, "0"), F.lit(1), F.lit(6)).cast("int"), F.lit(0)).alias("micros"),
-        F.when(p["o"].isNotNull(), _once(F.regexp_replace(p["o"], "[^0-9]", ""), offset)).alias("shift")))
-
-
-def _first_day(x: Column) -> Column:
-    """(first, day, shift): the first of the month at the time of day, null where a part is out of range."""
-    year = F.when(x["two"], x["year"] + F.when(x["year"] >= PIVOT, 1900).otherwise(2000)).otherwise(x["year"])
-    half = F.when(x["p"].isNull(), x["h"]).when(~x["h"].between(1, 12), None).otherwise(x["h"] % 12 + F.when(x["p"] == "p", 12).otherwise(0))
-    at = lambda t: F.try_make_timestamp_ntz(
-        t["year"], F.when(t["year"].between(1, 9999) & (t["half"] <= 23) & (x["i"] <= 59) & (x["e"] <= 59), x["month"]), F.lit(1), t["half"], x["i"],
-        (x["e"] + x["micros"] / F.lit(1000000)).cast("decimal(16,6)"))
-    return F.struct(_once(F.struct(year.alias("year"), half.alias("half")), at).alias("first"), x["day"].alias("day"), x["shift"].alias("shift"))
-
-
-def _moment(x: Column) -> Column:
-    at = F.when(x["day"].between(1, F.dayofmonth(F.last_day(x["first"]))), x["first"] + F.make_dt_interval(x["day"] - 1))
-    return F.when(x["shift"].isNull(), at).otherwise(at - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(x["shift"], F.lit(0))))
+    orders = {(x["separator"], x["time"]): x["order"] for x in plan if x["shape"] == "number" and x["order"]}
+    ship(SparkSession.active())
+    return F.arrow_udf(_parser(orders), "timestamp_ntz")(_text(c))
+
+
+def _parser(orders: dict):
+    known: dict = {}
+
+    def work(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        out = np.full(len(texts), np.datetime64("NaT"), "datetime64[us]")
+        for form, rows, digits in _forms(texts, known):
+            order = orders.get((form.separator, form.time)) if form.shape == "number" else ""
+            if form.shape is not None and order is not None:
+                out[rows] = _moments(form, order, digits)
+        return pa.array(out)
+
+    return work
+
+
+def _moments(form: _Form, order: str, digits):
+    """The times that texts of one form say, not a time where a part is out of range."""
+    import numpy as np
+
+    at = {**form.at, **{role: form.at[c] for role, c in zip(order, "abc")}}
+    part = lambda role, missing=0: _number(digits, range(*at[role])) if role in at else np.full(len(digits), missing, "int64")
+    year, month, day = part("y"), part("m", form.month or 1), part("d", 1)
+    if at["y"][1] - at["y"][0] <= 2:
+        year += np.where(year >= PIVOT, 1900, 2000)
+    hour, minute, second = part("h"), part("i"), part("e")
+    good = (year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (minute <= 59) & (second <= 59) & (day >= 1)
+    if form.half:
+        good &= (hour >= 1) & (hour <= 12)
+        hour = hour % 12 + (12 if form.half == "p" else 0)
+    months = np.where(good, (year - 1970) * 12 + month - 1, 0).astype("datetime64[M]")
+    first = months.astype("datetime64[D]")
+    good &= (hour <= 23) & (day <= ((months + 1).astype("datetime64[D]") - first).astype("int64"))
+    seconds = (hour * 60 + minute) * 60 + second
+    if form.offset:
+        hours, minutes = (_number(digits, form.offset[k:k + 2]) for k in (0, 2))
+        seconds -= form.sign * (hours * 60 + minutes) * 60
+    micros = 0
+    if "f" in at:
+        begin, end = at["f"]
+        micros = _number(digits, range(begin, min(end, begin + 6))) * 10 ** max(0, 6 - (end - begin))
+    out = (first + (day - 1)).astype("datetime64[us]") + (seconds * 1_000_000 + micros)
+    out[~good] = np.datetime64("NaT")
+    return out
 
 
 def parse_induced(df: DataFrame, column: str, into: str | None = None, plan: list[dict] | None = None) -> DataFrame:
